@@ -8,12 +8,13 @@ from pyspark.sql import types as T
 
 from .. import schemas
 
-PATH = F.col("_metadata.file_path")
+# Fixed value: the column Spark offers for the file of a row.
+PATH = "_metadata.file_path"
 
 
 def from_path(pattern: str, group: int = 1) -> Column:
     """Integer taken from the file path by a regular expression."""
-    return F.regexp_extract(PATH, pattern, group).cast("long")
+    return F.regexp_extract(F.col(PATH), pattern, group).cast("long")
 
 
 def _csv(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
@@ -68,7 +69,7 @@ def similarity_edges(spark: SparkSession, path, name_filter: str = "last.*.simil
     t = F.split(F.trim("value"), r"\s+")
     return (
         spark.read.option("pathGlobFilter", name_filter).text(path)
-        .withColumn("file", PATH)
+        .withColumn("file", F.col(PATH))
         .filter(F.trim("value") != "")
         .select(
             t.getItem(0).cast("long").alias("cell1"),
@@ -87,7 +88,7 @@ def numbered_lines(spark: SparkSession, path, path_filter: str | None = None) ->
     """
     reader = spark.read if path_filter is None else spark.read.option("pathGlobFilter", path_filter)
     lines = reader.text(path).select(
-        PATH.alias("file"),
+        F.col(PATH).alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("_m"),
         F.col("value").alias("line"),
@@ -159,7 +160,7 @@ def run_inputs(spark: SparkSession, path, schema: T.StructType | None = None,
     """One nested JSON document per run directory, flattened to (run_id, path, value)."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     docs = reader.option("multiLine", True).json(path)
-    return flatten_documents(docs.withColumn("run_id", F.regexp_extract(PATH, run_pattern, 1)), "run_id")
+    return flatten_documents(docs.withColumn("run_id", F.regexp_extract(F.col(PATH), run_pattern, 1)), "run_id")
 
 
 def leaf_paths(schema: T.StructType, prefix: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], T.DataType]]:
