@@ -35,7 +35,7 @@ def register(name: str, query: Query, sql: str | None = None, doubles: Sequence[
         raise ValueError(f"{name} is registered twice")
     QUERIES[name] = lambda spark, sf_dir: comparable(query(spark, sf_dir), doubles, digits)
     if sql is not None:
-        swap = ", ".join(f"round({d}, {digits}) + 0.0::DOUBLE AS {d}" for d in doubles)
+        swap = ", ".join(f'round("{d}", {digits}) + 0.0::DOUBLE AS "{d}"' for d in doubles)
         SQL[name] = f"SELECT * REPLACE ({swap}) FROM (\n{sql}\n)" if swap else sql
 
 

@@ -46,14 +46,16 @@ def nano_history(
     return _with_run(df, run_pattern)
 
 
-def strain_histories(spark: SparkSession, path) -> DataFrame:
+def strain_histories(
+    spark: SparkSession, path, name_filter: str | None = "strain_*", id_pattern: str = r"strain_(\d+)[^/]*$"
+) -> DataFrame:
     """Files named ``strain_<id>``: (cell, step, six components), step = line number.
 
     All other files are ignored. Lines are whitespace separated.
     """
-    lines = numbered_lines(spark, path, path_filter="strain_*")
+    lines = numbered_lines(spark, path, name_filter)
     tokens = F.split(F.trim("line"), r"\s+")
-    cell = F.regexp_extract("file", r"strain_(\d+)[^/]*$", 1).cast("long")
+    cell = F.regexp_extract("file", id_pattern, 1).cast("long")
     return (
         lines.filter(F.trim("line") != "")
         .select(cell.alias("cell"), F.col("line_no").alias("step"), tokens.alias("t"))
