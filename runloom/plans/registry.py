@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import (  # noqa: F401
-    design_queries, elastic_queries, graph_queries, prep_queries, source_queries, uq_queries,
+    design_queries, elastic_queries, graph_queries, prep_queries, source_queries, surrogate_queries,
+    uq_queries,
 )
 from .tables import QUERIES, SQL  # noqa: F401
