@@ -8,10 +8,12 @@ only fall, and two such nodes share no neighbour, so all of them are taken at on
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.workspace import cut_lineage
+from ..functions.workspace import materialise
 
 
 def build_graph(edges: DataFrame) -> DataFrame:
@@ -52,50 +54,41 @@ def coarsen(graph: DataFrame, classes: DataFrame | None = None, tie: str = "id")
     ``id`` gives equal degrees to the larger id; ``hash`` to the larger hash of the id,
     which keeps the number of rounds low when ids run along the graph.
     """
-    pairs = two_way(graph)
+    nodes = two_way(graph).select(F.col("a").alias("node")).distinct()
+    # Every node is its own neighbour here, so a grouped maximum covers the node itself.
+    pairs = two_way(graph).unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")))
     if classes is None:
-        edges = pairs.withColumns({"wa": F.lit(1).cast("long"), "wb": F.lit(1).cast("long")})
+        edges = pairs.withColumn("copies", F.lit(1).cast("long"))
     else:
-        size = classes.select(F.col("cell").alias("_c"), F.col("copies").cast("long").alias("_w"))
-        edges = (
-            pairs.join(size, F.col("a") == F.col("_c")).withColumnRenamed("_w", "wa").drop("_c")
-            .join(size, F.col("b") == F.col("_c")).withColumnRenamed("_w", "wb").drop("_c")
-        )
-    edges = cut_lineage(edges)
-    mapped = None
+        size = classes.select(F.col("cell").alias("b"), F.col("copies").cast("long").alias("copies"))
+        edges = pairs.join(size, "b").select("a", "b", "copies")
+    edges = materialise(edges, "edges")
+    parts = []
     while not edges.isEmpty():
-        # Priority and closed one-step maximum of every node that still has neighbours.
-        prio = edges.groupBy("a").agg(
-            F.struct((F.sum("wb") + F.first("wa") - 1).alias("degree"), _tie(F.col("a"), tie).alias("tie"),
-                     F.col("a").alias("id")).alias("p")
-        )
-        near = (
-            edges.select("a", "b").join(prio.select(F.col("a").alias("b"), "p"), "b")
-            .groupBy("a").agg(F.max("p").alias("q"))
-            .join(prio, "a").select("a", F.greatest("p", "q").alias("top"))
-        )
-        near = cut_lineage(near)
-        far = (
-            edges.select("a", "b").join(near.select(F.col("a").alias("b"), "top"), "b")
-            .groupBy("a").agg(F.max("top").alias("q"))
-            .join(near, "a").select("a", F.greatest("top", "q").alias("top2"))
-        )
-        taken = far.filter(F.col("top2.id") == F.col("a")).select(F.col("a").alias("rep"))
-        # A node within one step of a taken node has that node as its one-step maximum.
-        done = cut_lineage(
-            near.select(F.col("a").alias("gp"), F.col("top.id").alias("rep")).join(taken, "rep", "left_semi")
-            .select("gp", "rep")
-        )
-        gone = done.select(F.col("gp").alias("a"))
-        edges = cut_lineage(
-            edges.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti")
-            .select("a", "b", "wa", "wb")
-        )
-        mapped = done if mapped is None else mapped.unionByName(done)
-    nodes = pairs.select(F.col("a").alias("gp")).distinct()
-    if mapped is None:
-        return nodes.withColumn("rep", F.col("gp"))
-    return nodes.join(mapped, "gp", "left").select("gp", F.coalesce("rep", "gp").alias("rep"))
+        # The degree of a node counts all points it can serve, its own other copies too.
+        rank = F.struct(F.sum("copies").alias("degree"), _tie(F.col("a"), tie).alias("tie"), F.col("a").alias("id"))
+        priority = edges.groupBy("a").agg(rank.alias("top"))
+        one_step = _over_neighbours(edges, priority, F.max("top").alias("top"))
+        two_steps = _over_neighbours(edges, one_step, F.max("top").alias("top"))
+        taken = F.when(F.col("top.id") == F.col("b"), F.col("b"))
+        fate = _over_neighbours(edges, two_steps, F.max(taken).alias("rep"))
+        # One written table per round: every edge with the fate of its end b. Rows whose
+        # end b is gone leave the graph; a row of a gone start a is never looked up again.
+        state = materialise(edges.join(_as_end(fate), "b"), "round")
+        parts.append(state.filter("a = b AND rep IS NOT NULL").select(F.col("a").alias("gp"), "rep"))
+        edges = state.filter("rep IS NULL").select("a", "b", "copies")
+    if not parts:
+        return nodes.select(F.col("node").alias("gp"), F.col("node").alias("rep"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _as_end(values: DataFrame) -> DataFrame:
+    return values.withColumnRenamed("a", "b")
+
+
+def _over_neighbours(edges: DataFrame, values: DataFrame, total: Column) -> DataFrame:
+    """Aggregate the values of a node's neighbours, itself included."""
+    return edges.select("a", "b").join(_as_end(values), "b").groupBy("a").agg(total)
 
 
 def full_mapping(mapping: DataFrame, num_points: int) -> DataFrame:
@@ -137,12 +130,15 @@ def coarsening_counts(mapping: DataFrame, to_update: DataFrame) -> DataFrame:
 
     ``to_update``: one row per point (or similarity file) that asked for an update.
     """
-    asked = to_update.agg(F.count(F.lit(1)).alias("points_to_update"))
-    copies = mapping.agg(
+    nothing = F.lit(None).cast("long")
+    rows = mapping.select("gp", "rep", F.lit(0).alias("asked")).unionByName(
+        to_update.select(nothing.alias("gp"), nothing.alias("rep"), F.lit(1).alias("asked"))
+    )
+    both = rows.agg(
+        F.sum("asked").alias("points_to_update"),
         F.count_if(F.col("gp") != F.col("rep")).alias("neighbours_removed"),
         F.count_if(F.col("gp") == F.col("rep")).alias("representatives"),
     )
-    both = asked.select(F.lit(0).alias("_k"), "*").join(copies.select(F.lit(0).alias("_k"), "*"), "_k")
     return both.select(
         "points_to_update", "neighbours_removed",
         (F.col("points_to_update") - F.col("neighbours_removed")).alias("simulations_required"), "representatives",
