@@ -22,27 +22,22 @@ def with_ordinal(
     many tasks; only the small table of span counts is ordered per key.
     """
     span = F.col(order[0]) if span is None else span
-    tagged = df.withColumn("_span", F.floor(span.cast("double") / F.lit(float(width))))
-    by_key = Window.partitionBy(*keys).orderBy("_span")
+    place = F.floor(span.cast("double") / F.lit(float(width))).alias("_span")
+    # One struct as key: it is never null itself, so rows with a null key are joined too,
+    # and join and window share one partitioning.
+    tagged = df.withColumn("_key", F.struct(*keys, place))
+    earlier = (
+        Window.partitionBy(*[F.col(f"_key.{k}") for k in keys]).orderBy("_key._span")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     shifts = (
-        tagged.groupBy(*keys, "_span")
+        tagged.groupBy("_key")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .drop("_n")
-    )
-    inside = Window.partitionBy(*keys, "_span").orderBy(*order)
-    renamed = shifts.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_span").alias("_s"), "_before"
+        .select("_key", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
-    joined = tagged.join(renamed, _equal(tagged, keys), "inner")
+    inside = Window.partitionBy("_key").orderBy(*order)
     return (
-        joined.withColumn(out, (F.row_number().over(inside) - 1 + F.col("_before")).cast("long"))
-        .drop("_span", "_s", "_before", *[f"_k{i}" for i in range(len(keys))])
+        tagged.join(shifts, "_key")
+        .withColumn(out, (F.row_number().over(inside) - 1 + F.col("_before")).cast("long"))
+        .drop("_key", "_before")
     )
-
-
-def _equal(tagged: DataFrame, keys: list[str]) -> Column:
-    on = tagged["_span"].eqNullSafe(F.col("_s"))
-    for i, k in enumerate(keys):
-        on = on & tagged[k].eqNullSafe(F.col(f"_k{i}"))
-    return on

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import join_group_stats
+
 
 def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bins: int = 1024
@@ -21,7 +23,7 @@ def exact_quantiles(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")
     )
     unit = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    binned = counted.join(ranges, keys).withColumn(
+    binned = join_group_stats(counted, ranges, keys).withColumn(
         "_bin",
         F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor(unit * bins))).otherwise(F.lit(0)),
     )

@@ -13,8 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_group_stats
 from ..functions.workspace import materialise
 
+# A node with more edges than this is looked up in several parts.
+HUB_EDGES = 100_000
+
 
 def build_graph(edges: DataFrame) -> DataFrame:
     """Simple undirected graph: (a < b, dist, weight = 1 / dist), the least distance kept.
@@ -57,38 +61,49 @@ def coarsen(graph: DataFrame, classes: DataFrame | None = None, tie: str = "id")
     nodes = two_way(graph).select(F.col("a").alias("node")).distinct()
     # Every node is its own neighbour here, so a grouped maximum covers the node itself.
     pairs = two_way(graph).unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")))
-    if classes is None:
-        edges = pairs.withColumn("copies", F.lit(1).cast("long"))
-    else:
-        size = classes.select(F.col("cell").alias("b"), F.col("copies").cast("long").alias("copies"))
-        edges = pairs.join(size, "b").select("a", "b", "copies")
+    edges = pairs.withColumn("copies", F.lit(1).cast("long"))
+    if classes is not None:
+        several = classes.filter("copies > 1").select(F.col("cell").alias("b"), F.col("copies").cast("long").alias("_c"))
+        edges = join_group_stats(edges, several, ["b"], "left").select("a", "b", F.coalesce("_c", "copies").alias("copies"))
+    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HUB_EDGES).select(
+        "a", F.ceil(F.col("_n") / F.lit(float(HUB_EDGES))).cast("int").alias("_p")
+    )
+    for end in ("a", "b"):
+        edges = join_group_stats(edges, hubs.withColumnRenamed("a", end), [end], "left").withColumn(
+            f"parts_{end}", F.coalesce("_p", F.lit(1))
+        ).drop("_p")
     edges = materialise(edges, "edges")
     parts = []
     while not edges.isEmpty():
         # The degree of a node counts all points it can serve, its own other copies too.
         rank = F.struct(F.sum("copies").alias("degree"), _tie(F.col("a"), tie).alias("tie"), F.col("a").alias("id"))
-        priority = edges.groupBy("a").agg(rank.alias("top"))
+        priority = edges.groupBy("a").agg(rank.alias("top"), F.first("parts_a").alias("parts"))
         one_step = _over_neighbours(edges, priority, F.max("top").alias("top"))
         two_steps = _over_neighbours(edges, one_step, F.max("top").alias("top"))
         taken = F.when(F.col("top.id") == F.col("b"), F.col("b"))
         fate = _over_neighbours(edges, two_steps, F.max(taken).alias("rep"))
         # One written table per round: every edge with the fate of its end b. Rows whose
         # end b is gone leave the graph; a row of a gone start a is never looked up again.
-        state = materialise(edges.join(_as_end(fate), "b"), "round")
+        state = materialise(_with_end(edges, fate), "round")
         parts.append(state.filter("a = b AND rep IS NOT NULL").select(F.col("a").alias("gp"), "rep"))
-        edges = state.filter("rep IS NULL").select("a", "b", "copies")
+        edges = state.filter("rep IS NULL").drop("rep")
     if not parts:
         return nodes.select(F.col("node").alias("gp"), F.col("node").alias("rep"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _as_end(values: DataFrame) -> DataFrame:
-    return values.withColumnRenamed("a", "b")
+def _with_end(edges: DataFrame, values: DataFrame) -> DataFrame:
+    """Edges with the values of their end b. A hub's values are repeated for each of its
+    parts and its edges are spread over them."""
+    copies = values.withColumnRenamed("a", "b").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    part = F.pmod(F.xxhash64("a"), F.col("parts_b")).cast("int")
+    return edges.withColumn("_part", part).join(copies.drop("parts"), ["b", "_part"]).drop("_part")
 
 
 def _over_neighbours(edges: DataFrame, values: DataFrame, total: Column) -> DataFrame:
     """Aggregate the values of a node's neighbours, itself included."""
-    return edges.select("a", "b").join(_as_end(values), "b").groupBy("a").agg(total)
+    met = _with_end(edges.select("a", "b", "parts_a", "parts_b"), values)
+    return met.groupBy("a").agg(total, F.first("parts_a").alias("parts"))
 
 
 def full_mapping(mapping: DataFrame, num_points: int) -> DataFrame:
@@ -106,7 +121,10 @@ def expand_classes(mapping: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def apply_mapping(mapping: DataFrame, results: DataFrame, key: str = "gp") -> DataFrame:
-    """Every point takes the result rows of its representative."""
+    """Every point takes the result rows of its representative.
+
+    Both sides are plain shuffles, so Spark splits a representative of very many points.
+    """
     source = results.withColumnRenamed(key, "rep")
     return mapping.join(source, "rep")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_group_stats
 from ..functions.ordinal import with_ordinal
 from ..functions.polynomials import Marginal
 from ..functions.vectors import frobenius
@@ -37,19 +38,20 @@ def run_vectors(collated: DataFrame, keys: list[str] | None = None) -> DataFrame
 
 def train_test_split(runs: DataFrame, test_frac: float = 0.2, campaign: str | None = None) -> DataFrame:
     """First rows train: ``split`` by the position of the run id in its campaign."""
-    keyed = runs if campaign else runs.withColumn("_all", F.lit(0))
-    key = campaign or "_all"
-    counts = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    placed = with_ordinal(keyed, [key], ["run_id"], "position").join(counts, key)
+    if campaign:
+        counts = runs.groupBy(campaign).agg(F.count(F.lit(1)).alias("_n"))
+        placed = with_ordinal(runs, [campaign], ["run_id"], "position")
+        placed = join_group_stats(placed, counts, [campaign])
+    else:
+        placed = with_ordinal(runs, [], ["run_id"], "position").withColumn("_n", F.lit(runs.count()))
     train = F.col("position") < F.floor(F.col("_n") * F.lit(1.0 - test_frac) + F.lit(1e-9))
-    out = placed.withColumn("split", F.when(train, "train").otherwise("test")).drop("_n")
-    return out if campaign else out.drop("_all")
+    return placed.withColumn("split", F.when(train, "train").otherwise("test")).drop("_n")
 
 
 def scale_targets(collated: DataFrame) -> DataFrame:
     """Value divided by the Frobenius norm of its QoI matrix (all runs and times)."""
     norms = collated.groupBy("qoi").agg(frobenius(F.col("value")).alias("norm"))
-    return collated.join(norms, "qoi").withColumn("value", F.col("value") / F.col("norm")).drop("norm")
+    return join_group_stats(collated, norms, ["qoi"]).withColumn("value", F.col("value") / F.col("norm")).drop("norm")
 
 
 def feature_norm(runs: DataFrame, names: list[str]) -> float:

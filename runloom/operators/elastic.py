@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_group_stats
 from ..schemas import PRESSURES
 
 # Voigt order of the components and the unit factor (real units to GPa).
@@ -34,7 +35,7 @@ def running_block_means(
         "_nav", averaging_width(F.col("_n")) if width is None else width
     )
     blocks = (
-        df.join(sizes, keys)
+        join_group_stats(df, sizes, keys)
         .groupBy(*keys, F.floor(F.col(position) / F.col("_nav").cast("double")).cast("long").alias("block"))
         .agg(F.count(F.lit(1)).alias("_rows"), F.first("_nav").alias("_nav"), *[F.avg(c).alias(f"{c}_block") for c in columns])
         .filter(F.col("_rows") == F.col("_nav"))

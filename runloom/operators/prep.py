@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.joins import join_group_stats
 from ..functions.ordinal import with_ordinal
+from ..functions.workspace import materialise
 
 
 def drop_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -94,15 +96,17 @@ def step_mean(
 
 
 def front_pad(
-    nano: DataFrame, macro_steps: DataFrame, run: str, point: str, position: str, columns: list[str]
+    nano: DataFrame, macro_steps: DataFrame, run: str, point: str, position: str, columns: list[str],
+    rows: DataFrame | None = None,
 ) -> DataFrame:
     """Put one zero row in front of each point that has fewer rows than macro steps.
 
-    ``macro_steps``: (run, steps). A padded point's rows move one place back.
+    ``macro_steps``: (run, steps). A padded point's rows move one place back. ``rows`` may
+    name the table to count points from, where that is cheaper to read than ``nano``.
     """
-    counts = nano.groupBy(run, point).agg(F.count(F.lit(1)).alias("_n"))
+    counts = (nano if rows is None else rows).groupBy(run, point).agg(F.count(F.lit(1)).alias("_n"))
     short = counts.join(macro_steps, run).filter(F.col("_n") < F.col("steps")).select(run, point)
-    moved = nano.join(short.withColumn("_pad", F.lit(1)), [run, point], "left").select(
+    moved = join_group_stats(nano, short.withColumn("_pad", F.lit(1)), [run, point], "left").select(
         run, point, (F.col(position) + F.coalesce("_pad", F.lit(0))).cast("long").alias(position), *columns
     )
     zero = short.select(
@@ -116,20 +120,22 @@ def mean_across_points(
 ) -> tuple[DataFrame, DataFrame]:
     """Mean over the points of a run per time index, and one status row per run.
 
-    The number of points is taken from the data. A run where some time index lacks a
-    point is reported as ``ragged`` and left out of the means; other runs are kept.
+    Time indices of a point run from 0 without gaps, so the points are those at index 0.
+    A run where a later index lacks a point is reported as ``ragged`` and left out of the
+    means; other runs are kept. The sums serve both results and are written once.
     """
-    per_point = df.groupBy(run, point).agg(F.count(F.lit(1)).alias("_rows"))
+    sums = materialise(
+        df.groupBy(run, t).agg(F.count(point).alias("_points"), *[F.sum(c).alias(c) for c in columns]), "sums"
+    )
     status = (
-        per_point.groupBy(run)
-        .agg(F.count(F.lit(1)).alias("points"), F.min("_rows").alias("rows_min"), F.max("_rows").alias("rows_max"))
-        .withColumn("status", F.when(F.col("rows_min") == F.col("rows_max"), "ok").otherwise("ragged"))
+        sums.groupBy(run)
+        .agg(F.max("_points").alias("points"), F.min("_points").alias("_least"), F.count(F.lit(1)).alias("steps"))
+        .withColumn("status", F.when(F.col("points") == F.col("_least"), "ok").otherwise("ragged"))
+        .drop("_least")
     )
     good = status.filter(F.col("status") == "ok").select(run, "points")
     means = (
-        df.groupBy(run, t)
-        .agg(*[F.sum(c).alias(c) for c in columns])
-        .join(good, run)
+        sums.join(good, run)
         .select(run, t, *[(F.col(c) / F.col("points")).alias(c) for c in columns])
     )
     return means, status
@@ -151,7 +157,7 @@ def prepare_outputs(
     macro_mean = block_mean(macro, ["run_id"], "timestep", s).drop("timestep")
     steps = macro_mean.groupBy("run_id").agg(F.count(F.lit(1)).alias("steps"))
     indexed = with_ordinal(nano, ["run_id", "qpid"], ["time_id"], "position")
-    padded = front_pad(indexed, steps, "run_id", "qpid", "position", s)
+    padded = front_pad(indexed, steps, "run_id", "qpid", "position", s, nano)
     sampled = step_mean(padded, ["run_id", "qpid"], "position", s, sampling_steps)
     nano_mean, status = mean_across_points(sampled, "run_id", "t", "qpid", s)
     wide = join_scales(

@@ -14,9 +14,10 @@ from __future__ import annotations
 import itertools
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_group_stats
 from ..functions.workspace import materialise
 from ..schemas import STRAIN
 
@@ -29,19 +30,22 @@ def history_vectors(resampled: DataFrame, key: str = "cell", point: str = "point
     return resampled.groupBy(key).agg(F.flatten(F.transform(ordered, lambda p: p["v"])).alias("vec"))
 
 
+def _doubles(vec: str) -> Column:
+    """As doubles, without negative zero."""
+    return F.transform(vec, lambda x: x.cast("double") + F.lit(0.0)).alias("vec")
+
+
 def vector_classes(vectors: DataFrame, key: str = "cell") -> DataFrame:
     """One row per distinct vector: (cell = largest member, copies, vec)."""
-    same = vectors.select(key, F.transform("vec", lambda x: x.cast("double") + F.lit(0.0)).alias("vec"))
-    return same.groupBy("vec").agg(F.max(key).alias("cell"), F.count(F.lit(1)).alias("copies"))
+    return vectors.select(key, _doubles("vec")).groupBy("vec").agg(F.max(key).alias("cell"), F.count(F.lit(1)).alias("copies"))
 
 
 def class_members(vectors: DataFrame, classes: DataFrame, key: str = "cell") -> DataFrame:
-    """(cell, class): the class each point belongs to."""
-    same = vectors.select(
-        F.col(key).alias("member"), F.transform("vec", lambda x: x.cast("double") + F.lit(0.0)).alias("vec")
-    )
-    return same.join(classes.select("vec", F.col("cell").alias("class")), "vec").select(
-        F.col("member").alias("cell"), "class"
+    """(cell, class): the class each point belongs to. Only vectors with copies are joined."""
+    same = vectors.select(F.col(key).alias("member"), _doubles("vec"))
+    several = classes.filter("copies > 1").select("vec", F.col("cell").alias("class"))
+    return join_group_stats(same, several, ["vec"], "left").select(
+        F.col("member").alias("cell"), F.coalesce("class", "member").alias("class")
     )
 
 
@@ -99,6 +103,10 @@ def _compare_blocks(threshold: float):
     return compare
 
 
+def _task(i: Column, j: Column) -> Column:
+    return F.struct("home", "other", i.alias("i"), j.alias("j")).alias("task")
+
+
 def similar_pairs(classes: DataFrame, threshold: float, axes: int = 2, block_rows: int = 1024) -> DataFrame:
     """All pairs of distinct vectors with L2 distance below ``threshold``.
 
@@ -131,26 +139,30 @@ def similar_pairs(classes: DataFrame, threshold: float, axes: int = 2, block_row
     right = blocks.select(F.col("home").alias("other"), F.col("nb").alias("nb_other"))
     cell_pairs = towards.join(right, "other")
 
-    tagged = placed.withColumn("_h", F.xxhash64("cell"))
-    as_left = tagged.join(cell_pairs, "home").withColumn("_own", F.pmod("_h", F.col("nb")))
-    as_left = as_left.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("nb_other") - 1)))
+    # The block of a vector is known before it meets any pair of cells, so the keys of the
+    # joins below are single blocks, never a whole crowded cell.
+    crowded = blocks.filter("nb > 1").withColumnRenamed("nb", "_nb")
+    own = F.pmod(F.xxhash64("cell"), F.coalesce("_nb", F.lit(1))).cast("int")
+    tagged = join_group_stats(placed, crowded, ["home"], "left").select("cell", "vec", "home", own.alias("own"))
     same = F.col("home") == F.col("other")
-    as_left = as_left.filter(~same | (F.col("_own") <= F.col("_other"))).select(
-        F.lit(0).alias("side"), "cell", "vec",
-        F.struct("home", "other", F.col("_own").alias("i"), F.col("_other").cast("long").alias("j")).alias("task"),
+
+    def each(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    # Inside one cell block i meets blocks j >= i: from the left for i <= j, from the
+    # right for i < j; the block itself is a triangle of the left side.
+    as_left = (
+        tagged.join(cell_pairs.withColumn("own", each("nb")), ["home", "own"])
+        .withColumn("_other", each("nb_other"))
+        .filter(~same | (F.col("own") <= F.col("_other")))
+        .select(F.lit(0).alias("side"), "cell", "vec", _task(F.col("own"), F.col("_other")))
     )
     as_right = (
-        tagged.join(
-            cell_pairs.withColumnsRenamed({"home": "_left", "nb": "_nb_left"}), F.col("home") == F.col("other")
-        )
-        .withColumn("_own", F.pmod("_h", F.col("nb_other")))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb_left") - 1)))
-        # Inside one cell block i meets j > i from the right; i = j is the left side's triangle.
-        .filter((F.col("_left") != F.col("other")) | (F.col("_other") < F.col("_own")))
-        .select(
-            F.lit(1).alias("side"), "cell", "vec",
-            F.struct(F.col("_left").alias("home"), "other", F.col("_other").cast("long").alias("i"), F.col("_own").alias("j")).alias("task"),
-        )
+        tagged.withColumnRenamed("home", "other")
+        .join(cell_pairs.withColumn("own", each("nb_other")), ["other", "own"])
+        .withColumn("_other", each("nb"))
+        .filter(~same | (F.col("_other") < F.col("own")))
+        .select(F.lit(1).alias("side"), "cell", "vec", _task(F.col("_other"), F.col("own")))
     )
     tasks = as_left.unionByName(as_right)
     return tasks.groupBy("task").applyInPandas(_compare_blocks(threshold), PAIR_SCHEMA)

@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_group_stats
 from ..functions.polynomials import Marginal, basis_columns, multi_indices
 from ..functions.quantiles import exact_quantiles
 from ..functions.vectors import dot
+from ..functions.workspace import materialise
 
 GROUP = ["qoi", "t"]
 # Beyond this many terms the projection is a grouped sum over exploded terms.
@@ -44,7 +46,7 @@ def histogram(collated: DataFrame, bins: int = 50) -> DataFrame:
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("value").alias("total")
     )
     width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(F.lit(1.0 / bins))
-    placed = collated.join(ranges, GROUP).withColumn("width", width).withColumn(
+    placed = join_group_stats(collated, ranges, GROUP).withColumn("width", width).withColumn(
         "bin", F.least(F.floor((F.col("value") - F.col("lo")) / F.col("width")), F.lit(bins - 1)).cast("long")
     )
     return (
@@ -142,7 +144,7 @@ def pce_sobol(coefs: DataFrame, marginals: list[Marginal], order: int, kind: str
 def evaluate_pce(points: DataFrame, coefs: DataFrame, marginals: list[Marginal], order: int) -> DataFrame:
     """Prediction at rows that carry (qoi, t) and the parameters."""
     phi = F.array(*basis_columns(marginals, order))
-    joined = points.join(coefs.select(*GROUP, "coefs"), GROUP)
+    joined = join_group_stats(points, coefs.select(*GROUP, "coefs"), GROUP)
     return joined.withColumn("prediction", dot(F.col("coefs"), phi)).drop("coefs")
 
 
@@ -156,7 +158,7 @@ def weighted_moments(collated: DataFrame) -> DataFrame:
     )
     gap = F.col("value") - F.col("mean")
     return (
-        collated.join(mean, GROUP)
+        join_group_stats(collated, mean, GROUP)
         .groupBy(*GROUP)
         .agg(
             F.first("mean").alias("mean"),
@@ -251,18 +253,21 @@ def index_curves(moments: DataFrame, indices: DataFrame) -> DataFrame:
 
 
 def analyse(collated: DataFrame, marginals: list[Marginal], sampler: str, order: int = 3) -> dict[str, DataFrame]:
-    """All result tables of a campaign, by the kind of its design."""
+    """All result tables of a campaign, by the kind of its design.
+
+    ``collated`` is read more than once, so it should be a stored table.
+    """
     names = [m.name for m in marginals]
     if sampler == "random":
         return {"moments": describe(collated)}
     if sampler == "pce":
-        coefs = pce_coefficients(collated, marginals, order)
+        coefs = materialise(pce_coefficients(collated, marginals, order), "coefs")
         out = {"moments": pce_moments(coefs, marginals, order)}
         for kind in ("first", "total", "second"):
             out[f"sobol_{kind}"] = pce_sobol(coefs, marginals, order, kind)
         return out
     if sampler == "sc":
-        moments = weighted_moments(collated)
+        moments = materialise(weighted_moments(collated), "moments")
         return {"moments": moments, "sobol_first": sc_first_order(collated, names, moments)}
     if sampler == "qmc":
         return {"sobol": qmc_sobol(collated, names)}

@@ -154,7 +154,8 @@ register(
 
 
 def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample_histories(supplier_histories(spark, sf_dir), ["cell"], "step", STRAIN, POINTS)
+    histories = materialise(supplier_histories(spark, sf_dir), "histories")
+    return resample_histories(histories, ["cell"], "step", STRAIN, POINTS)
 
 
 # Natural spline by forward and backward elimination over the steps of all histories.
@@ -196,7 +197,7 @@ register(
 
 
 def history_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.history_vectors(resampled(spark, sf_dir))
+    return materialise(similarity.history_vectors(resampled(spark, sf_dir)), "vectors")
 
 
 HISTORY_PAIRS = f"""

@@ -150,7 +150,7 @@ def padded_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = events.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n")).groupBy("event_type").agg(
         F.ceil(F.avg("n")).alias("steps")
     )
-    return prep.front_pad(placed, steps, "event_type", "user_id", "position", ["value"])
+    return prep.front_pad(placed, steps, "event_type", "user_id", "position", ["value"], events)
 
 
 register(
@@ -183,7 +183,7 @@ rows_ AS (SELECT l_suppkey AS run_id, CAST(l_linenumber AS BIGINT) AS qpid, year
 nano AS (SELECT run_id, qpid, CAST(row_number() OVER (PARTITION BY run_id, qpid ORDER BY y) - 1 AS BIGINT) AS t,
                 {STRESS_MEANS} FROM rows_ GROUP BY run_id, qpid, y),
 counts AS (SELECT run_id, qpid, count(*) AS n FROM nano GROUP BY ALL),
-status AS (SELECT run_id, count(*) AS points, min(n) AS rows_min, max(n) AS rows_max,
+status AS (SELECT run_id, count(*) AS points, max(n) AS steps,
                   CASE WHEN min(n) = max(n) THEN 'ok' ELSE 'ragged' END AS status FROM counts GROUP BY run_id)
 """
 

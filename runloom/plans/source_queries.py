@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.workspace import new_folder
+from ..functions.workspace import materialise, new_folder
 from ..operators import prep, uq
 from ..sources import files, sinks
 from .prep_queries import BOTH, PREPARED_SQL, prepared_outputs
@@ -266,7 +266,7 @@ register(
 
 
 def analysis_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = collated(spark, sf_dir)
+    table = materialise(collated(spark, sf_dir), "collated")
     moments = uq.weighted_moments(table)
     path = new_folder(spark, "analysis")
     sinks.write_analysis({"moments": moments, "sobol": uq.sc_first_order(table, ["discount", "tax"], moments)}, path)

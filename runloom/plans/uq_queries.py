@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.polynomials import Marginal
+from ..functions.workspace import materialise
 from ..operators import collate, design, uq
 from .tables import (
     GRID, GRID_SQL, NODES, OBSERVED_SQL, collated, grid_outputs, grid_runs, load, observed, register,
@@ -152,28 +153,28 @@ first_order AS (
 
 register(
     "sc_moments",
-    lambda spark, sf: uq.weighted_moments(collated(spark, sf)),
+    lambda spark, sf: uq.weighted_moments(materialise(collated(spark, sf), "collated")),
     f"WITH {SC_SQL} SELECT * FROM moments",
     ["mean", "var", "std"], 4,
 )
 
 
 def sc_first_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return uq.sc_first_order(collated(spark, sf_dir), NAMES)
+    return uq.sc_first_order(materialise(collated(spark, sf_dir), "collated"), NAMES)
 
 
 register("sc_sobol_first", sc_first_order, f"WITH {SC_SQL} SELECT * FROM first_order", ["sobol"])
 
 register(
     "moment_bands",
-    lambda spark, sf: uq.moment_band(uq.weighted_moments(collated(spark, sf))),
+    lambda spark, sf: uq.moment_band(uq.weighted_moments(materialise(collated(spark, sf), "collated"))),
     f"WITH {SC_SQL} SELECT qoi, t, mean, mean - std AS lower, mean + std AS upper FROM moments",
     ["mean", "lower", "upper"], 4,
 )
 
 
 def index_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = coefficients(spark, sf_dir)
+    c = materialise(coefficients(spark, sf_dir), "coefs")
     return uq.index_curves(uq.pce_moments(c, GRID, ORDER), uq.pce_sobol(c, GRID, ORDER, "total"))
 
 
@@ -410,7 +411,7 @@ register(
 
 def campaign_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collate the grid campaign; mean, spread and first-order indices per QoI and time."""
-    table = collated(spark, sf_dir)
+    table = materialise(collated(spark, sf_dir), "collated")
     moments = uq.weighted_moments(table)
     first = uq.sc_first_order(table, NAMES, moments)
     return moments.select("qoi", "t", "mean", "std").join(first, ["qoi", "t"])

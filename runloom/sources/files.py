@@ -86,8 +86,12 @@ def numbered_lines(spark: SparkSession, path, path_filter: str | None = None) ->
     """Text lines with their 0-based number in the file.
 
     A big file is read in splits. Lines are numbered inside a split and shifted by the
-    line counts of earlier splits, so no task ever needs the whole file.
+    line counts of earlier splits, so no task ever needs the whole file. The number that
+    decides the split size is fixed for the session, so that every scan of a file is cut
+    alike even while executors come and go.
     """
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     reader = spark.read if path_filter is None else spark.read.option("pathGlobFilter", path_filter)
     lines = reader.text(path).select(
         F.col(PATH).alias("file"),

@@ -45,6 +45,13 @@ def test_coarsen_equals_sequential_greedy(spark, edges):
     assert mapping(spark, sorted(edges)) == greedy(edges)
 
 
+def test_hubs_are_split(spark, monkeypatch):
+    monkeypatch.setattr(coarsen, "HUB_EDGES", 2)
+    rng = np.random.default_rng(6)
+    edges = {(0, int(b)) for b in range(1, 20)} | {tuple(sorted(map(int, rng.choice(40, 2, replace=False)))) for _ in range(50)}
+    assert mapping(spark, sorted(edges)) == greedy(edges)
+
+
 def test_hash_ties_give_a_valid_mapping(spark):
     edges = [(i, i + 1) for i in range(40)]
     rep = mapping(spark, edges, tie="hash")
