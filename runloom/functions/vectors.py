@@ -18,6 +18,14 @@ def l2_distance(a: Column, b: Column) -> Column:
     return F.sqrt(squared_distance(a, b))
 
 
+def weighted_sum(weights: str, terms: list[Column]) -> Column:
+    """Sum of weights[i] * term_i as one plain expression, which Spark compiles."""
+    total = F.lit(0.0)
+    for i, term in enumerate(terms):
+        total = total + F.get(weights, F.lit(i)) * term
+    return total
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 

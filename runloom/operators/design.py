@@ -122,7 +122,10 @@ def fresh_sample(runs: DataFrame, marginals: list[Marginal], seed: int, factor:
 
     Rows hang on the design's run ids, so the sample is made where the runs are.
     """
-    ids = runs.select("run_id").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(factor - 1))))
+    # The run ids are few and the sample is large: spread the ids over all cores first.
+    cores = runs.sparkSession.sparkContext.defaultParallelism
+    ids = runs.select("run_id").repartition(cores, "run_id")
+    ids = ids.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(factor - 1))))
     ids = ids.select((F.col("run_id") * factor + F.col("copy")).alias("sample_id"))
     return random_design(ids, "sample_id", marginals, seed)
 

@@ -23,15 +23,17 @@ def averaging_width(total: Column) -> Column:
 
 
 def running_block_means(
-    df: DataFrame, keys: list[str], position: str, columns: list[str], width: Column | None = None
+    df: DataFrame, keys: list[str], position: str, columns: list[str], width: Column | None = None,
+    rows: DataFrame | None = None,
 ) -> DataFrame:
     """Mean of each full block of samples, then the mean of all blocks so far.
 
     ``position`` is the 0-based sample number of a series. The blocks of a series are at
     most about a thousand, so the ordered part is small however long the series is.
-    ``width`` may use ``_n``, the number of samples of the series.
+    ``width`` may use ``_n``, the number of samples of the series. ``rows`` may name the
+    table to count samples from, where that is cheaper to read than ``df``.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+    sizes = (df if rows is None else rows).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn(
         "_nav", averaging_width(F.col("_n")) if width is None else width
     )
     blocks = (
@@ -47,20 +49,22 @@ def running_block_means(
     )
 
 
-def average_lengths(df: DataFrame, keys: list[str], position: str, columns: list[str]) -> DataFrame:
+def average_lengths(
+    df: DataFrame, keys: list[str], position: str, columns: list[str], rows: DataFrame | None = None
+) -> DataFrame:
     """Cell lengths averaged in blocks of half the run, then over the blocks."""
     half = F.greatest(F.lit(1), F.floor(F.col("_n") / F.lit(2.0))).cast("long")
-    return _final(running_block_means(df, keys, position, columns, half), keys, columns)
+    return _final(running_block_means(df, keys, position, columns, half, rows), keys, columns)
 
 
 def _final(running: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return running.groupBy(*keys).agg(*[F.max_by(f"{c}_running", "block").alias(c) for c in columns])
 
 
-def averaged_stress(samples: DataFrame, position: str = "position") -> DataFrame:
+def averaged_stress(samples: DataFrame, position: str = "position", rows: DataFrame | None = None) -> DataFrame:
     """Final running mean per (material, dir, ori); dir 0 is the undeformed state."""
     keys = ["material", "dir", "ori"]
-    return _final(running_block_means(samples, keys, position, PRESSURES), keys, PRESSURES)
+    return _final(running_block_means(samples, keys, position, PRESSURES, rows=rows), keys, PRESSURES)
 
 
 def strain_sign(e: Column) -> Column:

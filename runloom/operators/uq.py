@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.joins import join_group_stats
 from ..functions.polynomials import Marginal, basis_columns, multi_indices
 from ..functions.quantiles import exact_quantiles
-from ..functions.vectors import dot
+from ..functions.vectors import dot, weighted_sum
 from ..functions.workspace import materialise
 
 GROUP = ["qoi", "t"]
@@ -143,9 +143,10 @@ def pce_sobol(coefs: DataFrame, marginals: list[Marginal], order: int, kind: str
 
 def evaluate_pce(points: DataFrame, coefs: DataFrame, marginals: list[Marginal], order: int) -> DataFrame:
     """Prediction at rows that carry (qoi, t) and the parameters."""
-    phi = F.array(*basis_columns(marginals, order))
+    phi = basis_columns(marginals, order)
     joined = join_group_stats(points, coefs.select(*GROUP, "coefs"), GROUP)
-    return joined.withColumn("prediction", dot(F.col("coefs"), phi)).drop("coefs")
+    value = weighted_sum("coefs", phi) if len(phi) <= MAX_SUMS else dot(F.col("coefs"), F.array(*phi))
+    return joined.withColumn("prediction", value).drop("coefs")
 
 
 # --- stochastic collocation on a tensor grid ---------------------------------------

@@ -29,13 +29,17 @@ ORI_SQL = "CASE WHEN l_linenumber = 1 THEN 'org' WHEN l_linestatus = 'O' THEN 'p
 ORDER = ["l_shipdate", "l_orderkey", *PRESSURES]
 
 
-def stress_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = load(spark, sf_dir, "lineitem").select(
+def stress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("material"), (F.col("l_linenumber") - 1).cast("long").alias("dir"),
         F.expr(ORI_SQL).alias("ori"), "l_shipdate", "l_orderkey", *[F.expr(e).alias(n) for n, e in PRESSURE_SQL.items()],
     )
+
+
+def averaged_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = stress_lines(spark, sf_dir)
     day = F.unix_date(F.col("l_shipdate").cast("date"))
-    return with_ordinal(line, KEYS, ORDER, "position", span=day, width=30)
+    return elastic.averaged_stress(with_ordinal(line, KEYS, ORDER, "position", span=day), rows=line)
 
 
 NAV = "greatest(1, CASE WHEN n > 10000 THEN n // 1000 ELSE n // 10 END)"
@@ -53,7 +57,9 @@ stress AS (SELECT material, dir, ori, {", ".join(f"avg({p}) AS {p}" for p in PRE
 
 register(
     "running_block_means",
-    lambda spark, sf: elastic.running_block_means(user_positions(spark, sf), ["user_id"], "position", ["value"]),
+    lambda spark, sf: elastic.running_block_means(
+        user_positions(spark, sf), ["user_id"], "position", ["value"], rows=load(spark, sf, "events")
+    ),
     f"""WITH {USER_POSITIONS},
         sized AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM placed),
         blocks AS (SELECT user_id, CAST(position // {NAV} AS BIGINT) AS block, avg(value) AS value_block FROM sized
@@ -70,8 +76,8 @@ def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("run_id"), "o_orderkey", F.sqrt("o_totalprice").alias("lx"),
         F.sqrt(F.col("o_totalprice") + F.month("o_orderdate")).alias("ly"), F.sqrt(F.col("o_totalprice") * 2).alias("lz"),
     )
-    placed = with_ordinal(orders, ["run_id"], ["o_orderkey"], "position", width=4096)
-    return elastic.average_lengths(placed, ["run_id"], "position", ["lx", "ly", "lz"])
+    placed = with_ordinal(orders, ["run_id"], ["o_orderkey"], "position")
+    return elastic.average_lengths(placed, ["run_id"], "position", ["lx", "ly", "lz"], orders)
 
 
 register(
@@ -88,7 +94,7 @@ register(
 
 register(
     "averaged_stress",
-    lambda spark, sf: elastic.averaged_stress(stress_samples(spark, sf)),
+    averaged_stress,
     f"WITH {STRESS_CTE} SELECT * FROM stress",
     PRESSURES,
 )
@@ -128,8 +134,7 @@ sym AS (SELECT material, least(i, j) AS i, greatest(i, j) AS j, avg(c) AS c FROM
 
 
 def differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stress = elastic.averaged_stress(stress_samples(spark, sf_dir))
-    return elastic.stiffness_differences(stress, material_states(spark, sf_dir))
+    return elastic.stiffness_differences(averaged_stress(spark, sf_dir), material_states(spark, sf_dir))
 
 
 register(

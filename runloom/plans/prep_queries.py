@@ -40,7 +40,7 @@ register(
 
 def user_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
-    return with_ordinal(events, ["user_id"], ["event_id"], "position", width=4096)
+    return with_ordinal(events, ["user_id"], ["event_id"], "position")
 
 
 USER_POSITIONS = """
@@ -146,7 +146,7 @@ register(
 def padded_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event type = run, user = point; the macro scale has the mean number of steps."""
     events = load(spark, sf_dir, "events").select("event_type", "user_id", "event_id", "value")
-    placed = with_ordinal(events, ["event_type", "user_id"], ["event_id"], "position", width=4096)
+    placed = with_ordinal(events, ["event_type", "user_id"], ["event_id"], "position")
     steps = events.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n")).groupBy("event_type").agg(
         F.ceil(F.avg("n")).alias("steps")
     )

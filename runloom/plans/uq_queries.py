@@ -350,7 +350,7 @@ register(
     """WITH f AS (SELECT o_orderkey AS run_id, o_totalprice AS price, month(o_orderdate)::DOUBLE AS month FROM orders),
        m AS (SELECT sqrt(sum(price * price + month * month)) AS n FROM f)
        SELECT run_id, price / n AS price, month / n AS month FROM f, m""",
-    ORDER_FEATURES, 12,
+    ORDER_FEATURES, 9,
 )
 
 register(

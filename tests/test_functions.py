@@ -73,19 +73,29 @@ def test_unit_hash_does_not_depend_on_partitions(spark):
     assert a[42] == int(digits, 16) / 2**52
 
 
-@pytest.mark.parametrize("width", [1, 7, 1000])
-def test_ordinal_matches_sorted_position(spark, width):
+@pytest.mark.parametrize("hot_rows", [1, 20, 1000])
+def test_ordinal_matches_sorted_position(spark, hot_rows):
     rng = np.random.default_rng(1)
     rows = [(int(k), float(o), i) for i, (k, o) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(0, 90, 200)))]
     rows += [(None, 5.0, 900), (None, 4.0, 901)]
     df = spark.createDataFrame(rows, "k int, o double, i int").repartition(5)
-    got = {r.i: r.ordinal for r in with_ordinal(df, ["k"], ["o", "i"], width=width).collect()}
+    got = {r.i: r.ordinal for r in with_ordinal(df, ["k"], ["o", "i"], hot_rows=hot_rows).collect()}
     assert len(got) == 202
     for k in (0, 1, 2, None):
         expect = [i for _, i in sorted((o, i) for kk, o, i in rows if kk == k)]
         assert [got[i] for i in expect] == list(range(len(expect)))
 
 
+def test_ordinal_of_one_group_with_an_outlier_and_nulls(spark):
+    rng = np.random.default_rng(8)
+    values = [float(v) for v in rng.permutation(300)] + [1e12, -1e12, None]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, o double").repartition(4)
+    got = {r.i: r.ordinal for r in with_ordinal(df, [], ["o", "i"], hot_rows=10).collect()}
+    # Rows without order value come first.
+    placed = [i for i, v in sorted(enumerate(values), key=lambda p: (p[1] is not None, p[1] or 0.0))]
+    assert [got[i] for i in placed] == list(range(len(values)))
+
+
 def test_exact_quantiles_with_hot_group_and_ties(spark):
     rng = np.random.default_rng(2)
     hot = np.concatenate([np.full(400, 3.0), rng.normal(0, 5, 601)])
