@@ -66,6 +66,15 @@ def test_strain_histories_ignore_other_files(spark, tmp_path):
     assert np.isclose(rows[0].strain_22, 7.5)
 
 
+def test_similarity_edges_default_names(spark, tmp_path):
+    (tmp_path / "last.1.similar_hist").write_text("1 2 0.5\n1 3 0.25\n")
+    (tmp_path / "last.2.similar_hist").write_text("2 1 0.5\n\n")
+    (tmp_path / "other.txt").write_text("9 9 9\n")
+    df = files.similarity_edges(spark, str(tmp_path))
+    assert sorted((r.cell1, r.cell2, r.dist) for r in df.collect()) == [(1, 2, 0.5), (1, 3, 0.25), (2, 1, 0.5)]
+    assert df.select("file").distinct().count() == 2
+
+
 def test_run_inputs_flatten(spark, tmp_path):
     for r, temp in ((1, 100.0), (2, 200.0)):
         d = tmp_path / str(r)
