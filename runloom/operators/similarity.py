@@ -12,6 +12,8 @@ Three facts keep the work down, and none of them loses a pair:
 from __future__ import annotations
 
 import itertools
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -115,29 +117,44 @@ def similar_pairs(classes: DataFrame, threshold: float, axes: int = 2, block_row
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
     positions = widest_coordinates(classes, threshold, axes)
-    m = len(positions)
-    # One home cell per vector; a vector without usable axis is in the single cell ().
+    if positions:
+        tasks = _cell_tasks(classes, positions, threshold, block_rows)
+    else:
+        tasks = _block_tasks(classes, block_rows)
+    return tasks.groupBy("task").applyInPandas(_compare_blocks(threshold), PAIR_SCHEMA)
+
+
+def _block_tasks(classes: DataFrame, block_rows: int) -> DataFrame:
+    """No coordinate can part the vectors: every block goes to one task with every other."""
+    blocks = max(1, math.ceil(classes.count() / block_rows))
+    nowhere = F.array(F.lit(0).cast("long"))
+    met = (
+        classes.select("cell", "vec", F.pmod(F.xxhash64("cell"), F.lit(blocks)).cast("int").alias("own"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .withColumns({"home": nowhere, "other": nowhere})
+    )
+    side = F.when(F.col("own") <= F.col("_other"), F.lit(0)).otherwise(F.lit(1))
+    return met.select(side.alias("side"), "cell", "vec", _task(F.least("own", "_other"), F.greatest("own", "_other")))
+
+
+def _cell_tasks(classes: DataFrame, positions: list[int], threshold: float, block_rows: int) -> DataFrame:
+    """Vectors meet those of their own and of neighbouring grid cells, block by block."""
     # Cells are a little wider than the threshold so that rounding cannot part a pair.
     width = F.lit(1.001 * threshold)
     home = F.array(*[F.floor(F.get("vec", F.lit(p)) / width).cast("long") for p in positions])
-    if m == 0:
-        home = F.array(F.lit(0).cast("long"))
     placed = classes.select("cell", "vec", home.alias("home"))
-    sizes = placed.groupBy("home").agg(F.count(F.lit(1)).alias("_n"))
-    blocks = sizes.select("home", F.ceil(F.col("_n") / F.lit(float(block_rows))).cast("int").alias("nb"))
+    blocks = placed.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block_rows))).cast("int").alias("nb"))
 
     # Pairs of occupied neighbour cells, each once (offset not lexicographically negative).
-    offsets = [o for o in itertools.product((-1, 0, 1), repeat=max(1, m)) if o >= (0,) * max(1, m)]
-    if m == 0:
-        offsets = [(0,)]
+    m = len(positions)
+    offsets = [o for o in itertools.product((-1, 0, 1), repeat=m) if o >= (0,) * m]
     shifts = F.array(*[F.array(*[F.lit(v).cast("long") for v in o]) for o in offsets])
     towards = (
         blocks.withColumn("_o", F.explode(shifts))
         .withColumn("other", F.zip_with("home", "_o", lambda x, y: x + y))
         .select("home", "nb", "other")
     )
-    right = blocks.select(F.col("home").alias("other"), F.col("nb").alias("nb_other"))
-    cell_pairs = towards.join(right, "other")
+    cell_pairs = towards.join(blocks.select(F.col("home").alias("other"), F.col("nb").alias("nb_other")), "other")
 
     # The block of a vector is known before it meets any pair of cells, so the keys of the
     # joins below are single blocks, never a whole crowded cell.
@@ -164,8 +181,7 @@ def similar_pairs(classes: DataFrame, threshold: float, axes: int = 2, block_row
         .filter(~same | (F.col("_other") < F.col("own")))
         .select(F.lit(1).alias("side"), "cell", "vec", _task(F.col("_other"), F.col("own")))
     )
-    tasks = as_left.unionByName(as_right)
-    return tasks.groupBy("task").applyInPandas(_compare_blocks(threshold), PAIR_SCHEMA)
+    return as_left.unionByName(as_right)
 
 
 def similar_histories(vectors: DataFrame, threshold: float, key: str = "cell", axes: int = 2,
