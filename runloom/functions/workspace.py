@@ -1,38 +1,32 @@
-"""Shared folder for checkpoints and intermediate tables."""
+"""Shared folder for intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """Folder named by ``spark.checkpoint.dir``; where that is unset, one below the session's warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="runloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work").rstrip("/")
+
+
+def work_root(spark: SparkSession) -> str:
+    """The one folder that holds all intermediate tables of this session."""
+    return f"{shared_dir(spark)}/runloom-{spark.sparkContext.applicationId}"
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder (never reused, never cleared here)."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the session's folder (never reused, never cleared here)."""
+    return f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+def drop_work(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this session; lazy results that read them end with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

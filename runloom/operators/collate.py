@@ -127,7 +127,3 @@ def total_sensitivity(sensitivity: DataFrame, scaled: bool = False) -> DataFrame
     """Mean over QoIs (optionally min-max scaled) with the ranking of the parameters."""
     mean = mean_over_qois(sensitivity)
     return rank_parameters(min_max_scaled(mean, []) if scaled else mean, [])
-
-
-def parameter_names(marginals: list[Marginal]) -> list[str]:
-    return [m.name for m in marginals]
