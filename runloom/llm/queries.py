@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.workspace import new_folder
-from . import decontaminate, mixing, sharding, url_filter, warc
-from .registry import QUERIES, SQL, table
+from . import chunks, decontaminate, fingerprint, language, mixing, ngram_join, quality, sharding, url_filter, warc
+from .registry import QUERIES, SQL, held_out, table
 
 SHARDS = 8
+GOOD = 0.3
 URL_RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
     ("block", "net", "/es/"), ("block", "net", "/fr/"),
@@ -46,12 +47,24 @@ GROUP BY d.id, d.n, i.id HAVING 5 * count(*) >= 4 * any_value(n_item)
 """
 
 
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit_quality(quality.labelled_sample(docs, labels, ~held_out(F.col("doc_id"))))
+    return quality.score_quality(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = [(s, 1.0) for s in range(SHARDS)]
     placed = sharding.shard_records(table(spark, sf_dir, "documents"), shards, grown=[*shards, (SHARDS, 1.0)])
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, url_filter.rule_table(spark, URL_RULES)).select(
@@ -71,6 +84,10 @@ FROM parts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts
 """
 
 
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rates = mixing.source_rates(docs, MIX["exponent"], MIX["epochs"])
@@ -99,12 +116,28 @@ SELECT doc_id, source, copy::INT AS copy, ('0x' || substr(md5('mix:order:' || co
 FROM (SELECT *, row_number() OVER () AS n FROM parts) JOIN counts USING (n), range(0, 400) c(copy) WHERE copy < copies
 """
 
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    prototypes = language.learn_languages(docs, ~held_out(F.col("doc_id")))
+    return language.predict_language(docs.select("doc_id", "text"), prototypes).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES |= {
     "op1_warc": warc_round_trip,
     "op2_benchmark_decontamination": benchmark_decontamination,
+    "op3_quality": quality_scores,
     "op4_sharding": rendezvous_sharding,
+    "op5_ngram_join": ngram_components,
     "op6_url_filters": url_filters,
+    "op7_fingerprints": document_fingerprints,
     "op8_mixing": source_mixing,
+    "op9_language": language_id,
+    "op10_substring_dedup": substring_dedup,
 }
 SQL |= {
     "op2_benchmark_decontamination": DECONTAMINATION_SQL,
