@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.workspace import materialise
@@ -478,3 +478,25 @@ def jaccard_components(
     return facts.join(members, "set_id", "left").select(
         F.col("_key").alias(key), "n_shingles",
         F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "_key")).otherwise(F.col("_key")).alias("component_id"))
+
+
+def keep_one(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT,
+    broadcast_ids: int = BROADCAST_IDS,
+) -> DataFrame:
+    """``docs`` with one row for each component of linked documents: that of the smallest key.
+
+    Of rows with equal keys the one whose text is first in order stays. Rows with a null
+    key, which cannot be told apart, all stay. Columns are unchanged.
+    """
+    placed = materialise(jaccard_components(docs, key, text, words, percent, broadcast_ids), "components")
+    gone = placed.filter(F.col("component_id") != F.col(key)).select(F.col(key).alias("_gone")).distinct()
+    again = placed.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_again")).count().filter("count > 1").select("_again")
+    small = lambda df: F.broadcast(df) if df.count() <= broadcast_ids else df
+    gone, again = small(materialise(gone, "gone")), small(materialise(again, "again"))
+    left = docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    once = left.join(again, F.col(key) == F.col("_again"), "left_anti")
+    first = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last(), *[F.col(f"`{c}`") for c in docs.columns if c not in (key, text)])
+    several = left.join(again, F.col(key) == F.col("_again"), "left_semi").withColumn(
+        "_place", F.row_number().over(first)).filter("_place = 1").drop("_place")
+    return once.unionByName(several)

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS = 1500
 SAMPLE_BYTES = 32 << 10
 DICTIONARY_BYTES = 112 << 10
-# Texts are compressed in blocks, so that a long text's own history does not hide the dictionary.
-BLOCK_BYTES = 2048
+# Texts are compressed in short blocks, so that their own history does not hide the dictionary.
+BLOCK_BYTES = 512
 LEVEL = 3
 
 
