@@ -68,9 +68,9 @@ def source_rates(docs: DataFrame, exponent: float, epochs: float, source: str =
 
 def mix_sources(
     docs: DataFrame, rates: DataFrame, seed: str = "mix", key: str = "doc_id", source: str = "source",
-    broadcast_sources: int = BROADCAST_SOURCES,
+    broadcast_sources: int = BROADCAST_SOURCES, copy: str = "copy", order: str = "order_key",
 ) -> DataFrame:
-    """Every document as often as its Poisson count says, in global hash order, with (copy, order_key).
+    """Every document as often as its Poisson count says, in global hash order, with its copy and order key.
 
     The count depends on the seed and the key, so equal keys have equal counts and a rerun
     gives the same mix. Rows of a source that ``rates`` does not name are left out, since
@@ -82,12 +82,12 @@ def mix_sources(
     rates = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
     if rates.count() <= broadcast_sources:
         rates = F.broadcast(rates)
-    docs = docs.drop("copy", "order_key")
+    docs = docs.drop(copy, order)
     text_key = F.col(key).cast("string")
     counted = docs.join(rates, F.col(source).eqNullSafe(F.col("_source"))).withColumn(
         "_count", poisson_count(F.col("_rate"), seed, text_key)
     ).drop("_source", "_rate").filter("_count > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1))).drop("_count")
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col("copy").cast("string"), text_key))
-    keyed = copies.withColumn("order_key", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
-    return keyed.repartitionByRange("order_key").sortWithinPartitions("order_key", key, "copy")
+    copies = counted.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("_count") - 1))).drop("_count")
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col(copy).cast("string"), text_key))
+    keyed = copies.withColumn(order, F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
+    return keyed.repartitionByRange(order).sortWithinPartitions(order, key, copy)

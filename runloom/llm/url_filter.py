@@ -81,11 +81,11 @@ def judge_urls(
         F.explode(F.array_distinct(F.concat(_tokens(F.col("_place")), F.array(F.lit(""))))).alias("token"),
     ).join(index, "token").filter(F.expr("regexp_like(_place, pattern)"))
     best = fetched.groupBy("_url").agg(
-        F.min(F.struct((-F.length("rule")).alias("size"), "rule", "verdict")).alias("best"))
+        F.min(F.struct((-F.length("rule")).alias("size"), "rule", "verdict")).alias("_best"))
     return (
         pages.join(best, pages[url] == best["_url"], "left")
         .withColumns({
             "host": F.coalesce(url_host(F.col(url)), F.lit("")), "path": F.coalesce(url_path(F.col(url)), F.lit("")),
-            "rule": F.col("best.rule"), "verdict": F.coalesce(F.col("best.verdict"), F.lit(default)),
-        }).drop("_url", "best")
+            "rule": F.col("_best.rule"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default)),
+        }).drop("_url", "_best")
     )

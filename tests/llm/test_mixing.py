@@ -1,0 +1,67 @@
+import hashlib
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from runloom.llm import mixing
+from runloom.llm.queries import QUERIES, SQL
+from tests.oracle import connect, differences
+
+
+def brute_count(mean, seed, key):
+    parts = math.ceil(mean / mixing.PART_MEAN)
+    total = 0
+    for i in range(1, parts + 1):
+        digest = hashlib.md5(":".join(x for x in (seed, str(i), key) if x is not None).encode()).hexdigest()
+        u = (int(digest[:13], 16) + 0.5) / 2**52
+        each, k = mean / parts, 0
+        term = cdf = math.exp(-each)
+        while cdf < u and k < 60:
+            k += 1
+            term *= each / k
+            cdf += term
+        total += k
+    return total
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.3, 1.0, 7.9, 30.0])
+def test_counts_invert_the_distribution(spark, mean):
+    rows = spark.range(3000).select(mixing.poisson_count(F.lit(mean), "s", F.col("id").cast("string")).alias("n")).collect()
+    assert [r.n for r in rows[:200]] == [brute_count(mean, "s", str(i)) for i in range(200)]
+    average = sum(r.n for r in rows) / 3000
+    assert abs(average - mean) <= 4 * math.sqrt(mean / 3000) + 1e-9
+    if mean:
+        assert abs(sum((r.n - average) ** 2 for r in rows) / 3000 / mean - 1) < 0.15
+
+
+def test_sources_get_their_weights(spark):
+    docs = spark.range(20_000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "small").otherwise("large").alias("source"), F.lit("0123456789").alias("text"))
+    mixed = mixing.mix_sources(docs, mixing.source_rates(docs, 0.0, 1.0)).groupBy("source").count().collect()
+    assert all(abs(r["count"] - 10_000) < 500 for r in mixed)
+
+
+@pytest.mark.parametrize("broadcast_sources", [0, 100])
+def test_odd_rows(odd_docs, no_docs, broadcast_sources):
+    rates = mixing.source_rates(odd_docs, 1.0, 4.0)
+    assert all(abs(r.rate - 4.0) < 1e-9 for r in rates.collect())
+    mixed = mixing.mix_sources(odd_docs, rates, broadcast_sources=broadcast_sources)
+    assert set(mixed.columns) == {*odd_docs.columns, "copy", "order_key"}
+    got = {}
+    for r in mixed.collect():
+        got.setdefault(r.doc_id, []).append(r["copy"])
+    for i in {r.doc_id for r in odd_docs.collect()}:
+        n = brute_count(4.0, "mix", None if i is None else str(i))
+        assert sorted(got.get(i, [])) == sorted(list(range(n)) * (2 if i == 1 else 1))
+    assert mixing.mix_sources(no_docs, mixing.source_rates(no_docs, 1.0, 1.0)).count() == 0
+
+
+def test_order_is_global(spark, sf_dir):
+    keys = [r.order_key for r in QUERIES["op8_mixing"](spark, sf_dir).select("order_key").collect()]
+    assert keys == sorted(keys)
+
+
+def test_query_equals_sql(spark, sf_dir):
+    got = QUERIES["op8_mixing"](spark, sf_dir).toPandas()
+    assert differences(got, connect(sf_dir).execute(SQL["op8_mixing"]).df()) == []
