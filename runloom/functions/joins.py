@@ -13,12 +13,13 @@ def join_group_stats(
 ) -> DataFrame:
     """Rows with the few rows of ``stats`` that have their keys.
 
-    Rows are salted by the partition they come from and ``stats`` is repeated per salt, so
-    a group with a third of all rows is met by ``spread`` tasks where Spark shuffles both
-    sides. Spark sends ``stats`` to all tasks instead while it is below the broadcast
+    Rows are salted by a hash of their values and ``stats`` is repeated per salt, so a
+    group with a third of all rows is met by ``spread`` tasks where Spark shuffles both
+    sides, however the rows lay before. Spark sends ``stats`` to all tasks instead while it is below the broadcast
     threshold. A grouping that follows combines on the map side first, because the join
     is not partitioned by the keys alone.
     """
-    salted = rows.withColumn("_salt", (F.spark_partition_id() % F.lit(spread)).cast("int"))
+    values = [F.col(f"`{f.name}`") for f in rows.schema.fields if "map" not in f.dataType.simpleString()]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*values), F.lit(spread)).cast("int"))
     copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

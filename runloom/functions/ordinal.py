@@ -1,65 +1,43 @@
-"""Row positions without putting a very large group in one task."""
+"""Row positions inside groups."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import join_group_stats
 from .workspace import materialise
 
-# A key with more rows than this is numbered in several spans.
-HOT_ROWS = 2_000_000
-CUTS = 32
 
-
-def with_ordinal(
-    df: DataFrame, keys: list[str], order: list[str], out: str = "ordinal", span: Column | None = None,
-    hot_rows: int | None = None,
-) -> DataFrame:
+def with_ordinal(df: DataFrame, keys: list[str], order: list[str], out: str = "ordinal") -> DataFrame:
     """0-based position of each row inside its key group, in order of ``order``.
 
-    The group sizes are counted first. Without a large group the position is a plain
-    window. A large group is cut into spans of the numeric expression ``span`` (default:
-    the first order column, which it must not contradict); rows are numbered inside a
-    span and shifted by the number of rows in earlier spans.
+    One lazy window for every type and size. A group is sorted by one task, which spills;
+    for groups that may hold a large part of the table use ``with_spread_ordinal``.
     """
-    hot_rows = hot_rows or HOT_ROWS
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    if large.isEmpty():
-        inside = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(out, (F.row_number().over(inside) - 1).cast("long"))
-    return _in_spans(df, keys, order, out, F.col(order[0]) if span is None else span, materialise(large, "large"), hot_rows)
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(out, (F.row_number().over(inside) - 1).cast("long"))
+
 
+def with_spread_ordinal(df: DataFrame, keys: list[str], order: list[str], out: str = "ordinal") -> DataFrame:
+    """The same positions without a group in one task; writes one table.
 
-def _in_spans(
-    df: DataFrame, keys: list[str], order: list[str], out: str, span: Column, large: DataFrame, hot_rows: int
-) -> DataFrame:
-    """Spans are equal cuts between the approximate 1/32 quantiles of a large group."""
-    x = df.withColumn("_x", span.cast("double"))
-    shares = [i / CUTS for i in range(CUTS + 1)]
-    cuts = join_group_stats(x.select(*keys, "_x"), large, keys).groupBy(*keys).agg(
-        F.ceil(F.first("_n") / F.lit(float(hot_rows * CUTS))).alias("_fine"),
-        F.percentile_approx("_x", shares, 10_000).alias("_cuts"),
-    )
-    tagged = join_group_stats(x, materialise(cuts, "cuts"), keys, "left")
-    below = F.size(F.filter("_cuts", lambda c: c <= F.col("_x"))) - 1
-    at = F.when(F.col("_x").isNotNull(), F.greatest(F.lit(0), F.least(F.lit(CUTS - 1), below)))
-    low, high = F.get("_cuts", F.col("_at")), F.get("_cuts", F.col("_at") + 1)
-    share = F.when(high > low, (F.col("_x") - low) / (high - low)).otherwise(F.lit(0.0))
-    fine = F.when(F.col("_x").isNotNull(), F.floor(F.greatest(F.lit(0.0), share) * F.col("_fine")))
-    spanned = tagged.withColumn("_at", at).withColumn(
-        # Rows without order value come first.
-        "_span", F.when(F.col("_cuts").isNotNull(), F.coalesce(
-            F.col("_at") * F.col("_fine") + F.when(fine < F.col("_fine"), fine).when(fine.isNotNull(), F.col("_fine") - 1),
-            F.lit(-1)))
-    ).drop("_cuts", "_fine", "_at", "_x")
-    earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    counts = spanned.filter("_span IS NOT NULL").groupBy(*keys, "_span").agg(F.count(F.lit(1)).alias("_n"))
-    shifts = counts.select(*keys, "_span", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_span").orderBy(*order)
-    return (
-        spanned.join(shifts, [*keys, "_span"], "left")
-        .withColumn(out, (F.row_number().over(inside) - 1 + F.coalesce("_before", F.lit(0))).cast("long"))
-        .drop("_span", "_before")
-    )
+    Rows are range-partitioned by keys, order and, among equals, a hash of the row, so
+    any group and any repeated value is spread. They are numbered inside a partition and
+    shifted by what earlier partitions hold of their group. The table is written once,
+    because ranges differ from one evaluation to the next.
+    """
+    tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map" not in f.dataType.simpleString()])
+    tied = df.withColumn("_tie", tie)
+    dealt = tied.repartitionByRange(*[F.col(c) for c in [*keys, *order]], F.col("_tie"))
+    stored = materialise(dealt.withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = stored.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order, "_tie")
+    placed = stored.withColumn("_place", F.row_number().over(inside) - 1)
+    same = F.lit(True)
+    shifts = shifts.toDF(*[f"_k{i}" for i in range(len(keys))], "_p", "_before")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    met = placed.join(shifts, (F.col("_part") == F.col("_p")) & same)
+    return met.withColumn(out, (F.col("_place") + F.col("_before")).cast("long")).select(*df.columns, out)

@@ -8,7 +8,10 @@ join or a shuffle, and run ids never depend on partitioning.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import itertools
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +36,10 @@ SOBOL_DIRECTIONS = [
     (5, 11, [1, 1, 5, 1, 1]),
     (5, 13, [1, 1, 1, 3, 11]),
 ]
-SOBOL_BITS = 32
+# A double holds points of 52 bits; an index beyond is an error.
+SOBOL_BITS = 52
+# Runs that one generated row grows into; larger grids are dealt out in blocks of runs.
+GRID_BLOCK = 4096
 
 
 def campaign_row(spark: SparkSession, marginals: list[Marginal], campaign: str = "campaign") -> DataFrame:
@@ -66,7 +72,8 @@ def tensor_design(campaigns: DataFrame, marginals: list[Marginal], order: int, l
     """
     levels = levels or [order] * len(marginals)
     total = math.prod(n + 1 for n in levels)
-    df = campaigns.withColumn("run_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(total - 1).cast("long"))))
+    keys = [c for c in campaigns.columns if not c.endswith(("_lower", "_upper"))]
+    df = _numbered_runs(campaigns, keys, total)
     weight, digits, stride = F.lit(1.0), [], 1
     for m, n in reversed(list(zip(marginals, levels))):
         nodes, weights = gauss_rule(m, n)
@@ -79,28 +86,49 @@ def tensor_design(campaigns: DataFrame, marginals: list[Marginal], order: int, l
     return _without_bounds(df, marginals)
 
 
-def sparse_design(campaigns: DataFrame, marginals: list[Marginal], level: int, growth: bool = False) -> DataFrame:
-    """Smolyak combination of tensor grids; the first level has one point.
+def _numbered_runs(campaigns: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``total`` rows per campaign with ``run_id``; a large grid is spread over tasks before it is made."""
+    first = F.sequence(F.lit(0).cast("long"), F.lit(total - 1).cast("long"), F.lit(GRID_BLOCK).cast("long"))
+    blocks = campaigns.withColumn("_first", F.explode(first))
+    if total > GRID_BLOCK:
+        blocks = blocks.repartition(*keys, "_first")
+    last = F.least(F.col("_first") + (GRID_BLOCK - 1), F.lit(total - 1).cast("long"))
+    return blocks.withColumn("run_id", F.explode(F.sequence(F.col("_first"), last))).drop("_first")
 
-    A level-l rule has l points, or 2^l - 1 with ``growth``. Equal nodes of different
-    tensors are merged by adding their weights (which may be negative).
+
+def sparse_nodes(marginals: list[Marginal], level: int, growth: bool = False) -> dict[tuple[float, ...], float]:
+    """Standardised nodes of the Smolyak combination with their summed weights.
+
+    The grid does not depend on the ranges, so nodes are merged here, rounded on [-1, 1].
     """
-    d = len(marginals)
-    parts = None
+    d, nodes = len(marginals), {}
     for ls in itertools.product(range(1, level + 1), repeat=d):
         gap = level + d - 1 - sum(ls)
         if not 0 <= gap <= d - 1:
             continue
         coef = (-1) ** gap * math.comb(d - 1, gap)
-        sizes = [(2**n - 2) if growth else n - 1 for n in ls]
-        grid = tensor_design(campaigns, marginals, 0, sizes)
-        grid = grid.withColumn("weight", F.col("weight") * coef).drop("run_id", "node_idx")
-        parts = grid if parts is None else parts.unionByName(grid)
-    keys = [c for c in campaigns.columns if not c.endswith(("_lower", "_upper"))]
-    rounded = parts.select(
-        *keys, *[(F.round(F.col(m.name), 12) + F.lit(0.0)).alias(m.name) for m in marginals], "weight"
-    )
-    return rounded.groupBy(*keys, *[m.name for m in marginals]).agg(F.sum("weight").alias("weight"))
+        rules = [gauss_rule(m, (2**n - 2) if growth else n - 1) for m, n in zip(marginals, ls)]
+        for point in itertools.product(*[range(len(z)) for z, _ in rules]):
+            key = tuple(round(float(z[i]), 12) + 0.0 for (z, _), i in zip(rules, point))
+            nodes[key] = nodes.get(key, 0.0) + coef * math.prod(float(w[i]) for (_, w), i in zip(rules, point))
+    return nodes
+
+
+def sparse_design(campaigns: DataFrame, marginals: list[Marginal], level: int, growth: bool = False) -> DataFrame:
+    """Smolyak combination of tensor grids; the first level has one point.
+
+    A level-l rule has l points, or 2^l - 1 with ``growth``. Equal nodes of different
+    tensors are merged by adding their weights (which may be negative), whatever the ranges.
+    """
+    nodes = sparse_nodes(marginals, level, growth)
+    # One literal table, the same for all campaigns: (z_1, ..., z_d, weight) per node.
+    table = json.dumps([[*z, w] for z, w in nodes.items()])
+    numbered = _numbered_runs(campaigns, [c for c in campaigns.columns if not c.endswith(("_lower", "_upper"))], len(nodes))
+    df = numbered.withColumn("_node", F.get(F.from_json(F.lit(table), "array<array<double>>"), F.col("run_id").cast("int")))
+    for i, m in enumerate(marginals):
+        df = df.withColumn(m.name, _scaled(m, F.get("_node", F.lit(i))))
+    df = df.withColumn("weight", F.get("_node", F.lit(len(marginals))))
+    return _without_bounds(df.drop("_node", "run_id"), marginals)
 
 
 def random_design(ids: DataFrame, id_col: str, marginals: list[Marginal], seed: int) -> DataFrame:
@@ -130,11 +158,61 @@ def fresh_sample(runs: DataFrame, marginals: list[Marginal], seed: int, factor:
     return random_design(ids, "sample_id", marginals, seed)
 
 
+def _is_primitive(poly: int, degree: int) -> bool:
+    """Whether a polynomial over GF(2), given by its bits, is primitive: x has order 2^degree - 1."""
+    def times(a: int, b: int) -> int:
+        out = 0
+        while b:
+            out ^= a if b & 1 else 0
+            a <<= 1
+            a ^= poly if a >> degree & 1 else 0
+            b >>= 1
+        return out
+
+    def power(n: int) -> int:
+        out, base = 1, 2 if degree > 1 else 2 ^ poly
+        while n:
+            out = times(out, base) if n & 1 else out
+            base, n = times(base, base), n >> 1
+        return out
+
+    order = (1 << degree) - 1
+    primes, n, p = set(), order, 2
+    while p * p <= n:
+        while n % p == 0:
+            primes.add(p)
+            n //= p
+        p += 1
+    primes |= {n} if n > 1 else set()
+    return power(order) == 1 and all(power(order // q) != 1 for q in primes)
+
+
+@functools.cache
+def sobol_direction(dim: int) -> tuple[int, int, list[int]]:
+    """Degree, inner coefficients and initial odd numbers of a dimension (1-based after the first).
+
+    Beyond the published numbers above, primitive polynomials are taken in order of degree
+    and value, and initial numbers are drawn from a hash.
+    """
+    if dim <= len(SOBOL_DIRECTIONS):
+        return SOBOL_DIRECTIONS[dim - 1]
+    left, degree = dim, 0
+    while True:
+        degree += 1
+        for coef in range(1 << max(0, degree - 1)):
+            poly = (1 << degree) | (coef << 1) | 1
+            if _is_primitive(poly, degree):
+                left -= 1
+                if left == 0:
+                    draw = [int(hashlib.md5(f"{dim}:{i}".encode()).hexdigest()[:8], 16) for i in range(degree)]
+                    return degree, coef, [(d % (1 << i)) * 2 + 1 for i, d in enumerate(draw)]
+
+
 def sobol_vectors(dim: int) -> list[int]:
     """Direction numbers of one dimension (0-based) from the recurrence."""
     if dim == 0:
         return [1 << (SOBOL_BITS - 1 - i) for i in range(SOBOL_BITS)]
-    degree, coef, initial = SOBOL_DIRECTIONS[dim - 1]
+    degree, coef, initial = sobol_direction(dim)
     v = [m << (SOBOL_BITS - 1 - i) for i, m in enumerate(initial)]
     for i in range(degree, SOBOL_BITS):
         new = v[i - degree] ^ (v[i - degree] >> degree)
@@ -155,7 +233,9 @@ def sobol_point(index: Column, dim: int) -> Column:
         lambda v, i: F.when(F.call_function("shiftright", index, i).bitwiseAND(F.lit(1).cast("long")) == 1, v).otherwise(F.lit(0).cast("long")),
     )
     mixed = F.aggregate(picked, F.lit(0).cast("long"), lambda s, v: s.bitwiseXOR(v))
-    return mixed / F.lit(float(2**SOBOL_BITS))
+    inside = (index >= 0) & (index < F.lit(1 << SOBOL_BITS))
+    return F.when(inside | index.isNull(), mixed / F.lit(float(2**SOBOL_BITS))).otherwise(
+        F.raise_error(F.concat(F.lit("index beyond the Sobol sequence: "), index.cast("string"))).cast("double"))
 
 
 def quasi_random_design(
@@ -167,8 +247,6 @@ def quasi_random_design(
     coordinates: the first d make A, the others B.
     """
     d = len(marginals)
-    if 2 * d > len(SOBOL_DIRECTIONS) + 1:
-        raise ValueError(f"at most {(len(SOBOL_DIRECTIONS) + 1) // 2} parameters")
     index = F.col(base_col) + F.lit(skip)
     df = bases
     for i in range(2 * d):

@@ -115,14 +115,29 @@ def front_pad(
     return moved.unionByName(zero)
 
 
+def still_short(rows: DataFrame, macro_steps: DataFrame, run: str, point: str) -> DataFrame:
+    """Runs with a point that one row of padding does not bring up to the macro steps."""
+    counts = rows.groupBy(run, point).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.join(macro_steps, run).filter(F.col("_n") + 1 < F.col("steps")).select(run).distinct()
+
+
+def run_status(status: DataFrame, designed: DataFrame, run: str) -> DataFrame:
+    """One row per designed run: a run without any output is ``missing`` with no points and steps."""
+    return designed.select(run).distinct().join(status, run, "left").withColumns({
+        "points": F.coalesce("points", F.lit(0)), "steps": F.coalesce("steps", F.lit(0)),
+        "status": F.coalesce("status", F.lit("missing")),
+    })
+
+
 def mean_across_points(
-    df: DataFrame, run: str, t: str, point: str, columns: list[str]
+    df: DataFrame, run: str, t: str, point: str, columns: list[str], short: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Mean over the points of a run per time index, and one status row per run.
 
     Time indices of a point run from 0 without gaps, so the points are those at index 0.
     A run where a later index lacks a point is reported as ``ragged`` and left out of the
-    means; other runs are kept. The sums serve both results and are written once.
+    means, and so is a run named by ``short`` (status ``short``); other runs are kept. The
+    sums serve both results and are written once.
     """
     sums = materialise(
         df.groupBy(run, t).agg(F.count(point).alias("_points"), *[F.sum(c).alias(c) for c in columns]), "sums"
@@ -133,6 +148,9 @@ def mean_across_points(
         .withColumn("status", F.when(F.col("points") == F.col("_least"), "ok").otherwise("ragged"))
         .drop("_least")
     )
+    if short is not None:
+        status = status.join(short.withColumn("_short", F.lit(True)), run, "left").withColumn(
+            "status", F.when(F.col("_short"), "short").otherwise(F.col("status"))).drop("_short")
     good = status.filter(F.col("status") == "ok").select(run, "points")
     means = (
         sums.join(good, run)
@@ -151,7 +169,8 @@ def prepare_outputs(
 ) -> tuple[DataFrame, DataFrame]:
     """Raw macro and nano rows of many runs to the 12-column output, plus run status.
 
-    ``macro``: run_id, timestep, qpid, stress_*; ``nano``: run_id, qpid, time_id, stress_*.
+    ``macro``: run_id, timestep, qpid, stress_*; ``nano``: run_id, qpid, time_id, stress_*. A
+    run with ragged points, or with a point still short after padding, is reported and left out.
     """
     s = schemas.STRESS
     macro_mean = block_mean(macro, ["run_id"], "timestep", s).drop("timestep")
@@ -159,7 +178,8 @@ def prepare_outputs(
     indexed = with_ordinal(nano, ["run_id", "qpid"], ["time_id"], "position")
     padded = front_pad(indexed, steps, "run_id", "qpid", "position", s, nano)
     sampled = step_mean(padded, ["run_id", "qpid"], "position", s, sampling_steps)
-    nano_mean, status = mean_across_points(sampled, "run_id", "t", "qpid", s)
+    short = still_short(nano, steps, "run_id", "qpid")
+    nano_mean, status = mean_across_points(sampled, "run_id", "t", "qpid", s, short)
     wide = join_scales(
         macro_mean.select("run_id", "t", *[F.col(c).alias(f"{c}_macro") for c in s]),
         nano_mean.select("run_id", "t", *[F.col(c).alias(f"{c}_nano") for c in s]),

@@ -210,9 +210,21 @@ def qmc_blocks(outputs: DataFrame, params: list[str]) -> DataFrame:
     return outputs.groupBy(*GROUP, "base").agg(*picks)
 
 
-def qmc_sobol(outputs: DataFrame, params: list[str]) -> DataFrame:
-    """Saltelli first-order and Jansen total indices with mean and variance of A and B."""
+def qmc_sobol(outputs: DataFrame, params: list[str], designed: int | None = None) -> DataFrame:
+    """Saltelli first-order and Jansen total indices with mean and variance of A and B.
+
+    Only bases with an output in every block count, so all averages run over the same
+    bases: ``n_bases`` of them. ``n_incomplete`` counts the others, also those without any
+    output if ``designed`` says how many bases the design has.
+    """
     blocks = qmc_blocks(outputs, params)
+    whole = F.lit(True)
+    for b in ["A", "B", *[f"AB_{p}" for p in params]]:
+        whole = whole & F.col(f"f_{b}").isNotNull()
+    counts = blocks.groupBy(*GROUP).agg(
+        F.count_if(whole).alias("n_bases"), F.count(F.lit(1)).alias("_seen")
+    ).select(*GROUP, "n_bases", ((F.col("_seen") if designed is None else F.lit(designed)) - F.col("n_bases")).alias("n_incomplete"))
+    blocks = blocks.filter(whole)
     aggs = []
     for p in params:
         ab = F.col(f"f_AB_{p}")
@@ -234,8 +246,8 @@ def qmc_sobol(outputs: DataFrame, params: list[str]) -> DataFrame:
             for p in params
         ]
     )
-    return halves.withColumn("var", var).select(
-        *GROUP, ((F.col("_ma") + F.col("_mb")) / 2.0).alias("mean"), "var", F.inline(rows)
+    return counts.join(halves.withColumn("var", var), GROUP, "left").select(
+        *GROUP, "n_bases", "n_incomplete", ((F.col("_ma") + F.col("_mb")) / 2.0).alias("mean"), "var", F.inline(rows)
     )
 
 

@@ -39,17 +39,17 @@ register(
 
 # A nested run document; ${name} is replaced by the run's value.
 TEMPLATE = """{
-  "problem type": {"class": "${status}", "strain rate": ${rate}.0e-4},
-  "continuum time": {"start timestep": 1, "end timestep": ${steps}0},
-  "continuum mesh": {"input": {"style": "cuboid", "x cells": 1, "x length": 0.03}},
-  "molecular dynamics parameters": {"temperature": ${temperature}, "materials": ["${priority}"]}
+  "parcel kind": {"state": "${status}", "fee share": ${rate}.0e-4},
+  "due dates": {"first day": 1, "last day": ${steps}0},
+  "crate": {"shape": {"form": "drum", "lid count": 2, "wall width": 0.25}},
+  "delivery notes": {"season": ${season}, "labels": ["${priority}"]}
 }"""
-TEMPLATE_NAMES = ["status", "rate", "steps", "temperature", "priority"]
+TEMPLATE_NAMES = ["status", "rate", "steps", "season", "priority"]
 DOCUMENT_SCHEMA = (
-    "`problem type` struct<`class`: string, `strain rate`: double>, "
-    "`continuum time` struct<`start timestep`: long, `end timestep`: long>, "
-    "`continuum mesh` struct<`input`: struct<`style`: string, `x cells`: long, `x length`: double>>, "
-    "`molecular dynamics parameters` struct<`temperature`: double, `materials`: array<string>>"
+    "`parcel kind` struct<`state`: string, `fee share`: double>, "
+    "`due dates` struct<`first day`: long, `last day`: long>, "
+    "`crate` struct<`shape`: struct<`form`: string, `lid count`: long, `wall width`: double>>, "
+    "`delivery notes` struct<`season`: double, `labels`: array<string>>"
 )
 
 
@@ -58,7 +58,7 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = orders.select(
         F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("status"),
         (F.col("o_custkey") % 20 + 1).alias("rate"), F.month("o_orderdate").alias("steps"),
-        (F.lit(300) + F.year("o_orderdate") - 1992).alias("temperature"), F.col("o_orderpriority").alias("priority"),
+        F.year("o_orderdate").alias("season"), F.col("o_orderpriority").alias("priority"),
     )
     return documents.render_documents(runs, TEMPLATE, TEMPLATE_NAMES)
 
@@ -69,7 +69,7 @@ def _rendered_sql() -> str:
         text = f"replace({text}, '${{{n}}}', CAST({n} AS VARCHAR))"
     return f"""runs AS (
       SELECT o_orderkey AS run_id, o_orderstatus AS status, o_custkey % 20 + 1 AS rate, month(o_orderdate) AS steps,
-             300 + year(o_orderdate) - 1992 AS temperature, o_orderpriority AS priority FROM orders),
+             year(o_orderdate) AS season, o_orderpriority AS priority FROM orders),
     rendered AS (SELECT run_id, {text} AS document FROM runs)"""
 
 
@@ -89,19 +89,19 @@ def order_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Numbers are compared as text with four decimals: engines print doubles differently.
 ENTRIES_SQL = """entries AS (
-      SELECT run_id, 'problem type/class' AS path, status AS value FROM runs
-      UNION ALL SELECT run_id, 'problem type/strain rate', CAST(rate * 10 // 10 AS VARCHAR) || 'e-4' FROM runs
-      UNION ALL SELECT run_id, 'continuum time/start timestep', '1' FROM runs
-      UNION ALL SELECT run_id, 'continuum time/end timestep', CAST(steps * 10 AS VARCHAR) FROM runs
-      UNION ALL SELECT run_id, 'continuum mesh/input/style', 'cuboid' FROM runs
-      UNION ALL SELECT run_id, 'continuum mesh/input/x cells', '1' FROM runs
-      UNION ALL SELECT run_id, 'continuum mesh/input/x length', '0.03' FROM runs
-      UNION ALL SELECT run_id, 'molecular dynamics parameters/temperature', CAST(temperature AS VARCHAR) || '.0' FROM runs
-      UNION ALL SELECT run_id, 'molecular dynamics parameters/materials', '["' || priority || '"]' FROM runs)"""
+      SELECT run_id, 'parcel kind/state' AS path, status AS value FROM runs
+      UNION ALL SELECT run_id, 'parcel kind/fee share', CAST(rate AS VARCHAR) || 'e-4' FROM runs
+      UNION ALL SELECT run_id, 'due dates/first day', '1' FROM runs
+      UNION ALL SELECT run_id, 'due dates/last day', CAST(steps * 10 AS VARCHAR) FROM runs
+      UNION ALL SELECT run_id, 'crate/shape/form', 'drum' FROM runs
+      UNION ALL SELECT run_id, 'crate/shape/lid count', '2' FROM runs
+      UNION ALL SELECT run_id, 'crate/shape/wall width', '0.25' FROM runs
+      UNION ALL SELECT run_id, 'delivery notes/season', CAST(season AS VARCHAR) || '.0' FROM runs
+      UNION ALL SELECT run_id, 'delivery notes/labels', '["' || priority || '"]' FROM runs)"""
 
 
 def shown(entries: DataFrame) -> DataFrame:
-    rate = F.col("path") == "problem type/strain rate"
+    rate = F.col("path") == "parcel kind/fee share"
     text = F.concat(F.round(F.when(rate, F.col("value")).cast("double") * 1e4).cast("long").cast("string"), F.lit("e-4"))
     return entries.withColumn("value", F.when(rate, text).otherwise(F.col("value")))
 
@@ -127,12 +127,12 @@ register(
         SELECT path, count(DISTINCT value) AS n_values FROM entries GROUP BY path HAVING count(DISTINCT value) > 1""",
 )
 
-SWEPT = ["continuum time/end timestep", "molecular dynamics parameters/temperature"]
+SWEPT = ["due dates/last day", "delivery notes/season"]
 register(
     "sweep_table",
-    lambda spark, sf: documents.sweep_table(order_entries(spark, sf), SWEPT).toDF("run_id", "end_timestep", "temperature"),
-    f"""WITH {_rendered_sql()} SELECT run_id, CAST(steps * 10 AS VARCHAR) AS end_timestep,
-        CAST(temperature AS VARCHAR) || '.0' AS temperature FROM runs""",
+    lambda spark, sf: documents.sweep_table(order_entries(spark, sf), SWEPT).toDF("run_id", "last_day", "season"),
+    f"""WITH {_rendered_sql()} SELECT run_id, CAST(steps * 10 AS VARCHAR) AS last_day,
+        CAST(season AS VARCHAR) || '.0' AS season FROM runs""",
 )
 
 
@@ -152,7 +152,7 @@ register(
 SPECS = [
     {"name": "size", "dtype": "integer", "min": "5", "max": "45", "default": "10"},
     {"name": "price", "dtype": "float", "min": "900.0", "max": "1900.0", "default": "1000.0"},
-    {"name": "timesteplength", "dtype": "integer", "min": "0", "max": "200", "default": "200"},
+    {"name": "shelf", "dtype": "integer", "min": "0", "max": "90", "default": "12"},
 ]
 
 
@@ -172,7 +172,7 @@ register(
     default_parameters,
     """WITH r AS (SELECT p_partkey AS run_id, CASE WHEN p_type <> 'ECONOMY' THEN p_size ELSE 10 END::BIGINT AS size,
                          p_retailprice AS price FROM part)
-       SELECT run_id, size, price, CAST(200 AS BIGINT) AS timesteplength,
+       SELECT run_id, size, price, CAST(12 AS BIGINT) AS shelf,
               concat_ws(',', CASE WHEN NOT size BETWEEN 5 AND 45 THEN 'size' END,
                         CASE WHEN NOT price BETWEEN 900 AND 1900 THEN 'price' END) AS violations FROM r""",
 )
@@ -217,9 +217,10 @@ register(
     ["quantity", "price", "weight"],
 )
 
+# Ranges of integer columns of the tables.
 FOUR = [
-    Marginal("strain_rate2", 1, 20, "DiscreteUniform"), Marginal("temperature", 300, 550, "DiscreteUniform"),
-    Marginal("samplingsteps", 1, 20, "DiscreteUniform"), Marginal("timesteplength", 1, 200, "DiscreteUniform"),
+    Marginal("linenumber", 1, 7, "DiscreteUniform"), Marginal("quantity", 1, 50, "DiscreteUniform"),
+    Marginal("month", 1, 12, "DiscreteUniform"), Marginal("nation", 0, 24, "DiscreteUniform"),
 ]
 
 
@@ -263,13 +264,13 @@ register(
         -- levels with l1 + l2 = 4 count +1, with l1 + l2 = 3 count -1
         nodes AS (SELECT a.z AS za, b.z AS zb, a.w * b.w * CASE WHEN a.l + b.l = 4 THEN 1 ELSE -1 END AS w
                   FROM rules a, rules b WHERE a.l + b.l IN (3, 4)),
-        grid AS (SELECT campaign, round(ql + (za + 1) * 0.5 * (qu - ql), 6) AS quantity, round(pl + (zb + 1) * 0.5 * (pu - pl), 6) AS price, w
-                 FROM campaigns, nodes)
-        SELECT campaign, quantity, price, sum(w) AS weight FROM grid GROUP BY ALL""",
+        merged AS (SELECT round(za, 12) AS za, round(zb, 12) AS zb, sum(w) AS w FROM nodes GROUP BY round(za, 12), round(zb, 12))
+        SELECT campaign, ql + (za + 1) * 0.5 * (qu - ql) AS quantity, pl + (zb + 1) * 0.5 * (pu - pl) AS price, w AS weight
+        FROM campaigns, merged""",
     ["quantity", "price", "weight"],
 )
 
-RATE, TEMPERATURE = Marginal("strain_rate", 0.0002, 0.052), Marginal("temperature", 300, 550, "DiscreteUniform")
+RATE, COUNT = Marginal("discount", 0.0, 0.1), Marginal("quantity", 1, 50, "DiscreteUniform")
 
 
 def u_sql(seed: int, name: str, ident: str) -> str:
@@ -278,28 +279,28 @@ def u_sql(seed: int, name: str, ident: str) -> str:
 
 def random_sql(seed: int, ident: str) -> str:
     return (
-        f"0.0002::DOUBLE + {u_sql(seed, 'strain_rate', ident)} * (0.052::DOUBLE - 0.0002::DOUBLE) AS strain_rate, "
-        f"floor(300 + {u_sql(seed, 'temperature', ident)} * 251) AS temperature"
+        f"{u_sql(seed, 'discount', ident)} * 0.1::DOUBLE AS discount, "
+        f"floor(1 + {u_sql(seed, 'quantity', ident)} * 50) AS quantity"
     )
 
 
 register(
     "random_design",
     lambda spark, sf: design.random_design(
-        load(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id")), "run_id", [RATE, TEMPERATURE], 11
+        load(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id")), "run_id", [RATE, COUNT], 11
     ),
     f"SELECT o_orderkey AS run_id, {random_sql(11, 'o_orderkey')} FROM orders",
-    ["strain_rate"], 12,
+    ["discount"], 12,
 )
 
 register(
     "fresh_sample",
     lambda spark, sf: design.fresh_sample(
-        load(spark, sf, "supplier").select(F.col("s_suppkey").alias("run_id")), [RATE, TEMPERATURE], 12
+        load(spark, sf, "supplier").select(F.col("s_suppkey").alias("run_id")), [RATE, COUNT], 12
     ),
     f"""WITH s AS (SELECT s_suppkey * 100 + c AS sample_id FROM supplier, range(100) AS r(c))
         SELECT sample_id, {random_sql(12, "sample_id")} FROM s""",
-    ["strain_rate"], 12,
+    ["discount"], 12,
 )
 
 register(

@@ -38,8 +38,7 @@ def stress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def averaged_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = stress_lines(spark, sf_dir)
-    day = F.unix_date(F.col("l_shipdate").cast("date"))
-    return elastic.averaged_stress(with_ordinal(line, KEYS, ORDER, "position", span=day), rows=line)
+    return elastic.averaged_stress(with_ordinal(line, KEYS, ORDER, "position"), rows=line)
 
 
 NAV = "greatest(1, CASE WHEN n > 10000 THEN n // 1000 ELSE n // 10 END)"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.ordinal import with_ordinal
+from ..functions.ordinal import with_ordinal, with_spread_ordinal
 from ..functions.vectors import linspace
 from ..operators import prep
 from .tables import (
@@ -40,7 +40,7 @@ register(
 
 def user_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
-    return with_ordinal(events, ["user_id"], ["event_id"], "position")
+    return with_spread_ordinal(events, ["user_id"], ["event_id"], "position")
 
 
 USER_POSITIONS = """
@@ -146,7 +146,7 @@ register(
 def padded_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event type = run, user = point; the macro scale has the mean number of steps."""
     events = load(spark, sf_dir, "events").select("event_type", "user_id", "event_id", "value")
-    placed = with_ordinal(events, ["event_type", "user_id"], ["event_id"], "position")
+    placed = with_spread_ordinal(events, ["event_type", "user_id"], ["event_id"], "position")
     steps = events.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n")).groupBy("event_type").agg(
         F.ceil(F.avg("n")).alias("steps")
     )
@@ -172,14 +172,15 @@ register(
 
 
 def point_means(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    nano = nano_rows(spark, sf_dir)
+    nano = nano_rows(spark, sf_dir, None)
     placed = with_ordinal(nano, ["run_id", "qpid"], ["time_id"], "t")
     return prep.mean_across_points(placed, "run_id", "t", "qpid", S)
 
 
-POINT_CTE = f"""
+def point_cte(where: str = "true") -> str:
+    return f"""
 rows_ AS (SELECT l_suppkey AS run_id, CAST(l_linenumber AS BIGINT) AS qpid, year(l_shipdate) AS y, {STRESS_LIST}
-          FROM lineitem WHERE l_linestatus = 'O'),
+          FROM lineitem WHERE {where}),
 nano AS (SELECT run_id, qpid, CAST(row_number() OVER (PARTITION BY run_id, qpid ORDER BY y) - 1 AS BIGINT) AS t,
                 {STRESS_MEANS} FROM rows_ GROUP BY run_id, qpid, y),
 counts AS (SELECT run_id, qpid, count(*) AS n FROM nano GROUP BY ALL),
@@ -190,14 +191,27 @@ status AS (SELECT run_id, count(*) AS points, max(n) AS steps,
 register(
     "point_means",
     lambda spark, sf: point_means(spark, sf)[0],
-    f"""WITH {POINT_CTE}
+    f"""WITH {point_cte()}
         SELECT run_id, t, {", ".join(f"sum({c}) / max(points) AS {c}" for c in S)}
         FROM nano JOIN status USING (run_id) WHERE status = 'ok' GROUP BY run_id, t""",
     S, 6,
 )
 
+
+
+def run_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier and every order is a designed run; only suppliers have outputs."""
+    suppliers = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("run_id"))
+    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("run_id"))
+    return prep.run_status(point_means(spark, sf_dir)[1], suppliers.union(orders), "run_id")
+
+
 register(
-    "run_status", lambda spark, sf: point_means(spark, sf)[1], f"WITH {POINT_CTE} SELECT * FROM status"
+    "run_status",
+    run_statuses,
+    f"""WITH {point_cte()}, designed AS (SELECT s_suppkey AS run_id FROM supplier UNION SELECT o_orderkey FROM orders)
+        SELECT run_id, coalesce(points, 0) AS points, coalesce(steps, 0) AS steps, coalesce(status, 'missing') AS status
+        FROM designed LEFT JOIN status USING (run_id)""",
 )
 
 
@@ -229,7 +243,7 @@ register(
 def prepared_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From raw macro and nano rows to the 12-column output of every complete run."""
     macro = macro_rows(spark, sf_dir, "F", "year(l_shipdate)")
-    return prep.prepare_outputs(macro, nano_rows(spark, sf_dir))[0]
+    return prep.prepare_outputs(macro, nano_rows(spark, sf_dir, "O"))[0]
 
 
 PREPARED_SQL = f"""
@@ -239,14 +253,16 @@ WITH macro_ AS (
   FROM (SELECT l_suppkey AS run_id, year(l_shipdate) AS y, {STRESS_LIST} FROM lineitem WHERE l_linestatus = 'F')
   GROUP BY run_id, y),
 steps AS (SELECT run_id, count(*) AS steps FROM macro_ GROUP BY run_id),
-{POINT_CTE},
+{point_cte("l_linestatus = 'O'")},
+lost AS (SELECT DISTINCT run_id FROM counts JOIN steps USING (run_id) WHERE n + 1 < steps.steps),
 short AS (SELECT run_id, qpid FROM counts JOIN steps USING (run_id) WHERE n < steps),
 padded AS (
   SELECT nano.run_id, nano.qpid, t + CASE WHEN short.qpid IS NULL THEN 0 ELSE 1 END AS t, {", ".join(S)}
   FROM nano LEFT JOIN short ON nano.run_id = short.run_id AND nano.qpid = short.qpid
   UNION ALL SELECT run_id, qpid, 0, {", ".join("0.0" for _ in S)} FROM short),
 padded_counts AS (SELECT run_id, qpid, count(*) AS n FROM padded GROUP BY ALL),
-good AS (SELECT run_id, count(*) AS points FROM padded_counts GROUP BY run_id HAVING min(n) = max(n)),
+good AS (SELECT run_id, count(*) AS points FROM padded_counts WHERE run_id NOT IN (SELECT run_id FROM lost)
+         GROUP BY run_id HAVING min(n) = max(n)),
 nano_ AS (SELECT run_id, t, {", ".join(f"sum({c}) / max(points) AS {c}_nano" for c in S)}
           FROM padded JOIN good USING (run_id) GROUP BY run_id, t)
 SELECT run_id, CAST(t AS BIGINT) AS t, {", ".join(f"coalesce({c}, 0.0) AS {c}" for c in BOTH)}

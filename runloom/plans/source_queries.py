@@ -121,11 +121,15 @@ def thermo_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         .repartitionByRange("user_id", "day").sortWithinPartitions("user_id", "day", "kind", "event_id")
         .select("value").write.text(path)
     )
-    rows = files.thermo_log(spark, path)
-    user = F.element_at("tokens", 1).cast("long")
-    parsed = prep.token_field(rows, 11, "field").join(
-        rows.select("file", "block", "row", user.alias("user_id")), ["file", "block", "row"]
-    )
+    # The same steps in a log that was cut off before its block ended: it counts for nothing.
+    broken = new_folder(spark, "broken-log")
+    head.unionByName(data).repartitionByRange("user_id", "day").sortWithinPartitions("user_id", "day", "kind", "event_id").select(
+        "value").write.text(broken)
+    rows = files.block_rows(files.numbered_lines(spark, [path, broken]))
+    parsed = rows.select(
+        "file", "block", "row", F.get("tokens", F.lit(0)).try_cast("long").alias("user_id"),
+        F.get("tokens", F.lit(10)).try_cast("double").alias("field"),
+    ).filter("field IS NOT NULL")
     return parsed.groupBy("file", "block").agg(
         F.min("user_id").alias("user_id"), F.max("user_id").alias("user_to"), F.count(F.lit(1)).alias("n"),
         F.max("row").alias("last_row"), F.sum("field").alias("total"),
@@ -211,25 +215,29 @@ def run_input_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     text = F.to_json(
         F.struct(
-            F.struct(F.lit("dogbone").alias("class"), F.col("n").alias("strain rate")).alias("problem type"),
-            F.struct(F.struct(F.col("last").alias("x cells"), F.array(F.lit("g0")).alias("materials")).alias("input")).alias("mesh"),
+            F.struct(F.lit("branch").alias("kind"), F.col("n").alias("head count")).alias("office data"),
+            F.struct(F.struct(F.col("last").alias("last number"), F.array(F.lit("k0")).alias("marks")).alias("people")).alias("book"),
         )
     )
     path = new_folder(spark, "inputs")
     customers.select(F.concat(F.lit("run_"), "c_nationkey").alias("dir"), text.alias("value")).repartition("dir").write.partitionBy(
         "dir"
     ).text(path)
-    return files.run_inputs(spark, path + "/dir=*", run_pattern=r"run_(\d+)/")
+    schema = (
+        "`office data` struct<`kind`: string, `head count`: long>, "
+        "`book` struct<`people`: struct<`last number`: long, `marks`: array<string>>>"
+    )
+    return files.run_inputs(spark, path + "/dir=*", schema, r"run_(\d+)/")
 
 
 register(
     "run_input_scan",
     run_input_scan,
     """WITH c AS (SELECT CAST(c_nationkey AS VARCHAR) AS run_id, count(*) AS n, max(c_custkey) AS last FROM customer GROUP BY c_nationkey)
-       SELECT run_id, 'problem type/class' AS path, 'dogbone' AS value FROM c
-       UNION ALL SELECT run_id, 'problem type/strain rate', CAST(n AS VARCHAR) FROM c
-       UNION ALL SELECT run_id, 'mesh/input/x cells', CAST(last AS VARCHAR) FROM c
-       UNION ALL SELECT run_id, 'mesh/input/materials', '["g0"]' FROM c""",
+       SELECT run_id, 'office data/kind' AS path, 'branch' AS value FROM c
+       UNION ALL SELECT run_id, 'office data/head count', CAST(n AS VARCHAR) FROM c
+       UNION ALL SELECT run_id, 'book/people/last number', CAST(last AS VARCHAR) FROM c
+       UNION ALL SELECT run_id, 'book/people/marks', '["k0"]' FROM c""",
 )
 
 # --- sinks -----------------------------------------------------------------------------

@@ -149,7 +149,7 @@ def macro_rows(spark: SparkSession, sf_dir: str, status: str | None = None, step
     )
 
 
-def nano_rows(spark: SparkSession, sf_dir: str, status: str = "O") -> DataFrame:
+def nano_rows(spark: SparkSession, sf_dir: str, status: str | None) -> DataFrame:
     """One row per supplier, line number and year: the series of a point of a run."""
     rows = macro_rows(spark, sf_dir, status, "year(l_shipdate)")
     return rows.groupBy("run_id", "qpid", F.col("timestep").alias("time_id")).agg(

@@ -233,8 +233,8 @@ def qmc_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sobol_sql(dim: int) -> str:
     v = ", ".join(f"{x}::BIGINT" for x in design.sobol_vectors(dim))
-    picked = f"list_transform(range(32), lambda b: CASE WHEN ((base + 2) >> b) & 1 = 1 THEN ([{v}])[b + 1] ELSE 0::BIGINT END)"
-    return f"list_reduce({picked}, lambda p, q: xor(p, q)) / 4294967296::DOUBLE"
+    picked = f"list_transform(range({design.SOBOL_BITS}), lambda b: CASE WHEN ((base + 2) >> b) & 1 = 1 THEN ([{v}])[b + 1] ELSE 0::BIGINT END)"
+    return f"list_reduce({picked}, lambda p, q: xor(p, q)) / {2 ** design.SOBOL_BITS}::DOUBLE"
 
 
 QMC_RUNS = f"""
@@ -257,21 +257,35 @@ register(
     NAMES,
 )
 
-register(
-    "qmc_sobol",
-    lambda spark, sf: uq.qmc_sobol(qmc_outputs(spark, sf), NAMES),
-    f"""WITH {GRID_SQL}, {QMC_RUNS},
+def qmc_indices(spark: SparkSession, sf_dir: str, kept: str = "true") -> DataFrame:
+    outputs = qmc_outputs(spark, sf_dir).filter(kept)
+    return uq.qmc_sobol(outputs, NAMES, load(spark, sf_dir, "customer").count())
+
+
+def _qmc_sql(kept: str = "true") -> str:
+    return f"""WITH {GRID_SQL}, {QMC_RUNS},
         valued AS (SELECT qoi, t, base, block, value FROM runs JOIN collated
-                   ON CAST(floor(x * 11) AS BIGINT) = discount AND CAST(floor(y * 9) AS BIGINT) = tax),
+                   ON CAST(floor(x * 11) AS BIGINT) = discount AND CAST(floor(y * 9) AS BIGINT) = tax WHERE {kept}),
         f AS (SELECT qoi, t, base, max(CASE WHEN block = 'A' THEN value END) AS a, max(CASE WHEN block = 'B' THEN value END) AS b,
                      max(CASE WHEN block = 'AB_discount' THEN value END) AS d, max(CASE WHEN block = 'AB_tax' THEN value END) AS x
               FROM valued GROUP BY ALL),
+        c AS (SELECT qoi, t, count(a + b + d + x) AS n_bases, (SELECT count(*) FROM customer) - count(a + b + d + x) AS n_incomplete
+              FROM f GROUP BY qoi, t),
         s AS (SELECT qoi, t, (avg(a) + avg(b)) / 2 AS mean,
                      (var_pop(a) + var_pop(b)) / 2 + ((avg(a) - avg(b)) / 2) * ((avg(a) - avg(b)) / 2) AS var,
                      avg(b * (d - a)) AS sd, avg(b * (x - a)) AS sx, avg((a - d) * (a - d)) / 2 AS td, avg((a - x) * (a - x)) / 2 AS tx
-              FROM f GROUP BY qoi, t)
-        SELECT qoi, t, mean, var, 'discount' AS param, sd / var AS sobol_first, td / var AS sobol_total FROM s
-        UNION ALL SELECT qoi, t, mean, var, 'tax', sx / var, tx / var FROM s""",
+              FROM f WHERE a + b + d + x IS NOT NULL GROUP BY qoi, t)
+        SELECT qoi, t, n_bases, n_incomplete, mean, var, 'discount' AS param, sd / var AS sobol_first, td / var AS sobol_total
+        FROM c LEFT JOIN s USING (qoi, t)
+        UNION ALL SELECT qoi, t, n_bases, n_incomplete, mean, var, 'tax', sx / var, tx / var FROM c LEFT JOIN s USING (qoi, t)"""
+
+
+register("qmc_sobol", qmc_indices, _qmc_sql(), ["mean", "var", "sobol_first", "sobol_total"], 4)
+
+# The same campaign with runs that gave no output.
+LOST = "(discount + 2 * tax) % 7 <> 3"
+register(
+    "qmc_sobol_with_gaps", lambda spark, sf: qmc_indices(spark, sf, LOST), _qmc_sql(LOST),
     ["mean", "var", "sobol_first", "sobol_total"], 4,
 )
 

@@ -86,12 +86,10 @@ def numbered_lines(spark: SparkSession, path, path_filter: str | None = None) ->
     """Text lines with their 0-based number in the file.
 
     A big file is read in splits. Lines are numbered inside a split and shifted by the
-    line counts of earlier splits, so no task ever needs the whole file. The number that
-    decides the split size is fixed for the session, so that every scan of a file is cut
-    alike even while executors come and go.
+    line counts of earlier splits, so no task ever needs the whole file. Where the number of
+    executors changes while a query runs, set ``spark.sql.files.minPartitionNum``, so that
+    every scan of a file is cut alike.
     """
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     reader = spark.read if path_filter is None else spark.read.option("pathGlobFilter", path_filter)
     lines = reader.text(path).select(
         F.col(PATH).alias("file"),
@@ -116,7 +114,7 @@ def block_rows(lines: DataFrame, start: str = "Step", stop: str = "Loop") -> Dat
     """Lines between a ``start`` header line and the next ``stop``, for every such block.
 
     Input: ``numbered_lines``. Output: (file, block, row, tokens); empty lines are
-    dropped. The state at a line is the last marker before it: found inside the split
+    dropped, and so is a last block that no ``stop`` closes. The state at a line is the last marker before it: found inside the split
     first, then carried from the nearest earlier split that has a marker.
     """
     is_stop, is_start = F.col("line").contains(stop), F.col("line").contains(start)
@@ -139,11 +137,10 @@ def block_rows(lines: DataFrame, start: str = "Step", stop: str = "Loop") -> Dat
     heads = stated.groupBy("file", "split").agg(F.count_if("_header").alias("_h"))
     head_shift = heads.withColumn("_hb", F.coalesce(F.sum("_h").over(by_split), F.lit(0))).drop("_h")
     upto = Window.partitionBy("file", "split").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    data = (
-        stated.join(head_shift, ["file", "split"])
-        .withColumn("block", F.col("_hb") + F.count_if("_header").over(upto) - 1)
-        .filter("_data")
-    )
+    numbered = stated.join(head_shift, ["file", "split"]).withColumn(
+        "block", F.col("_hb") + F.count_if("_header").over(upto) - 1)
+    closed = numbered.filter(is_stop & F.col("_inside")).select("file", "block").distinct()
+    data = numbered.filter("_data").join(closed, ["file", "block"], "left_semi")
     # A row number inside a block: lines are numbered, so count data rows per (block, split).
     part = data.groupBy("file", "block", "split").agg(F.count(F.lit(1)).alias("_n"))
     in_block = Window.partitionBy("file", "block").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
@@ -163,7 +160,10 @@ def thermo_log(spark: SparkSession, path) -> DataFrame:
 
 def run_inputs(spark: SparkSession, path, schema: T.StructType | None = None,
                run_pattern: str = r"/([^/]+)/[^/]+\.json$") -> DataFrame:
-    """One nested JSON document per run directory, flattened to (run_id, path, value)."""
+    """One nested JSON document per run directory, flattened to (run_id, path, value).
+
+    Without ``schema`` the documents are read once more to infer it.
+    """
     reader = spark.read if schema is None else spark.read.schema(schema)
     docs = reader.option("multiLine", True).json(path)
     return flatten_documents(docs.withColumn("run_id", F.regexp_extract(F.col(PATH), run_pattern, 1)), "run_id")

@@ -23,6 +23,18 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Small shuffles keep their partitions, and no side is sent to all tasks."""
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
 @pytest.fixture(scope="session")
 def sf_dir():
     return "/root/testdata/sf0.001"

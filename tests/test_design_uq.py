@@ -82,6 +82,38 @@ def test_sparse_grid_integrates_exactly(spark):
         assert np.isclose((w * x**2).sum(), 1 / 3) and np.isclose((w * y**3).sum(), 10)
 
 
+def test_sparse_nodes_merge_whatever_the_ranges(spark):
+    wide = [Marginal("x", 900, 100_000), Marginal("y", 1e5, 1e7)]
+    tiny = [Marginal("x", 1e-14, 9e-14), Marginal("y", 1e-14, 9e-14)]
+    for ms in (wide, tiny):
+        for level, growth in ((7, False), (9, False), (4, True)):
+            rows = design.sparse_design(design.campaign_row(spark, ms), ms, level, growth).collect()
+            assert len(rows) == len(design.sparse_nodes(MS, level, growth)) == len({(r.x, r.y) for r in rows})
+            assert np.isclose(sum(r.weight for r in rows), 1)
+    assert len(design.sparse_nodes(wide, 7)) == 137 and len(design.sparse_nodes(wide, 9)) == 281
+
+
+def test_large_grid_is_made_in_many_tasks(spark, many_partitions):
+    ms = [Marginal(f"x{i}", 0, 1) for i in range(8)]
+    runs = design.tensor_design(design.campaign_row(spark, ms), ms, 3).select("run_id", F.spark_partition_id().alias("p"))
+    sizes = [r["count"] for r in runs.groupBy("p").count().collect()]
+    assert sum(sizes) == 4**8 and max(sizes) < 4**8 / 2
+    assert runs.select("run_id").distinct().count() == 4**8
+
+
+def test_sobol_beyond_the_published_dimensions_and_indices(spark):
+    cols = [design.sobol_point(F.col("id"), d).alias(f"d{d}") for d in (12, 19, 25)]
+    rows = np.array([list(r) for r in spark.range(256).select(*cols).collect()])
+    for d in range(3):
+        assert sorted((rows[:, d] * 256).astype(int)) == list(range(256))
+    far = spark.createDataFrame([(5,), (5 + 2**32,)], "id long").select(design.sobol_point(F.col("id"), 3).alias("u")).collect()
+    assert far[0].u != far[1].u
+    with pytest.raises(Exception, match="beyond the Sobol sequence"):
+        spark.createDataFrame([(2**52,)], "id long").select(design.sobol_point(F.col("id"), 0)).collect()
+    ten = [Marginal(f"p{i}", 0, 1) for i in range(10)]
+    assert design.quasi_random_design(spark.range(8).withColumnRenamed("id", "base"), "base", ten).count() == 96
+
+
 def test_random_design_and_fresh_sample(spark):
     ms = [Marginal("a", 1, 6, "DiscreteUniform"), Marginal("b", -1.0, 1.0)]
     r = design.random_design(spark.range(3000).withColumnRenamed("id", "run_id"), "run_id", ms, 1)
@@ -116,6 +148,19 @@ def test_qmc_indices(spark):
     assert np.isclose(r["x1"].sobol_first, 0.262136, atol=0.03) and np.isclose(r["x2"].sobol_first, 0.728155, atol=0.03)
 
 
+def test_qmc_indices_use_complete_bases_only(spark):
+    bases = spark.range(1024).withColumnRenamed("id", "base")
+    runs = design.quasi_random_design(bases, "base", MS)
+    out = runs.select("base", "block", F.lit("f").alias("qoi"), F.lit(0).alias("t"), value().alias("value"))
+    lost = (F.col("block") == "AB_x1") & (F.pmod(F.xxhash64("base"), F.lit(2)) == 1)
+    r = {x.param: x for x in uq.qmc_sobol(out.filter(~lost & (F.col("base") < 1000)), ["x1", "x2"], 1024).collect()}
+    n = bases.filter("base < 1000 AND pmod(xxhash64(base), 2) = 0").count()
+    assert r["x1"].n_bases == n and r["x1"].n_incomplete == 1024 - n
+    assert np.isclose(r["x1"].sobol_first, 0.262136, atol=0.2) and np.isclose(r["x2"].sobol_total, 0.737864, atol=0.1)
+    none = uq.qmc_sobol(out.filter(F.col("block") == "A"), ["x1", "x2"]).collect()
+    assert {(x.n_bases, x.n_incomplete, x.sobol_first) for x in none} == {(0, 1024, None)}
+
+
 def test_random_design_has_no_sobol(spark):
     with pytest.raises(uq.NoSobolAnalysis):
         uq.sobol_indices(golden(spark), MS, "random")

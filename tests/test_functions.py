@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions import polynomials as poly
 from runloom.functions.hashing import unit_hash
-from runloom.functions.ordinal import with_ordinal
+from runloom.functions.ordinal import with_ordinal, with_spread_ordinal
 from runloom.functions.quantiles import exact_quantiles
 from runloom.functions.spline import resample_histories
 from runloom.functions.vectors import l2_distance, linspace
@@ -73,24 +73,51 @@ def test_unit_hash_does_not_depend_on_partitions(spark):
     assert a[42] == int(digits, 16) / 2**52
 
 
-@pytest.mark.parametrize("hot_rows", [1, 20, 1000])
-def test_ordinal_matches_sorted_position(spark, hot_rows):
+@pytest.mark.parametrize("place", [with_ordinal, with_spread_ordinal])
+def test_ordinal_matches_sorted_position(spark, place):
     rng = np.random.default_rng(1)
     rows = [(int(k), float(o), i) for i, (k, o) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(0, 90, 200)))]
     rows += [(None, 5.0, 900), (None, 4.0, 901)]
     df = spark.createDataFrame(rows, "k int, o double, i int").repartition(5)
-    got = {r.i: r.ordinal for r in with_ordinal(df, ["k"], ["o", "i"], hot_rows=hot_rows).collect()}
+    got = {r.i: r.ordinal for r in place(df, ["k"], ["o", "i"]).collect()}
     assert len(got) == 202
     for k in (0, 1, 2, None):
         expect = [i for _, i in sorted((o, i) for kk, o, i in rows if kk == k)]
         assert [got[i] for i in expect] == list(range(len(expect)))
 
 
-def test_ordinal_of_one_group_with_an_outlier_and_nulls(spark):
+@pytest.mark.parametrize("place", [with_ordinal, with_spread_ordinal])
+@pytest.mark.parametrize("kind", ["string", "date", "double", "timestamp"])
+def test_ordinal_of_any_type(spark, place, kind):
+    days = spark.range(500).select("id", F.expr(f"cast(date_add(date '2020-01-01', int(id * 7 % 60)) as {'date' if kind == 'double' else kind})").alias("o"))
+    df = days.withColumn("o", F.unix_date("o").cast("double")) if kind == "double" else days
+    rows = place(df.repartition(7), [], ["o", "id"]).collect()
+    assert [r.id for r in sorted(rows, key=lambda r: r.ordinal)] == [r.id for r in sorted(rows, key=lambda r: (r.o, r.id))]
+    assert sorted(r.ordinal for r in rows) == list(range(500))
+
+
+def test_spread_ordinal_splits_one_repeated_value(spark, many_partitions):
+    df = spark.range(4000).select("id", F.lit(1).alias("k"), F.lit(2.0).alias("o"))
+    placed = with_spread_ordinal(df, ["k"], ["o"]).withColumn("p", F.spark_partition_id())
+    assert sorted(r.ordinal for r in placed.collect()) == list(range(4000))
+    assert placed.groupBy("p").count().agg(F.max("count")).first()[0] < 2000
+
+
+def test_salt_spreads_a_group_that_lies_in_one_partition(spark, many_partitions):
+    from runloom.functions.joins import join_group_stats
+
+    rows = spark.range(2000).select("id", F.lit(1).alias("k")).repartition(8, "k")
+    stats = spark.createDataFrame([(1, 5)], "k int, s int")
+    met = join_group_stats(rows, stats, ["k"]).withColumn("p", F.spark_partition_id())
+    assert met.count() == 2000 and met.filter("s = 5").groupBy("p").count().agg(F.max("count")).first()[0] < 1500
+
+
+@pytest.mark.parametrize("place", [with_ordinal, with_spread_ordinal])
+def test_ordinal_of_one_group_with_an_outlier_and_nulls(spark, place):
     rng = np.random.default_rng(8)
     values = [float(v) for v in rng.permutation(300)] + [1e12, -1e12, None]
     df = spark.createDataFrame(list(enumerate(values)), "i int, o double").repartition(4)
-    got = {r.i: r.ordinal for r in with_ordinal(df, [], ["o", "i"], hot_rows=10).collect()}
+    got = {r.i: r.ordinal for r in place(df, [], ["o", "i"]).collect()}
     # Rows without order value come first.
     placed = [i for i, v in sorted(enumerate(values), key=lambda p: (p[1] is not None, p[1] or 0.0))]
     assert [got[i] for i in placed] == list(range(len(values)))

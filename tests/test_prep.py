@@ -48,6 +48,18 @@ def test_ragged_run_is_reported_and_others_kept(spark):
     assert {r.run_id: r.status for r in status.collect()} == {1: "ok", 2: "ragged"}
 
 
+def test_point_that_stays_short_makes_its_run_short(spark):
+    v = [1.0] * 6
+    macro = spark.createDataFrame([(r, s, 0, *v) for r in (1, 2) for s in range(6)], ["run_id", "timestep", "qpid", *S])
+    nano = spark.createDataFrame([(1, 0, k, *v) for k in range(2)] + [(2, 0, k, *v) for k in range(5)], ["run_id", "qpid", "time_id", *S])
+    wide, status = prep.prepare_outputs(macro, nano)
+    assert {r.run_id: r.status for r in status.collect()} == {1: "short", 2: "ok"}
+    assert {r.run_id for r in wide.collect()} == {2} and wide.count() == 6
+    designed = spark.createDataFrame([(1,), (2,), (3,)], "run_id long")
+    got = {r.run_id: (r.points, r.status) for r in prep.run_status(status, designed, "run_id").collect()}
+    assert got == {1: (1, "short"), 2: (1, "ok"), 3: (0, "missing")}
+
+
 def test_prepare_outputs_end_to_end(spark):
     rng = np.random.default_rng(0)
     points, steps, m = 4, 3, 2

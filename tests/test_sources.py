@@ -22,6 +22,12 @@ def test_thermo_log_golden(spark, tmp_path):
     assert sorted(r.energy for r in f.collect()) == [-7.0, -6.0]
 
 
+def test_block_that_is_not_closed_gives_nothing(spark, tmp_path):
+    (tmp_path / "log").write_text("Step a\n1 2\nLoop\nStep a\n3 4\n5 6\n")
+    rows = files.thermo_log(spark, str(tmp_path)).collect()
+    assert [(r.block, r.row, r.tokens) for r in rows] == [(0, 0, ["1", "2"])]
+
+
 def test_thermo_log_read_in_small_splits(spark, tmp_path):
     text = "".join(f"Step a b\n" + "".join(f"{b} {i}\n" for i in range(b % 5 + 1)) + "Loop\n" for b in range(60))
     (tmp_path / "log").write_text(text)
