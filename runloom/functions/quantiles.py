@@ -6,27 +6,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import join_group_stats
+from .workspace import materialise
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bins: int = 1024
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bins: int = 64
 ) -> DataFrame:
     """One row per key with a column per entry of ``probs`` (name -> probability).
 
     Equal values are counted first (map-side), then only the value bins that hold a
-    wanted rank are ordered.  No group is ever held whole by one task.
+    wanted rank are ordered. Bins are cut at approximate quantiles of the distinct values,
+    so a bin holds about one of ``bins`` parts of its group whatever the values are. The
+    cuts are written once, because they may differ between evaluations.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    ranges = counted.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")
-    )
-    unit = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    binned = join_group_stats(counted, ranges, keys).withColumn(
-        "_bin",
-        F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor(unit * bins))).otherwise(F.lit(0)),
+    shares = [i / bins for i in range(1, bins)]
+    cuts = counted.groupBy(*keys).agg(
+        F.percentile_approx("_v", shares, 10_000).alias("_cuts"), F.sum("_n").alias("_total")
     )
+    binned = join_group_stats(counted, materialise(cuts, "cuts"), keys).withColumn(
+        "_bin", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    ).drop("_cuts")
     before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     ranks = {}
     for name, p in probs.items():

@@ -198,6 +198,42 @@ def missing_nodes(collated: DataFrame, expected: int) -> DataFrame:
     return collated.groupBy(*GROUP).agg((F.lit(expected) - F.count(F.lit(1))).cast("long").alias("n_missing"))
 
 
+def _lagrange(x: Column, nodes: list[float]) -> Column:
+    """Values at ``x`` of the polynomials that are 1 at one node and 0 at the others."""
+    out = []
+    for j, at in enumerate(nodes):
+        term = F.lit(1.0)
+        for k, other in enumerate(nodes):
+            if k != j:
+                term = term * (x - other) / F.lit(float(at - other))
+        out.append(term)
+    return F.array(*out)
+
+
+def evaluate_sc(points: DataFrame, collated: DataFrame, names: list[str], nodes: list[list[float]]) -> DataFrame:
+    """``points`` with ``prediction``: the tensor interpolation of the outputs at the grid's nodes.
+
+    ``points`` has (qoi, t) and the parameters; ``collated`` the outputs at every node;
+    ``nodes`` the values of each parameter in order. Each (qoi, t) has one array over the
+    grid; one that lacks a node has a null prediction.
+    """
+    place, total = F.lit(0), 1
+    for n, values in zip(names, nodes):
+        place = place * len(values) + F.array_position(F.array(*[F.lit(float(v)) for v in values]), F.col(n).cast("double")) - 1
+        total *= len(values)
+    entries = F.sort_array(F.collect_list(F.struct(place.cast("long").alias("at"), F.col("value").cast("double").alias("v"))))
+    packed = collated.groupBy(*GROUP).agg(F.transform(entries, lambda e: e["v"]).alias("_f"))
+    def products(so_far: Column, own: Column) -> Column:
+        return F.flatten(F.transform(so_far, lambda a: F.transform(own, lambda b: a * b)))
+
+    weights = F.array(F.lit(1.0))
+    for n, values in zip(names, nodes):
+        weights = products(weights, _lagrange(F.col(n), values))
+    met = join_group_stats(points, packed, GROUP).withColumn("_w", weights)
+    value = F.aggregate(F.zip_with("_w", "_f", lambda w, f: w * f), F.lit(0.0), lambda s, x: s + x)
+    return met.withColumn("prediction", F.when(F.size("_f") == total, value)).drop("_w", "_f")
+
+
 # --- quasi Monte Carlo --------------------------------------------------------------
 
 
@@ -240,8 +276,8 @@ def qmc_sobol(outputs: DataFrame, params: list[str], designed: int | None = None
         *[
             F.struct(
                 F.lit(p).alias("param"),
-                _share(F.col(f"_s_{p}"), F.col("var")).alias("sobol_first"),
-                _share(F.col(f"_t_{p}"), F.col("var")).alias("sobol_total"),
+                F.when(F.col("n_bases") > 0, _share(F.col(f"_s_{p}"), F.col("var"))).alias("sobol_first"),
+                F.when(F.col("n_bases") > 0, _share(F.col(f"_t_{p}"), F.col("var"))).alias("sobol_total"),
             )
             for p in params
         ]

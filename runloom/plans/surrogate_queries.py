@@ -113,20 +113,43 @@ def gradient_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("sensitivity", F.log10("sensitivity"))
 
 
-register(
-    "gradient_sensitivity",
-    gradient_sensitivity,
-    f"""WITH {REGRESSION_SQL},
+GRADIENT_SQL = f"""{REGRESSION_SQL},
         sample AS (SELECT id, floor({u_sql(21, "discount", "id")} * 11) AS x1, floor({u_sql(21, "tax", "id")} * 9) AS x2
                    FROM (SELECT s_suppkey * 100 + c AS id FROM supplier, range(100) AS r(c))),
         g AS (SELECT qoi, id, sum(2 * (a + b1 * x1 + b2 * x2) * b1) AS g1, sum(2 * (a + b1 * x1 + b2 * x2) * b2) AS g2
-              FROM sample, linear GROUP BY qoi, id)
-        SELECT qoi, 'discount' AS param, log10(avg(g1 * g1)) AS sensitivity FROM g GROUP BY qoi
-        UNION ALL SELECT qoi, 'tax', log10(avg(g2 * g2)) FROM g GROUP BY qoi""",
+              FROM sample, linear GROUP BY qoi, id),
+        sens AS (SELECT qoi, 'discount' AS param, log10(avg(g1 * g1)) AS sensitivity FROM g GROUP BY qoi
+                 UNION ALL SELECT qoi, 'tax', log10(avg(g2 * g2)) FROM g GROUP BY qoi)"""
+
+register("gradient_sensitivity", gradient_sensitivity, f"WITH {GRADIENT_SQL} SELECT * FROM sens", ["sensitivity"])
+
+# The surrogate's sensitivities over all QoIs, and their ranking.
+register(
+    "surrogate_total_sensitivity",
+    lambda spark, sf: collate.total_sensitivity(gradient_sensitivity(spark, sf)),
+    f"""WITH {GRADIENT_SQL}, m AS (SELECT param, avg(sensitivity) AS sensitivity FROM sens GROUP BY param)
+        SELECT param, sensitivity, row_number() OVER (ORDER BY sensitivity DESC, param) AS rank FROM m""",
     ["sensitivity"],
 )
 
 
+def surrogate_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polynomial's prediction for every run and time index, trained or not."""
+    rows = split_observations(spark, sf_dir).select("run_id", "qoi", "t", "split", "discount", "tax").distinct()
+    predicted = uq.evaluate_pce(rows, linear_coefficients(spark, sf_dir), GRID, 1)
+    return predicted.select("run_id", "qoi", "t", "split", "prediction")
+
+
+register(
+    "surrogate_predictions",
+    surrogate_predictions,
+    f"""WITH {REGRESSION_SQL}
+        SELECT DISTINCT CAST(discount * 9 + tax AS BIGINT) AS run_id, qoi, t, split, a + b1 * discount + b2 * tax AS prediction
+        FROM rows_ JOIN linear USING (qoi, t)""",
+    ["prediction"], 4,
+)
+
+
 # --- customer campaign ------------------------------------------------------------------------
 
 

@@ -290,6 +290,35 @@ register(
 )
 
 
+# --- interpolation on the grid ---------------------------------------------------------
+
+
+def sc_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid's outputs between its nodes: one new point per supplier."""
+    supplier = load(spark, sf_dir, "supplier")
+    points = supplier.select(
+        F.col("s_suppkey").alias("sample_id"), (F.col("s_suppkey") % 40 / 4.0).alias("discount"),
+        (F.col("s_nationkey") % 17 / 2.0).alias("tax"), F.explode(F.array(F.lit("price"), F.lit("quantity"))).alias("qoi"),
+    ).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))))
+    nodes = [list(range(11)), list(range(9))]
+    return uq.evaluate_sc(points, collated(spark, sf_dir), NAMES, nodes).select("sample_id", "qoi", "t", "prediction")
+
+
+register(
+    "sc_interpolation",
+    sc_interpolation,
+    f"""WITH {GRID_SQL},
+        points AS (SELECT s_suppkey AS id, s_suppkey % 40 / 4.0::DOUBLE AS x, s_nationkey % 17 / 2.0::DOUBLE AS y FROM supplier),
+        lx AS (SELECT x, j, product((x - k) / (j - k)::DOUBLE) AS w FROM (SELECT DISTINCT x FROM points), range(11) a(j), range(11) b(k)
+               WHERE j <> k GROUP BY x, j),
+        ly AS (SELECT y, j, product((y - k) / (j - k)::DOUBLE) AS w FROM (SELECT DISTINCT y FROM points), range(9) a(j), range(9) b(k)
+               WHERE j <> k GROUP BY y, j)
+        SELECT id AS sample_id, qoi, t, CASE WHEN count(*) = 99 THEN sum(lx.w * ly.w * value) END AS prediction
+        FROM points JOIN lx USING (x) JOIN ly USING (y) JOIN collated ON discount = lx.j AND tax = ly.j GROUP BY ALL""",
+    ["prediction"], 3,
+)
+
+
 # --- feature tables -----------------------------------------------------------------
 
 

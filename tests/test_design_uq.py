@@ -26,8 +26,8 @@ def test_tensor_grid(spark):
     assert len(rows) == 16 and np.isclose(sum(r.weight for r in rows), 1)
     assert rows[1].node_idx == [0, 1] and rows[4].node_idx == [1, 0]
     assert np.isclose(rows[0].x1, (1 - 0.8611363115940526) / 2)
-    four = [Marginal("strain_rate2", 1, 20, "DiscreteUniform"), Marginal("temperature", 300, 550, "DiscreteUniform"),
-            Marginal("numberofsamplingsteps", 1, 20, "DiscreteUniform"), Marginal("timesteplength", 1, 200, "DiscreteUniform")]
+    four = [Marginal("line", 1, 7, "DiscreteUniform"), Marginal("size", 1, 50, "DiscreteUniform"),
+            Marginal("month", 1, 12, "DiscreteUniform"), Marginal("nation", 0, 24, "DiscreteUniform")]
     assert design.tensor_design(campaign(spark, four), four, 3).count() == 256
 
 
@@ -67,6 +67,17 @@ def test_evaluate(spark):
         assert np.isclose(r.prediction, r.value)
 
 
+def test_interpolation_is_exact_for_the_golden_function(spark):
+    nodes = [sorted({round(float(v), 12) for v in x}) for x in zip(*[(r.x1, r.x2) for r in golden(spark).collect()])]
+    table = golden(spark).withColumns({n: F.round(n, 12) for n in ("x1", "x2")})
+    new = design.random_design(spark.range(20).withColumnRenamed("id", "sample_id"), "sample_id", MS, 5)
+    new = new.withColumn("qoi", F.lit("f")).withColumn("t", F.lit(0))
+    got = uq.evaluate_sc(new, table, ["x1", "x2"], nodes).withColumn("value", value()).collect()
+    assert len(got) == 20 and all(np.isclose(r.prediction, r.value) for r in got)
+    cut = uq.evaluate_sc(new, table.filter(F.col("x1") != nodes[0][0]), ["x1", "x2"], nodes)
+    assert {r.prediction for r in cut.collect()} == {None}
+
+
 def test_constant_output_has_zero_indices(spark):
     g = golden(spark).withColumn("value", F.lit(2.0))
     c = uq.pce_coefficients(g, MS, 3).withColumn("coefs", F.transform("coefs", lambda v: F.round(v, 9)))

@@ -134,6 +134,13 @@ def test_exact_quantiles_with_hot_group_and_ties(spark):
     assert out.count() == 4
 
 
+def test_exact_quantiles_with_a_far_outlier(spark):
+    v = np.append(np.random.default_rng(4).normal(size=5000), [1e12, -1e15])
+    df = spark.createDataFrame([("k", float(x)) for x in v], "k string, v double")
+    r = exact_quantiles(df, ["k"], "v", {"a": 0.1, "b": 0.9}).first()
+    assert np.allclose([r.a, r.b], np.quantile(v, [0.1, 0.9]))
+
+
 def test_spline_equals_dense_solution(spark):
     rng = np.random.default_rng(3)
     histories = {0: rng.normal(size=2), 1: rng.normal(size=3), 2: rng.normal(size=17), 3: rng.normal(size=300).cumsum(),
