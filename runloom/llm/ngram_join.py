@@ -25,6 +25,8 @@ WORDS = 4
 PERCENT = 85
 # Members of a bucket that meet in one unit of work; a larger bucket is cut into blocks.
 BLOCK = 512
+# Rows of a bucket that a task holds to name it.
+HELD = 20_000
 # What a compared pair costs against writing a signature.
 PAIR_COST = 0.05
 # Ids up to this count are sent to all tasks.
@@ -214,8 +216,9 @@ def shingle_sets(docs: DataFrame, key: str, text: str, words: int = WORDS) -> Da
 def index_segments(docs: DataFrame, text: str, bands: list[Band], words: int, percent: int) -> DataFrame:
     """(sig, set_id): members of the buckets that hold more than one set.
 
-    Signatures are dealt and sorted by value; a row stays if its neighbour has the same
-    signature and another set, so a bucket of any size streams through.
+    Signatures are dealt and sorted by value, so a bucket of any size streams through. A
+    bucket is named by its members: near copies share most of their segments, and buckets
+    with the same members are one.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,31 +229,49 @@ def index_segments(docs: DataFrame, text: str, bands: list[Band], words: int, pe
                 rows, sigs = signatures(values, bounds, bands, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(ids[rows])], names=["sig", "set_id"])
 
+    def named(sig: np.ndarray, ids: np.ndarray) -> pa.RecordBatch | None:
+        """Whole buckets of two or more sets, named by the hash of their members."""
+        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, len(sig)))
+        if not (sizes > 1).any():
+            return None
+        name = mix(np.add.reduceat(mix(ids.view(np.uint64)), starts) + mix(sizes.astype(np.uint64))).view(np.int64)
+        several = np.repeat(sizes > 1, sizes)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(name, sizes)[several]), pa.array(ids[several])], names=["sig", "set_id"])
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, met = None, False  # the last row is held back until its successor is known
+        # The last bucket is held back until it is whole; one that is too long to hold keeps its signature as name.
+        sig, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        long_one = None
         for batch in batches:
-            sig, ids = (batch.column(c).to_numpy() for c in ("sig", "set_id"))
-            if held is not None:
-                sig, ids = np.concatenate([[held[0]], sig]), np.concatenate([[held[1]], ids])
+            sig = np.concatenate([sig, batch.column("sig").to_numpy()])
+            ids = np.concatenate([ids, batch.column("set_id").to_numpy()])
             fresh = np.ones(len(sig), dtype=bool)
             fresh[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
             sig, ids = sig[fresh], ids[fresh]
-            after = np.zeros(len(sig), dtype=bool)
-            after[:-1] = sig[1:] == sig[:-1]
-            before = np.zeros(len(sig), dtype=bool)
-            before[1:] = after[:-1]
-            if held is not None:
-                before[0] = met
-            out = (after | before)[:-1]
-            if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(sig[:-1][out]), pa.array(ids[:-1][out])], names=["sig", "set_id"])
-            if len(sig):
-                held, met = (sig[-1], ids[-1]), bool(before[-1])
-        if held is not None and met:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]])], names=["sig", "set_id"])
-
+            if long_one is not None:
+                more = np.searchsorted(sig != long_one, True)
+                if more:
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[:more]), pa.array(ids[:more])], names=["sig", "set_id"])
+                    sig, ids = sig[more:], ids[more:]
+            if not len(sig):
+                continue
+            last = len(sig) - np.searchsorted(sig[::-1] != sig[-1], True)
+            whole = named(sig[:last], ids[:last])
+            if whole is not None:
+                yield whole
+            sig, ids, long_one = sig[last:], ids[last:], None
+            if len(sig) > held:
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ids)], names=["sig", "set_id"])
+                sig, ids, long_one = sig[:0], ids[:0], sig[0]
+        whole = named(sig, ids)
+        if whole is not None:
+            yield whole
+
+    held = HELD
     emitted = docs.select(F.col(text).alias("_text")).mapInArrow(emit, "sig long, set_id long")
-    return emitted.repartition("sig").sortWithinPartitions("sig", "set_id").mapInArrow(meet, "sig long, set_id long")
+    met = emitted.repartition("sig").sortWithinPartitions("sig", "set_id").mapInArrow(meet, "sig long, set_id long")
+    return met.distinct()
 
 
 class _Forest:

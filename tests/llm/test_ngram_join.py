@@ -47,6 +47,7 @@ def near_copies(rng, n, length, changes):
 @pytest.mark.parametrize("size,percent", [(4, 85), (5, 80)])
 def test_components_equal_brute_force(spark, monkeypatch, block, size, percent):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "HELD", 4 * block)
     rng = random.Random(block + size)
     texts = sum([near_copies(rng, 25, n, c) for n, c in [(9, 2), (30, 3), (60, 6), (200, 14)]], [])
     texts += ["common passage of some words that many texts share " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(40)))
