@@ -69,7 +69,8 @@ register(
 
 
 def graph_without_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = coarsen.build_graph(lineitem_edges(spark, sf_dir))
+    # Read four times below: written once.
+    graph = materialise(coarsen.build_graph(lineitem_edges(spark, sf_dir)), "graph")
     gone = coarsen.neighbours_of(graph, coarsen.max_degree_node(graph))
     return coarsen.remove_nodes(graph, gone).select("a", "b", "dist")
 
