@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import join_group_stats
-from ..functions.ordinal import with_ordinal
+from ..functions.ordinal import with_spread_ordinal
 from ..functions.polynomials import Marginal
 from ..functions.vectors import frobenius
 
@@ -40,10 +40,10 @@ def train_test_split(runs: DataFrame, test_frac: float = 0.2, campaign: str | No
     """First rows train: ``split`` by the position of the run id in its campaign."""
     if campaign:
         counts = runs.groupBy(campaign).agg(F.count(F.lit(1)).alias("_n"))
-        placed = with_ordinal(runs, [campaign], ["run_id"], "position")
+        placed = with_spread_ordinal(runs, [campaign], ["run_id"], "position")
         placed = join_group_stats(placed, counts, [campaign])
     else:
-        placed = with_ordinal(runs, [], ["run_id"], "position").withColumn("_n", F.lit(runs.count()))
+        placed = with_spread_ordinal(runs, [], ["run_id"], "position").withColumn("_n", F.lit(runs.count()))
     train = F.col("position") < F.floor(F.col("_n") * F.lit(1.0 - test_frac) + F.lit(1e-9))
     return placed.withColumn("split", F.when(train, "train").otherwise("test")).drop("_n")
 

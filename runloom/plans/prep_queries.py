@@ -84,8 +84,10 @@ register(
 def series_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = load(spark, sf_dir, "lineitem")
     long = line.groupBy("l_suppkey", "l_linenumber").agg(F.sum("l_quantity").alias("value"))
-    wide = prep.series_to_matrix(long, ["l_suppkey"], "l_linenumber", "value", [1, 2, 3, 4, 5, 6, 7])
-    return prep.assign_header(wide, ["l_suppkey", *[f"t{i}" for i in range(7)]])
+    # A run has few time steps: their numbers are read from the table.
+    steps = [r[0] for r in line.select("l_linenumber").distinct().orderBy("l_linenumber").collect()]
+    wide = prep.series_to_matrix(long, ["l_suppkey"], "l_linenumber", "value", steps)
+    return prep.assign_header(wide, ["l_suppkey", *[f"t{i}" for i in range(len(steps))]])
 
 
 register(

@@ -14,7 +14,6 @@ from ..operators import collate, design, gaussian_process, softmax_surrogate, su
 from .design_queries import u_sql
 from .tables import GRID, OBSERVED_SQL, load, observed, register
 
-YEARS = list(range(1995, 2002))
 BALANCE, NATION = Marginal("balance", -1000.0, 10000.0), Marginal("nation", 0, 24, "DiscreteUniform")
 CUSTOMER = [BALANCE, NATION]
 FEATURES = [m.name for m in CUSTOMER]
@@ -162,27 +161,30 @@ def customer_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def customer_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_id, qoi, t, value): a customer's order value and number of orders of each year."""
     orders = load(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", F.year("o_orderdate").alias("y"))
+    first, last = orders.agg(F.min("y"), F.max("y")).first()
+    years = list(range(first, last + 1)) if first else []
     totals = orders.groupBy(F.col("o_custkey").alias("run_id")).agg(
-        *[F.sum(F.when(F.col("y") == y, F.col("o_totalprice"))).alias(f"price_{y}") for y in YEARS],
-        *[F.sum(F.when(F.col("y") == y, F.lit(1.0))).alias(f"orders_{y}") for y in YEARS],
+        *[F.sum(F.when(F.col("y") == y, F.col("o_totalprice"))).alias(f"price_{y}") for y in years],
+        *[F.sum(F.when(F.col("y") == y, F.lit(1.0))).alias(f"orders_{y}") for y in years],
     )
     everyone = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id")).join(totals, "run_id", "left")
     entries = F.array(
         *[
             F.struct(F.lit(q).alias("qoi"), F.lit(i).cast("long").alias("t"), F.coalesce(F.col(f"{q}_{y}"), F.lit(0.0)).alias("value"))
-            for q in ("price", "orders") for i, y in enumerate(YEARS)
+            for q in ("price", "orders") for i, y in enumerate(years)
         ]
     )
     return everyone.select("run_id", F.inline(entries))
 
 
 CUSTOMER_SQL = f"""
-totals AS (SELECT o_custkey, CAST(year(o_orderdate) - {YEARS[0]} AS BIGINT) AS t, sum(o_totalprice) AS price, count(*)::DOUBLE AS orders
-           FROM orders GROUP BY ALL),
+years AS (SELECT min(year(o_orderdate)) AS y0, max(year(o_orderdate)) AS y1 FROM orders),
+totals AS (SELECT o_custkey, CAST(year(o_orderdate) - y0 AS BIGINT) AS t, sum(o_totalprice) AS price, count(*)::DOUBLE AS orders
+           FROM orders, years GROUP BY ALL),
 outputs AS (
   SELECT c_custkey AS run_id, q.qoi, g.t, c_acctbal AS balance, c_nationkey AS nation,
          CASE WHEN q.qoi = 'price' THEN coalesce(price, 0) ELSE coalesce(totals.orders, 0) END::DOUBLE AS value
-  FROM customer, (VALUES ('price'), ('orders')) AS q(qoi), range({len(YEARS)}) AS g(t)
+  FROM customer, (VALUES ('price'), ('orders')) AS q(qoi), (SELECT unnest(range(y1 - y0 + 1)) AS t FROM years) AS g
   LEFT JOIN totals ON o_custkey = c_custkey AND totals.t = g.t)"""
 
 register(

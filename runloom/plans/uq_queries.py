@@ -396,17 +396,22 @@ register(
     ORDER_FEATURES, 9,
 )
 
+
+
+def feature_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of all features, standardised with the moments of the training runs."""
+    features = order_features(spark, sf_dir)
+    moments = collate.feature_moments(collate.train_test_split(features).filter("split = 'train'"), ORDER_FEATURES)
+    return collate.feature_summary(collate.standardise(features, ORDER_FEATURES, moments), ORDER_FEATURES)
+
+
 register(
     "feature_summary",
-    lambda spark, sf: collate.feature_summary(
-        collate.standardise(
-            order_features(spark, sf), ORDER_FEATURES,
-            collate.feature_moments(order_features(spark, sf).filter("run_id % 5 <> 0"), ORDER_FEATURES),
-        ),
-        ORDER_FEATURES,
-    ),
+    feature_summary,
     """WITH f AS (SELECT o_orderkey AS run_id, o_totalprice AS price, month(o_orderdate)::DOUBLE AS month FROM orders),
-       m AS (SELECT avg(price) AS pm, stddev_pop(price) AS ps, avg(month) AS wm, stddev_pop(month) AS ws FROM f WHERE run_id % 5 <> 0)
+       placed AS (SELECT *, row_number() OVER (ORDER BY run_id) - 1 AS position, count(*) OVER () AS n FROM f),
+       m AS (SELECT avg(price) AS pm, stddev_pop(price) AS ps, avg(month) AS wm, stddev_pop(month) AS ws FROM placed
+             WHERE position < floor(n * 0.8::DOUBLE + 1e-9))
        SELECT 'price' AS param, avg((price - pm) / ps) AS mean FROM f, m
        UNION ALL SELECT 'month', avg((month - wm) / ws) FROM f, m""",
     ["mean"],
