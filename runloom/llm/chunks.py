@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.workspace import materialise
 from .shingles import _column_bytes, mix, slices
 
-# Chunks of 16 to 256 bytes, 48 on average; the rolling hash looks at 16 bytes.
-LEAST, MOST, BITS, WINDOW = 16, 256, 5, 16
-# A passage is reported if its repeated chunks in a row have this many bytes.
+# Chunks of 16 to 256 bytes, 32 on average; the rolling hash looks at 16 bytes.
+LEAST, MOST, BITS, WINDOW = 16, 256, 4, 16
+# Repeated chunks in a row are reported if they have this many bytes together.
 PASSAGE_BYTES = 100
 
 CHUNKS = "key {key}, start long, length int, high long, low long"
@@ -26,7 +27,7 @@ def _gear() -> np.ndarray:
 
 
 def cut_candidates(data: np.ndarray) -> np.ndarray:
-    """Positions after which a chunk may end: the gear hash of the last 16 bytes has five zero top bits.
+    """Positions after which a chunk may end: the gear hash of the last 16 bytes has four zero top bits.
 
     The hash ``h = (h << 1) + gear[byte]`` is summed for all positions at once by doubling
     the window. Positions inside a UTF-8 character are left out, so chunks are valid text.
@@ -109,28 +110,32 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", passage_bytes: int = PASSAGE_BYTES) -> DataFrame:
     """(key, start, end, n_chunks, kept): passages of documents that other documents have too, in bytes.
 
-    A chunk counts if documents with different keys have its digest. Its owner, the first
-    place by key and position, is ``kept``; all other places are copies. Chunks in a row
-    of one document that are all kept or all copies are one passage. Digests are counted
-    before places meet them, so a chunk that very many documents have is split between
-    tasks. Rows with a null key are left out, rows with equal keys are one document.
+    A chunk counts if documents with different keys have its digest. Its places in the
+    document with the smallest key are ``kept``; all others are copies. A run of repeated
+    chunks in a row is reported if it has ``passage_bytes`` bytes, cut where kept chunks
+    and copies meet. Digests are counted and written before places meet them, so a chunk
+    that very many documents have can be split between tasks. Rows with a null key are
+    left out, rows with equal keys are one document.
     """
     chunks = chunk_documents(docs, key, text)
     digest = ["high", "low"]
-    shared = chunks.groupBy(*digest).agg(
-        F.min(F.struct("key", "start")).alias("owner"), F.max("key").alias("last")
-    ).filter("owner.key <> last").select(*digest, "owner")
+    owners = chunks.groupBy(*digest).agg(F.min("key").alias("owner"), F.max("key").alias("last"))
+    shared = materialise(owners.filter("owner <> last").select(*digest, "owner"), "shared")
     places = chunks.join(shared, digest).select(
         "key", "start", (F.col("start") + F.col("length")).alias("end"),
-        (F.struct("key", "start") == F.col("owner")).alias("kept")).distinct()
+        (F.col("key") == F.col("owner")).alias("kept")).distinct()
     w = Window.partitionBy("key").orderBy("start", "end")
-    begins = ~((F.lag("end").over(w) == F.col("start")) & (F.lag("kept").over(w) == F.col("kept")))
-    islands = places.withColumn("_new", F.coalesce(begins, F.lit(True)).cast("int")).withColumn(
-        "_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy("key", "_island").agg(
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    goes_on = F.coalesce(F.lag("end").over(w) == F.col("start"), F.lit(False))
+    alike = goes_on & (F.lag("kept").over(w) == F.col("kept"))
+    runs = places.withColumns({"_new_run": (~goes_on).cast("int"), "_new": (~alike).cast("int")}).withColumns({
+        "_run": F.sum("_new_run").over(upto), "_part": F.sum("_new").over(upto)})
+    parts = runs.groupBy("key", "_run", "_part").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_chunks"),
-        F.first("kept").alias("kept"),
-    ).filter(F.col("end") - F.col("start") >= passage_bytes).select(
+        F.first("kept").alias("kept"))
+    # The whole run counts, although its chunks may have owners in several documents.
+    whole = F.sum(F.col("end") - F.col("start")).over(Window.partitionBy("key", "_run"))
+    return parts.withColumn("_whole", whole).filter(F.col("_whole") >= passage_bytes).select(
         F.col("key").alias(key), "start", "end", "n_chunks", "kept")
 
 
