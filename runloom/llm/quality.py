@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Labelled rows per class that a model is fitted on, and the longest of them in bytes.
-SAMPLE_ROWS = 1500
+SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 32 << 10
-DICTIONARY_BYTES = 112 << 10
+DICTIONARY_BYTES = 256 << 10
 # Texts are compressed in short blocks, so that their own history does not hide the dictionary.
 BLOCK_BYTES = 512
 LEVEL = 3
