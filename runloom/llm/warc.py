@@ -20,8 +20,8 @@ from ..functions.workspace import materialise
 ARCHIVE_BYTES = 256 << 20
 # Records whose gap is at most this are read with one request of at most RANGE_BYTES.
 GAP_BYTES, RANGE_BYTES = 64 << 10, 8 << 20
-# Rows of one task when records are read: archives are cut into spans of this many bytes.
-SPAN_BYTES = 32 << 20
+# When records are read, archives are cut into spans of this many bytes, about one to a task.
+SPAN_BYTES = 16 << 20
 # Repeated payloads up to this count are sent to all tasks.
 BROADCAST_PAYLOADS = 100_000
 
@@ -211,6 +211,8 @@ def read_records(index: DataFrame, folder: str, gap: int = GAP_BYTES, most: int
     record_schema = pa.schema([
         (f.name, kinds[f.dataType.simpleString()]) for f in T._parse_datatype_string(RECORDS).fields])
     span = F.floor(F.col("offset") / SPAN_BYTES)
+    # Index rows are small, what they fetch is not: the number of tasks follows the bytes to read.
+    total = index.agg(F.sum("length")).first()[0] or 0
     dealt = index.select("record_id", "url", "archive", "offset", "length").repartition(
-        "archive", span).sortWithinPartitions("archive", "offset")
+        -(-total // SPAN_BYTES) or 1, "archive", span).sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(read, RECORDS)
