@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import slices
 
 DIMS = 1024
 SEED = 7
-# Learned documents per language and the number of languages a model may have.
+# Learned documents per language (on average) and the number of languages a model may have.
 SAMPLE_ROWS = 1000
 MOST_LANGUAGES = 2000
 # Texts longer than this are read in pieces cut at a blank.
@@ -98,7 +98,7 @@ def text_vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     np.logical_or.at(has, owner, with_letter)
     owner = np.array(owner)[rows]
     base = len(letters) + 1
-    if base**3 <= 1 << 26:
+    if base**3 <= 1 << 23:
         seen = np.zeros(base**3, dtype=bool)
         seen[codes] = True
         distinct = np.flatnonzero(seen)
@@ -129,21 +129,22 @@ def text_vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def learn_languages(
     docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS,
 ) -> dict[str, np.ndarray]:
-    """Prototype of each language: the normalised bundle of at most ``rows`` documents with that language.
+    """Prototype of each language: the normalised bundle of about ``rows`` documents with that language.
 
-    The sample takes the smallest key hashes per language; it is chosen on ids alone, and
-    its ids are sent to all tasks. Vectors are added up per task before they are combined.
-    Rows with a null language, key or text are not learned from.
+    Rows are counted per language, then those whose key hash is below the language's share
+    are read: no language is ordered or gathered. Vectors are added up per task before
+    they are combined. Rows with a null language, key or text are not learned from.
     """
     usable = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull() & learn)
-    languages = usable.select(lang).distinct().count()
-    if languages > MOST_LANGUAGES:
-        raise ValueError(f"{languages} languages; the model holds at most {MOST_LANGUAGES}")
-    ranked = usable.select(F.col(key).alias("_key"), F.col(lang).alias("_lang")).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_key"), "_key")))
-    ids = ranked.filter(F.col("_rank") <= rows).select("_key", "_lang").distinct()
-    sample = usable.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("_text")).join(
-        F.broadcast(ids), ["_key", "_lang"])
+    # One row per language, their number is checked as they are fetched.
+    counts = usable.groupBy(F.col(lang).alias("_lang")).count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"the model holds at most {MOST_LANGUAGES} languages")
+    shares = docs.sparkSession.createDataFrame(
+        [(r["_lang"], rows / r["count"]) for r in counts], "_lang string, _share double")
+    drawn = F.pmod(F.xxhash64(key), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    sample = usable.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), drawn.alias("_u")).join(
+        F.broadcast(shares), "_lang").filter("_u < _share")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
