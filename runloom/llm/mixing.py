@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.workspace import materialise
+
 # Poisson means above this are drawn as a sum of independent parts.
 PART_MEAN = 8.0
 # A uniform number has 52 bits; at a mean of 8 the tail beyond 60 is far below 2^-52.
@@ -19,32 +21,32 @@ def _uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
 
 
-def poisson_count(mean: Column, seed: str, key: Column) -> Column:
-    """Poisson variate of each key by inverting the distribution at its hash.
+def poisson_parts(mean: Column) -> Column:
+    """Number of independent equal parts that a Poisson variate is drawn in; none for mean 0."""
+    return F.ceil(mean / PART_MEAN).cast("int")
 
-    A large mean is split into equal parts, each inverted at a hash of its own; the sum has
-    the wanted distribution, and no exponential underflows.
-    """
-    parts = F.ceil(mean / PART_MEAN).cast("int")
-    each = mean / F.greatest(parts, F.lit(1))
 
-    def draw(u: Column) -> Column:
-        start = F.struct(F.exp(-each).alias("term"), F.exp(-each).alias("total"), F.lit(0).alias("count"))
+def poisson_distribution(mean: Column) -> Column:
+    """Probabilities of at most 0, 1, ... LONGEST for one part of the mean."""
+    each = mean / F.greatest(poisson_parts(mean), F.lit(1))
+    start = F.struct(F.exp(-each).alias("term"), F.array(F.exp(-each)).alias("below"))
+
+    def step(state: Column, k: Column) -> Column:
+        term = state["term"] * each / k
+        return F.struct(term.alias("term"), F.concat(state["below"], F.array(F.get(state["below"], k - 1) + term)).alias("below"))
 
-        def step(state: Column, k: Column) -> Column:
-            more = state["total"] < u
-            term = state["term"] * each / k
-            return F.struct(
-                F.when(more, term).otherwise(state["term"]).alias("term"),
-                F.when(more, state["total"] + term).otherwise(state["total"]).alias("total"),
-                F.when(more, k).otherwise(state["count"]).alias("count"),
-            )
+    return F.aggregate(F.sequence(F.lit(1), F.lit(LONGEST)), start, step, lambda s: s["below"])
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(LONGEST)), start, step, lambda s: s["count"])
 
-    numbers = F.when(parts > 0, F.sequence(F.lit(1), parts)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(
-        numbers, F.lit(0), lambda total, i: total + draw(_uniform(F.lit(seed), i.cast("string"), key)))
+def poisson_count(parts: Column, distribution: Column, seed: str, key: Column) -> Column:
+    """Poisson variate of each key by inverting the distribution at its hash.
+
+    A large mean is split into equal parts, each inverted at a hash of its own; the sum has
+    the wanted distribution, and no exponential underflows.
+    """
+    drawn = F.transform(
+        F.filter(F.sequence(F.lit(0), parts), lambda i: i > 0), lambda i: _uniform(F.lit(seed), i.cast("string"), key))
+    return F.aggregate(drawn, F.lit(0), lambda total, u: total + F.size(F.filter(distribution, lambda p: p < u)))
 
 
 def source_rates(docs: DataFrame, exponent: float, epochs: float, source: str = "source", text: str = "text") -> DataFrame:
@@ -54,16 +56,15 @@ def source_rates(docs: DataFrame, exponent: float, epochs: float, source: str =
     to ``size ** exponent`` (1 keeps the natural mix, 0 makes sources equal) and the whole
     result has ``epochs`` times the input's size. A null source is a source.
     """
-    sizes = docs.groupBy(F.col(source).alias("source")).agg(
-        F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"))
-    totals = sizes.agg(
-        F.sum(F.pow(F.col("size").cast("double"), F.lit(exponent))).alias("powers"), F.sum("size").alias("all"))
-    # One row of totals; both sides are grouped per source.
-    return sizes.withColumn("one", F.lit(1)).join(totals.withColumn("one", F.lit(1)), "one").select(
-        "source", "size", (F.pow(F.col("size").cast("double"), F.lit(exponent)) / F.col("powers")).alias("target"),
-        (F.pow(F.col("size").cast("double"), F.lit(exponent)) / F.col("powers") * F.col("all") * epochs
-         / F.col("size")).alias("rate"),
-    )
+    sizes = materialise(docs.groupBy(F.col(source).alias("source")).agg(
+        F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size")), "sizes")
+    power = F.pow(F.col("size").cast("double"), F.lit(exponent))
+    # Two numbers.
+    powers, total = sizes.agg(F.sum(power), F.sum("size")).first()
+    target = power / F.lit(powers or 1.0)
+    return sizes.select(
+        "source", "size", target.alias("target"),
+        (target * F.lit(float(total or 0)) * F.lit(float(epochs)) / F.col("size")).alias("rate"))
 
 
 def mix_sources(
@@ -79,15 +80,16 @@ def mix_sources(
     of seed, copy and key. Other columns pass through; those named like a result column
     are replaced.
     """
-    rates = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
+    rates = rates.select(
+        F.col("source").alias("_source"), poisson_parts(F.col("rate")).alias("_parts"),
+        poisson_distribution(F.col("rate")).alias("_below"))
     if rates.count() <= broadcast_sources:
         rates = F.broadcast(rates)
     docs = docs.drop(copy, order)
     text_key = F.col(key).cast("string")
-    counted = docs.join(rates, F.col(source).eqNullSafe(F.col("_source"))).withColumn(
-        "_count", poisson_count(F.col("_rate"), seed, text_key)
-    ).drop("_source", "_rate").filter("_count > 0")
-    copies = counted.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("_count") - 1))).drop("_count")
+    counted = docs.join(rates, F.col(source).eqNullSafe(F.col("_source")))
+    times = F.array_repeat(F.lit(0), poisson_count(F.col("_parts"), F.col("_below"), seed, text_key))
+    copies = counted.select(*[F.col(f"`{c}`") for c in docs.columns], F.posexplode(times).alias(copy, "_unused")).drop("_unused")
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col(copy).cast("string"), text_key))
     keyed = copies.withColumn(order, F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
     return keyed.repartitionByRange(order).sortWithinPartitions(order, key, copy)
