@@ -18,7 +18,7 @@ LEAST, MOST, BITS, WINDOW = 16, 256, 4, 16
 # Repeated chunks in a row are reported if they have this many bytes together.
 PASSAGE_BYTES = 100
 
-CHUNKS = "key {key}, start long, length int, high long, low long"
+CHUNKS = "key {key}, text_hash long, start long, length int, high long, low long"
 
 
 def _gear() -> np.ndarray:
@@ -70,9 +70,9 @@ def cut_row(data: bytes, candidates: list[int]) -> list[int]:
 
 
 def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start, length, high, low): the chunks of every whole text, in bytes, with their 128-bit digest.
+    """(key, text_hash, start, length, high, low): the chunks of every whole text, in bytes, with their 128-bit digest.
 
-    The chunks of a text join up to the text. Null and empty texts have none.
+    ``text_hash`` tells texts of one key apart. The chunks of a text join up to the text. Null and empty texts have none.
     """
     kind = docs.schema[key].dataType.simpleString()
 
@@ -98,45 +98,48 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                         at = end
                         owner.append(i)
                 halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+                rows_of = pa.array(owner, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_key").take(pa.array(owner, pa.int64())), pa.array(starts, pa.int64()),
+                    [part.column("_key").take(rows_of), part.column("_hash").take(rows_of), pa.array(starts, pa.int64()),
                      pa.array(lengths, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())],
-                    names=["key", "start", "length", "high", "low"])
+                    names=["key", "text_hash", "start", "length", "high", "low"])
 
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter("_key IS NOT NULL")
+    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text")).filter("_key IS NOT NULL")
     return rows.mapInArrow(work, CHUNKS.format(key=kind))
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", passage_bytes: int = PASSAGE_BYTES) -> DataFrame:
-    """(key, start, end, n_chunks, kept): passages of documents that other documents have too, in bytes.
-
-    A chunk counts if documents with different keys have its digest. Its places in the
-    document with the smallest key are ``kept``; all others are copies. A run of repeated
-    chunks in a row is reported if it has ``passage_bytes`` bytes, cut where kept chunks
-    and copies meet. Digests are counted and written before places meet them, so a chunk
-    that very many documents have can be split between tasks. Rows with a null key are
-    left out, rows with equal keys are one document.
+    """(key, start, end, n_chunks, kept, text_hash): passages that stand in several places, in bytes.
+
+    A place is (key, hash of the text, start); a chunk counts if its digest has several,
+    be it in different documents or in one. The least place is ``kept``; all others are
+    copies, also those in the same document. A run of repeated chunks in a row is reported
+    if it has ``passage_bytes`` bytes, cut where kept chunks and copies meet. Digests are
+    counted and written before places meet them, so a chunk that very many documents have
+    can be split between tasks. Rows with a null key are left out; rows with equal key and
+    text are one document.
     """
     chunks = chunk_documents(docs, key, text)
-    digest = ["high", "low"]
-    owners = chunks.groupBy(*digest).agg(F.min("key").alias("owner"), F.max("key").alias("last"))
+    digest, place = ["high", "low"], F.struct("key", "text_hash", "start")
+    # Least and greatest place differ if there are two; both are found on the map side first.
+    owners = chunks.groupBy(*digest).agg(F.min(place).alias("owner"), F.max(place).alias("last"))
     shared = materialise(owners.filter("owner <> last").select(*digest, "owner"), "shared")
     places = chunks.join(shared, digest).select(
-        "key", "start", (F.col("start") + F.col("length")).alias("end"),
-        (F.col("key") == F.col("owner")).alias("kept")).distinct()
-    w = Window.partitionBy("key").orderBy("start", "end")
+        "key", "text_hash", "start", (F.col("start") + F.col("length")).alias("end"),
+        (place == F.col("owner")).alias("kept")).distinct()
+    w = Window.partitionBy("key", "text_hash").orderBy("start", "end")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     goes_on = F.coalesce(F.lag("end").over(w) == F.col("start"), F.lit(False))
     alike = goes_on & (F.lag("kept").over(w) == F.col("kept"))
     runs = places.withColumns({"_new_run": (~goes_on).cast("int"), "_new": (~alike).cast("int")}).withColumns({
         "_run": F.sum("_new_run").over(upto), "_part": F.sum("_new").over(upto)})
-    parts = runs.groupBy("key", "_run", "_part").agg(
+    parts = runs.groupBy("key", "text_hash", "_run", "_part").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_chunks"),
         F.first("kept").alias("kept"))
     # The whole run counts, although its chunks may have owners in several documents.
-    whole = F.sum(F.col("end") - F.col("start")).over(Window.partitionBy("key", "_run"))
+    whole = F.sum(F.col("end") - F.col("start")).over(Window.partitionBy("key", "text_hash", "_run"))
     return parts.withColumn("_whole", whole).filter(F.col("_whole") >= passage_bytes).select(
-        F.col("key").alias(key), "start", "end", "n_chunks", "kept")
+        F.col("key").alias(key), "start", "end", "n_chunks", "kept", "text_hash")
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -144,9 +147,9 @@ def remove_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id", t
 
     All columns and rows stay; a document that is nothing but copies gets an empty text.
     """
-    copies = passages.filter(~F.col("kept")).groupBy(F.col(key).alias("_key")).agg(
+    copies = passages.filter(~F.col("kept")).groupBy(F.col(key).alias("_key"), F.col("text_hash").alias("_hash")).agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
-    met = docs.join(copies, F.col(key) == F.col("_key"), "left").drop("_key")
+    met = docs.join(copies, (F.col(key) == F.col("_key")) & (F.xxhash64(text) == F.col("_hash")), "left").drop("_key", "_hash")
     body = F.col(text).cast("binary")
     n = F.size("_cuts")
     # What lies between two cuts, before the first and after the last.

@@ -124,7 +124,7 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.repeated_passages(table(spark, sf_dir, "documents"))
+    return chunks.repeated_passages(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 QUERIES |= {

@@ -71,3 +71,72 @@ def test_query_spans_are_repeats(spark, sf_dir, docs_frame):
         assert sum(piece[:16] in t for t in text.values()) > 1
     copies = {i for i, t in text.items() if len(t) > 400 and sum(t == u for u in text.values()) > 1}
     assert copies <= {r.doc_id for r in got}
+
+
+def expected_passages(docs, least=100):
+    """Rows of repeated_passages by brute force: every chunk's places in order, runs of repeated ones."""
+    parts = {(r.key, r.text_hash, r.start, r.length, r.high, r.low) for r in chunks.chunk_documents(docs).collect()}
+    first, many = {}, set()
+    for key, text_hash, start, _, *digest in sorted(parts, key=lambda p: p[:3]):
+        if first.setdefault(tuple(digest), (key, text_hash, start)) != (key, text_hash, start):
+            many.add(tuple(digest))
+    runs = []
+    for key, text_hash, start, length, *digest in sorted(parts, key=lambda p: p[:3]):
+        if tuple(digest) not in many:
+            continue
+        kept = first[tuple(digest)] == (key, text_hash, start)
+        if not runs or runs[-1][-1][:2] != (key, text_hash) or runs[-1][-1][3] != start:
+            runs.append([])
+        if runs[-1] and runs[-1][-1][5] == kept:
+            last = runs[-1].pop()
+            runs[-1].append((key, text_hash, last[2], start + length, last[4] + 1, kept))
+        else:
+            runs[-1].append((key, text_hash, start, start + length, 1, kept))
+    return sorted((k, a, b, n, kept, h) for run in runs if run[-1][3] - run[0][2] >= least for k, h, a, b, n, kept in run)
+
+
+def test_repeats_inside_one_document_are_found_and_removed(spark):
+    rng = random.Random(9)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+    alone, shared = prose(70), prose(70)
+    rows = [
+        (1, " ".join([prose(40), alone, prose(30), alone, prose(50), alone, prose(20)])),
+        # The owner holds the shared passage three times, the other document twice.
+        (2, " ".join([prose(20), shared, prose(30), shared, prose(20), shared])),
+        (3, " ".join([shared, prose(60), shared, prose(10)])),
+        (4, prose(200)),
+        # Rows with equal key and text are one document; other texts of a key are not.
+        (5, "a row that is there twice " + prose(60)), (6, prose(50) + " " + alone), (6, prose(90)),
+    ]
+    rows.append(rows[4])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = chunks.repeated_passages(docs)
+    got = found.collect()
+    assert sorted(tuple(r) for r in got) == expected_passages(docs)
+    assert {r.doc_id for r in got} == {1, 2, 3, 6} and {r.doc_id for r in got if r.kept} == {1, 2}
+    cut = {(r.doc_id, r.text) for r in chunks.remove_passages(docs, found).collect()}
+    assert {rows[3], rows[4], rows[6]} <= cut and len(cut) == 7
+    left = [t for _, t in cut]
+    assert sum(t.count(alone) for t in left) == 1 and sum(t.count(shared) for t in left) == 1
+    # Of each copy at most a chunk at either end stays.
+    assert all(alone[i: i + 100] not in t.replace(alone, "") and shared[i: i + 100] not in t.replace(shared, "")
+               for t in left for i in range(len(alone) - 100))
+
+
+def test_query_equals_brute_force(spark, sf_dir, docs_frame):
+    got = QUERIES["op10_substring_dedup"](spark, sf_dir).collect()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert got and sorted(tuple(r) for r in got) == [r[:5] for r in expected_passages(docs)]
+    runs = []
+    for r in sorted(got, key=lambda r: (r.doc_id, r.start)):
+        if runs and runs[-1][0] == r.doc_id and runs[-1][2] == r.start:
+            runs[-1][2] = r.end
+        else:
+            runs.append([r.doc_id, r.start, r.end])
+    assert all(b - a >= 100 for _, a, b in runs)
+    texts = [(t or "").encode() for t in docs_frame.text]
+    # Copies whose passage stands in no other document.
+    assert any(not r.kept and sum(texts[r.doc_id][r.start: r.end] in t for t in texts) == 1 for r in got)
