@@ -237,7 +237,7 @@ def fitted_process(spark: SparkSession, sf_dir: str):
     runs, rows = split_customers(spark, sf_dir)
     scaled = collate.scale_targets(rows)
     gp = gaussian_process.fit(
-        runs.filter("split = 'train'"), scaled.filter("split = 'train'"), FEATURES, inducing=64, noise=1e-2
+        runs.filter("split = 'train'"), scaled.filter("split = 'train'"), FEATURES, inducing=None, noise=1e-2
     )
     return runs, scaled, gp
 
@@ -277,9 +277,7 @@ register(
 
 def fitted_softmax(spark: SparkSession, sf_dir: str):
     _, rows = split_customers(spark, sf_dir)
-    return rows, softmax_surrogate.fit(
-        rows.filter("split = 'train'"), FEATURES, BINS, hidden=(16, 16), iterations=30
-    )
+    return rows, softmax_surrogate.fit(rows.filter("split = 'train'"), FEATURES, BINS)
 
 
 def softmax_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,9 +289,9 @@ register("softmax_errors", softmax_errors, doubles=["rel_error"], digits=4)
 
 
 def softmax_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moments = collate.feature_moments(customer_runs(spark, sf_dir), FEATURES)
-    runs = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("run_id"))
-    sample = collate.standardise(design.fresh_sample(runs, CUSTOMER, 33, 10), FEATURES, moments)
+    runs = customer_runs(spark, sf_dir)
+    moments = collate.feature_moments(runs, FEATURES)
+    sample = collate.standardise(design.fresh_sample(runs, CUSTOMER, 33), FEATURES, moments)
     rows, model = fitted_softmax(spark, sf_dir)
     s = softmax_surrogate.squared_gradient_sensitivity(model, sample, rows)
     return collate.rank_parameters(s, ["qoi"])
