@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ordinal import with_ordinal
+from ..functions.ordinal import with_spread_ordinal
 from ..operators import elastic
 from ..schemas import PRESSURES
 from .prep_queries import USER_POSITIONS, user_positions
@@ -38,7 +38,7 @@ def stress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def averaged_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = stress_lines(spark, sf_dir)
-    return elastic.averaged_stress(with_ordinal(line, KEYS, ORDER, "position"), rows=line)
+    return elastic.averaged_stress(with_spread_ordinal(line, KEYS, ORDER, "position"), rows=line)
 
 
 NAV = "greatest(1, CASE WHEN n > 10000 THEN n // 1000 ELSE n // 10 END)"
@@ -75,7 +75,7 @@ def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("run_id"), "o_orderkey", F.sqrt("o_totalprice").alias("lx"),
         F.sqrt(F.col("o_totalprice") + F.month("o_orderdate")).alias("ly"), F.sqrt(F.col("o_totalprice") * 2).alias("lz"),
     )
-    placed = with_ordinal(orders, ["run_id"], ["o_orderkey"], "position")
+    placed = with_spread_ordinal(orders, ["run_id"], ["o_orderkey"], "position")
     return elastic.average_lengths(placed, ["run_id"], "position", ["lx", "ly", "lz"], orders)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from runloom import schemas
 from runloom.operators import coarsen, elastic, similarity
+from runloom.plans import elastic_queries
 
 
 def greedy(edges, copies=None):
@@ -176,3 +177,11 @@ def test_elastic_tensor_recovers_known_stiffness(spark):
     assert sym.count() == 21
     m = elastic.cubic_moduli(sym).first()
     assert np.allclose([m.bulk, m.shear1, m.shear2, m.poisson], [101.4, 56.4, 37.5, 0.335382], atol=1e-6)
+
+
+def test_raw_rows_of_a_series_are_numbered_without_one_task(spark, sf_dir, many_partitions):
+    """No window is dealt by the keys of a series alone: each has the part of the range-partitioned table too."""
+    for query, keys in ((elastic_queries.averaged_stress, ["material", "dir", "ori"]), (elastic_queries.lengths, ["run_id"])):
+        plan = query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        numbered = [x for x in plan.split("\n") if "row_number()" in x and "Window [" in x]
+        assert numbered and all("_part#" in x for x in numbered)
