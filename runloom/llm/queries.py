@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.workspace import new_folder
-from . import chunks, decontaminate, fingerprint, language, mixing, ngram_join, quality, sharding, url_filter, warc
+from ..functions.workspace import materialise, new_folder
+from . import (
+    chunks, decontaminate, filter_audit, fingerprint, language, mixing, ngram_join, quality, sharding, url_filter, warc,
+)
 from .registry import QUERIES, SQL, held_out, table
 
 SHARDS = 8
@@ -127,6 +129,56 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeated_passages(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+FILTERS = [
+    ("A", "n_words < 200"), ("B", "100 * n_distinct < 50 * n_words"), ("C", "100 * n_upper > 2 * n_chars"),
+    ("D", "n_symbols > 0"), ("E", None),
+]
+
+
+def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = filter_audit.failure_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), FILTERS)
+    return filter_audit.audit_orders(materialise(counts, "masks"), "".join(letter for letter, _ in FILTERS))
+
+
+# Every order is walked through, document group by document group.
+AUDIT_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+least AS (SELECT text, min(doc_id) AS least FROM words GROUP BY text),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id),
+fails AS (
+  SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+    coalesce(doc_id > least, false) AS e, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM words JOIN least USING (text) LEFT JOIN marks USING (doc_id)),
+masks AS (
+  SELECT part, concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END, CASE WHEN c THEN 'C' ELSE '' END,
+    CASE WHEN d THEN 'D' ELSE '' END, CASE WHEN e THEN 'E' ELSE '' END) AS failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+  FROM fails GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS o FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+walk AS (
+  SELECT part, o, step, substr(o, step, 1) AS x, failed, n, good, toxic, contains(failed, substr(o, step, 1)) AS fail,
+    len(list_filter(range(1, step), lambda k: contains(failed, substr(o, k, 1)))) > 0 AS gone
+  FROM masks, orders, range(1, 6) t(step)),
+rows AS (
+  SELECT part, o AS filter_order, step::INT AS step, x,
+    sum(CASE WHEN NOT fail AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN fail AND NOT gone THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fail AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN failed = x THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fail AND NOT gone THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN fail AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+  FROM walk GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+FROM rows
+"""
+
+
 QUERIES |= {
     "op1_warc": warc_round_trip,
     "op2_benchmark_decontamination": benchmark_decontamination,
@@ -138,9 +190,11 @@ QUERIES |= {
     "op8_mixing": source_mixing,
     "op9_language": language_id,
     "op10_substring_dedup": substring_dedup,
+    "op12_filter_audit": filter_interactions,
 }
 SQL |= {
     "op2_benchmark_decontamination": DECONTAMINATION_SQL,
     "op6_url_filters": URL_SQL,
     "op8_mixing": MIX_SQL,
+    "op12_filter_audit": AUDIT_SQL,
 }
