@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.workspace import materialise
+from .columns import map_columns
 
 # Orders grow with the factorial of the number of filters; so many make 5,040 orders.
 MOST_FILTERS = 7
@@ -44,28 +45,22 @@ def text_facts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the text and with counts over each whole text and its SHA-256 digest.
 
     Words are runs of other characters than ASCII blanks, in their own case. A null text is
-    an empty one. Memory of a task follows the distinct words of one text. The facts replace
-    columns of their names.
+    an empty one. Memory of a task follows the distinct words of one text. Other columns may
+    have any names; those named like a fact are replaced.
     """
-    names = [f.split()[0] for f in FACTS.split(", ")]
-    kept = [c for c in docs.columns if c not in (text, *names)]
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
         for batch in batches:
             rows = []
-            for value in batch.column("_text"):
-                body = value.as_py()
+            for value in batch.column("text"):
+                body = value.as_py() or ""
                 data = body.encode()
                 rows.append((
                     *_words(data), len(data) - len(data.translate(None, UPPER)), len(body),
                     len(data) - len(data.translate(None, SYMBOLS)), hashlib.sha256(data).digest()))
-            columns = list(zip(*rows)) or [()] * len(names)
-            made = [pa.array(c, pa.binary() if n == "digest" else pa.int64()) for n, c in zip(names, columns)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], *names])
+            *counts, digests = list(zip(*rows)) or [()] * 6
+            yield batch, [*[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.binary())]
 
-    read = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:-1])
-    return read.mapInArrow(measure, ", ".join(filter(None, [fields, FACTS])))
+    return map_columns(docs, text, FACTS, measure, keep=False)
 
 
 def failure_counts(
