@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.workspace import materialise, new_folder
 from . import (
-    chunks, decontaminate, filter_audit, fingerprint, language, mixing, ngram_join, quality, sharding, url_filter, warc,
+    chunks, decontaminate, filter_audit, fingerprint, importance, language, mixing, ngram_join, quality, sharding, url_filter,
+    warc,
 )
 from .registry import QUERIES, SQL, held_out, table
 
@@ -129,6 +130,11 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeated_passages(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = importance.importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return ranks.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 FILTERS = [
     ("A", "n_words < 200"), ("B", "100 * n_distinct < 50 * n_words"), ("C", "100 * n_upper > 2 * n_chars"),
     ("D", "n_symbols > 0"), ("E", None),
@@ -190,6 +196,7 @@ QUERIES |= {
     "op8_mixing": source_mixing,
     "op9_language": language_id,
     "op10_substring_dedup": substring_dedup,
+    "op11_importance_resampling": importance_resampling,
     "op12_filter_audit": filter_interactions,
 }
 SQL |= {
