@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -31,3 +32,17 @@ def map_columns(
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays], names=schema.names)
 
     return plain.mapInArrow(run, schema).toDF(*[docs.columns[i] for i in kept], *new.names)
+
+
+def repeat_rows(rows: DataFrame, times: str, block: int = 1024) -> DataFrame:
+    """Each row as often as its column ``times`` says, without that column.
+
+    Rows that are repeated more often than ``block`` are dealt out in blocks first, so that
+    no array is longer than about the square root of a count and no task repeats a row alone.
+    """
+    kept = [F.col(f"`{c}`") for c in rows.columns if c != times]
+    few = rows.filter(F.col(times) <= block)
+    once = F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(block).cast("long"))
+    many = rows.filter(F.col(times) > block).withColumn("_block", F.explode(once)).repartition("_block").withColumn(
+        times, F.least(F.lit(block).cast("long"), F.col(times) - F.col("_block"))).drop("_block")
+    return few.unionByName(many).select(*kept, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias("_turn")).drop("_turn")

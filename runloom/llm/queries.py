@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.workspace import materialise, new_folder
 from . import (
-    chunks, decontaminate, filter_audit, fingerprint, importance, language, mixing, ngram_join, quality, sharding, url_filter,
-    warc,
+    bpe, chunks, decontaminate, filter_audit, fingerprint, importance, language, mixing, ngram_join, quality, sharding,
+    url_filter, warc,
 )
 from .registry import QUERIES, SQL, held_out, table
 
@@ -18,6 +18,7 @@ URL_RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
     ("block", "net", "/es/"), ("block", "net", "/fr/"),
 ]
+TOKENIZER = "word_bpe_49k.json"
 MIX = {"exponent": 0.5, "epochs": 1.0}
 
 
@@ -185,6 +186,17 @@ FROM rows
 """
 
 
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    config = bpe.tokenizer_config(path(TOKENIZER))
+    decoded = bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents"), config), config)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES |= {
     "op1_warc": warc_round_trip,
     "op2_benchmark_decontamination": benchmark_decontamination,
@@ -198,6 +210,7 @@ QUERIES |= {
     "op10_substring_dedup": substring_dedup,
     "op11_importance_resampling": importance_resampling,
     "op12_filter_audit": filter_interactions,
+    "op13_bpe": bpe_round_trip,
 }
 SQL |= {
     "op2_benchmark_decontamination": DECONTAMINATION_SQL,
