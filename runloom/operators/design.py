@@ -96,18 +96,38 @@ def _numbered_runs(campaigns: DataFrame, keys: list[str], total: int) -> DataFra
     return blocks.withColumn("run_id", F.explode(F.sequence(F.col("_first"), last))).drop("_first")
 
 
+def level_size(level: int, growth: bool) -> int:
+    """Points of the one-dimensional rule of a level."""
+    return 2**level - 1 if growth else level
+
+
+def combination(dims: int, level: int) -> list[tuple[tuple[int, ...], int]]:
+    """The tensors of the Smolyak combination: levels from 1 per dimension, and the signed coefficient.
+
+    Only levels that add up to ``level`` ... ``level + dims - 1`` are made, by placing what
+    exceeds 1 dimension by dimension.
+    """
+    def place(left: int, most: int) -> list[tuple[int, ...]]:
+        if left == 0:
+            return [()]
+        return [(1 + extra, *rest) for extra in range(most + 1) for rest in place(left - 1, most - extra)]
+
+    out = []
+    for ls in place(dims, level - 1):
+        gap = level + dims - 1 - sum(ls)
+        if gap <= dims - 1:
+            out.append((ls, (-1) ** gap * math.comb(dims - 1, gap)))
+    return out
+
+
 def sparse_nodes(marginals: list[Marginal], level: int, growth: bool = False) -> dict[tuple[float, ...], float]:
     """Standardised nodes of the Smolyak combination with their summed weights.
 
     The grid does not depend on the ranges, so nodes are merged here, rounded on [-1, 1].
     """
-    d, nodes = len(marginals), {}
-    for ls in itertools.product(range(1, level + 1), repeat=d):
-        gap = level + d - 1 - sum(ls)
-        if not 0 <= gap <= d - 1:
-            continue
-        coef = (-1) ** gap * math.comb(d - 1, gap)
-        rules = [gauss_rule(m, (2**n - 2) if growth else n - 1) for m, n in zip(marginals, ls)]
+    nodes: dict[tuple[float, ...], float] = {}
+    for ls, coef in combination(len(marginals), level):
+        rules = [gauss_rule(m, level_size(n, growth) - 1) for m, n in zip(marginals, ls)]
         for point in itertools.product(*[range(len(z)) for z, _ in rules]):
             key = tuple(round(float(z[i]), 12) + 0.0 for (z, _), i in zip(rules, point))
             nodes[key] = nodes.get(key, 0.0) + coef * math.prod(float(w[i]) for (_, w), i in zip(rules, point))
@@ -239,24 +259,26 @@ def sobol_point(index: Column, dim: int) -> Column:
 
 
 def quasi_random_design(
-    bases: DataFrame, base_col: str, marginals: list[Marginal], skip: int = 2
+    bases: DataFrame, base_col: str, marginals: list[Marginal], skip: int = 2, second_order: bool = False
 ) -> DataFrame:
     """Sobol-point blocks A, B and AB_i (A with column i of B): d + 2 runs per base point.
 
     The first ``skip`` points of the sequence are left out. One point has 2d
-    coordinates: the first d make A, the others B.
+    coordinates: the first d make A, the others B. ``second_order`` adds the blocks BA_i
+    (B with column i of A), 2d + 2 runs per base point in all.
     """
     d = len(marginals)
     index = F.col(base_col) + F.lit(skip)
     df = bases
     for i in range(2 * d):
         df = df.withColumn(f"_u{i}", sobol_point(index, i))
-    names = ["A", "B", *[f"AB_{m.name}" for m in marginals]]
-    df = df.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(d + 1))))
+    names = ["A", "B", *[f"AB_{m.name}" for m in marginals], *[f"BA_{m.name}" for m in marginals if second_order]]
+    df = df.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
     df = df.withColumn("block", F.get(F.array(*[F.lit(n) for n in names]), F.col("_b")))
     for i, m in enumerate(marginals):
-        u = F.when((F.col("_b") == 1) | (F.col("_b") == i + 2), F.col(f"_u{d + i}")).otherwise(F.col(f"_u{i}"))
+        of_b = (F.col("_b") == 1) | (F.col("_b") == i + 2) | ((F.col("_b") > d + 1) & (F.col("_b") != d + 2 + i))
+        u = F.when(of_b, F.col(f"_u{d + i}")).otherwise(F.col(f"_u{i}"))
         inverse = inverse_uniform if m.dist == "Uniform" else inverse_discrete_uniform
         df = df.withColumn(m.name, inverse(u, F.lit(float(m.lower)), F.lit(float(m.upper))))
-    df = df.withColumn("run_id", F.col(base_col) * (d + 2) + F.col("_b"))
+    df = df.withColumn("run_id", F.col(base_col) * len(names) + F.col("_b"))
     return df.drop("_b", *[f"_u{i}" for i in range(2 * d)])

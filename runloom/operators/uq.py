@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import join_group_stats
 from ..functions.polynomials import Marginal, basis_columns, multi_indices
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import exact_quantiles, weighted_quantiles
 from ..functions.vectors import dot, weighted_sum
 from ..functions.workspace import materialise
 
@@ -40,6 +40,21 @@ def describe(collated: DataFrame, quantiles: bool = True) -> DataFrame:
     return out.join(exact_quantiles(collated, GROUP, "value", {"p10": 0.1, "p90": 0.9}), GROUP)
 
 
+def weighted_describe(collated: DataFrame) -> DataFrame:
+    """``describe`` of a quadrature design: every statistic by the runs' weights, which may be negative.
+
+    A quantile is the least value up to which the cumulated weight reaches its share of the sum;
+    rows of weight 0 count for min and max only. A sparse rule's negative weights can give a
+    variance below 0, which is kept, and a null standard deviation.
+    """
+    ranges = collated.groupBy(*GROUP).agg(
+        F.min("value").alias("min"), F.max("value").alias("max"), F.sum("weight").alias("weight_sum"))
+    quantiles = weighted_quantiles(collated, GROUP, "value", "weight", {"p10": 0.1, "p90": 0.9})
+    moments = weighted_moments(collated).withColumn("std", F.when(F.col("var") >= 0, F.sqrt("var")))
+    return moments.join(ranges, GROUP).join(quantiles, GROUP).select(
+        *GROUP, "mean", "var", "std", "min", "max", F.col("n_nodes").alias("n"), "weight_sum", "p10", "p90")
+
+
 def histogram(collated: DataFrame, bins: int = 50) -> DataFrame:
     """Density histogram between the least and largest value of each (qoi, t)."""
     ranges = collated.groupBy(*GROUP).agg(
@@ -193,6 +208,66 @@ def sc_first_order(collated: DataFrame, params: list[str], moments: DataFrame |
     )
 
 
+def _closed_variances(collated: DataFrame, params: list[str], subsets: list[tuple[str, ...]]) -> DataFrame:
+    """(qoi, t, subset, closed): variance of the conditional mean given the nodes of each subset of parameters.
+
+    All subsets are one grouping: a row is repeated per subset with the nodes of its parameters
+    and nothing in the other places, and reduced on the map side. ``subset`` is the place in
+    the list. Weights are divided by their sum, so missing nodes are renormalised away.
+    """
+    entries = F.inline(F.array(*[
+        F.struct(
+            F.lit(k).alias("subset"),
+            F.array(*[F.col(p).cast("double") if p in s else F.lit(None).cast("double") for p in params]).alias("nodes"))
+        for k, s in enumerate(subsets)]))
+    conditional = (
+        collated.select(*GROUP, "weight", "value", entries)
+        .groupBy(*GROUP, "subset", "nodes")
+        .agg(F.sum("weight").alias("w"), (F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("m"))
+    )
+    mean = conditional.groupBy(*GROUP, "subset").agg((F.sum(F.col("w") * F.col("m")) / F.sum("w")).alias("mean"))
+    gap = F.col("m") - F.col("mean")
+    return join_group_stats(conditional, mean, [*GROUP, "subset"]).groupBy(*GROUP, "subset").agg(
+        (F.sum(F.col("w") * gap * gap) / F.sum("w")).alias("closed"))
+
+
+def sc_sobol(
+    collated: DataFrame, params: list[str], kind: str, moments: DataFrame | None = None, designed: int | None = None
+) -> DataFrame:
+    """Sobol indices ``first``, ``total`` or ``second`` of a collocation design.
+
+    The variance of a set of parameters is found by inclusion and exclusion from closed
+    variances D (of conditional means): second = (D_ij - D_i - D_j) / V, and total = (V - D of
+    all others) / V, the sum over all sets with the parameter. first / total: (qoi, t, param,
+    sobol); second: (qoi, t, param, param2, sobol). With ``designed``, the design's number of
+    nodes, ``n_missing`` says how many of them an output lacks.
+    """
+    pairs = [(a, b) for i, a in enumerate(params) for b in params[i + 1:]]
+    moments = weighted_moments(collated) if moments is None else moments
+    if kind == "second":
+        subsets = [*[(p,) for p in params], *pairs]
+        rows = [(len(params) + k, a, b, [(len(params) + k, 1.0), (params.index(a), -1.0), (params.index(b), -1.0)])
+                for k, (a, b) in enumerate(pairs)]
+    elif kind in ("first", "total"):
+        subsets = [(p,) if kind == "first" else tuple(o for o in params if o != p) for p in params]
+        rows = [(k, p, None, [(k, 1.0 if kind == "first" else -1.0)]) for k, p in enumerate(params)]
+    else:
+        raise ValueError(f"unknown kind of index {kind}")
+    closed = _closed_variances(collated, params, subsets).groupBy(*GROUP).agg(
+        *[F.max(F.when(F.col("subset") == k, F.col("closed"))).alias(f"_d{k}") for k in range(len(subsets))])
+    out = []
+    for _, a, b, terms in rows:
+        energy = F.col("var") if kind == "total" else F.lit(0.0)
+        for k, sign in terms:
+            energy = energy + F.lit(sign) * F.col(f"_d{k}")
+        second = [F.lit(b).alias("param2")] if b else []
+        out.append(F.struct(F.lit(a).alias("param"), *second, _share(energy, F.col("var")).alias("sobol")))
+    if not out:
+        return closed.select(*GROUP, F.lit("").alias("param"), F.lit("").alias("param2"), F.lit(0.0).alias("sobol")).limit(0)
+    missing = [] if designed is None else [(F.lit(designed) - F.col("n_nodes")).cast("long").alias("n_missing")]
+    return closed.join(moments, GROUP).select(*GROUP, *missing, F.inline(F.array(*out)))
+
+
 def missing_nodes(collated: DataFrame, expected: int) -> DataFrame:
     """(qoi, t, n_missing) against the full tensor size."""
     return collated.groupBy(*GROUP).agg((F.lit(expected) - F.count(F.lit(1))).cast("long").alias("n_missing"))
@@ -246,6 +321,37 @@ def qmc_blocks(outputs: DataFrame, params: list[str]) -> DataFrame:
     return outputs.groupBy(*GROUP, "base").agg(*picks)
 
 
+def qmc_second_order(outputs: DataFrame, params: list[str], designed: int | None = None) -> DataFrame:
+    """Second-order indices of a design with B-in-A and A-in-B blocks (``second_order=True``).
+
+    Blocks BA_i and AB_j share the i-th column of A and the j-th of B, so the mean of their
+    product estimates the closed variance of the pair; the first-order parts are taken off.
+    Averages run over the ``n_bases`` bases that are complete in all 2 d + 2 blocks.
+    """
+    names = ["A", "B", *[f"AB_{p}" for p in params], *[f"BA_{p}" for p in params]]
+    blocks = outputs.groupBy(*GROUP, "base").agg(
+        *[F.max(F.when(F.col("block") == b, F.col("value"))).alias(f"f_{b}") for b in names])
+    whole = F.lit(True)
+    for b in names:
+        whole = whole & F.col(f"f_{b}").isNotNull()
+    counts = blocks.groupBy(*GROUP).agg(F.count_if(whole).alias("n_bases"), F.count(F.lit(1)).alias("_seen")).select(
+        *GROUP, "n_bases", ((F.col("_seen") if designed is None else F.lit(designed)) - F.col("n_bases")).alias("n_incomplete"))
+    pairs = [(a, b) for i, a in enumerate(params) for b in params[i + 1:]]
+    a, b = F.col("f_A"), F.col("f_B")
+    sums = blocks.filter(whole).groupBy(*GROUP).agg(
+        F.avg("f_A").alias("_ma"), F.avg("f_B").alias("_mb"), F.var_pop("f_A").alias("_va"), F.var_pop("f_B").alias("_vb"),
+        *[F.avg(b * (F.col(f"f_AB_{p}") - a)).alias(f"_s_{p}") for p in params],
+        *[F.avg(F.col(f"f_BA_{p}") * F.col(f"f_AB_{q}") - a * b).alias(f"_p_{p}_{q}") for p, q in pairs])
+    var = (F.col("_va") + F.col("_vb")) / 2.0 + F.pow((F.col("_ma") - F.col("_mb")) / 2.0, F.lit(2.0))
+    rows = F.array(*[
+        F.struct(
+            F.lit(p).alias("param"), F.lit(q).alias("param2"),
+            F.when(F.col("n_bases") > 0, _share(
+                F.col(f"_p_{p}_{q}") - F.col(f"_s_{p}") - F.col(f"_s_{q}"), F.col("var"))).alias("sobol_second"))
+        for p, q in pairs])
+    return counts.join(sums.withColumn("var", var), GROUP, "left").select(*GROUP, "n_bases", "n_incomplete", F.inline(rows))
+
+
 def qmc_sobol(outputs: DataFrame, params: list[str], designed: int | None = None) -> DataFrame:
     """Saltelli first-order and Jansen total indices with mean and variance of A and B.
 
@@ -317,7 +423,10 @@ def analyse(collated: DataFrame, marginals: list[Marginal], sampler: str, order:
         return out
     if sampler == "sc":
         moments = materialise(weighted_moments(collated), "moments")
-        return {"moments": moments, "sobol_first": sc_first_order(collated, names, moments)}
+        out = {"moments": moments, "sobol_first": sc_first_order(collated, names, moments)}
+        for kind in ("total", "second"):
+            out[f"sobol_{kind}"] = sc_sobol(collated, names, kind, moments)
+        return out
     if sampler == "qmc":
         return {"sobol": qmc_sobol(collated, names)}
     raise ValueError(f"unknown sampler {sampler}")

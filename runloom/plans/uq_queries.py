@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.polynomials import Marginal
 from ..functions.workspace import materialise
-from ..operators import collate, design, uq
+from ..operators import collate, design, sparse, uq
 from .tables import (
     GRID, GRID_SQL, NODES, OBSERVED_SQL, collated, grid_outputs, grid_runs, load, observed, register,
 )
@@ -165,6 +165,44 @@ def sc_first_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("sc_sobol_first", sc_first_order, f"WITH {SC_SQL} SELECT * FROM first_order", ["sobol"])
 
+SC_CLOSED_SQL = f"""
+{SC_SQL},
+closed AS (
+  SELECT qoi, t, param, sum(n * (m - mean) * (m - mean)) / sum(n) AS d FROM conditional JOIN (
+    SELECT qoi, t, param, sum(n * m) / sum(n) AS mean FROM conditional GROUP BY ALL) USING (qoi, t, param) GROUP BY ALL),
+wide AS (SELECT qoi, t, max(CASE WHEN param = 'discount' THEN d END) AS dd, max(CASE WHEN param = 'tax' THEN d END) AS dx
+         FROM closed GROUP BY ALL)"""
+
+register(
+    "sc_sobol_total",
+    lambda spark, sf: uq.sc_sobol(materialise(collated(spark, sf), "collated"), NAMES, "total"),
+    f"""WITH {SC_CLOSED_SQL}
+        SELECT qoi, t, 'discount' AS param, (var - dx) / var AS sobol FROM wide JOIN moments USING (qoi, t)
+        UNION ALL SELECT qoi, t, 'tax', (var - dd) / var FROM wide JOIN moments USING (qoi, t)""",
+    ["sobol"],
+)
+
+register(
+    "sc_sobol_second",
+    lambda spark, sf: uq.sc_sobol(materialise(collated(spark, sf), "collated"), NAMES, "second"),
+    f"""WITH {SC_CLOSED_SQL}
+        SELECT qoi, t, 'discount' AS param, 'tax' AS param2, (var - dd - dx) / var AS sobol FROM wide JOIN moments USING (qoi, t)""",
+    ["sobol"],
+)
+
+# The same campaign with runs that gave no output: the others are renormalised, the lack is reported.
+SC_LOST = "(discount + 2 * tax) % 7 <> 3"
+register(
+    "sc_sobol_with_gaps",
+    lambda spark, sf: uq.sc_sobol(materialise(collated(spark, sf).filter(SC_LOST), "collated"), NAMES, "total", designed=NODES),
+    f"""WITH {SC_CLOSED_SQL.replace("collated AS (", "complete AS (", 1).replace(
+        "moments AS (", f"collated AS (SELECT * FROM complete WHERE {SC_LOST}), moments AS (", 1)}
+        SELECT qoi, t, {NODES} - n_nodes AS n_missing, 'discount' AS param, (var - dx) / var AS sobol
+        FROM wide JOIN moments USING (qoi, t)
+        UNION ALL SELECT qoi, t, {NODES} - n_nodes, 'tax', (var - dd) / var FROM wide JOIN moments USING (qoi, t)""",
+    ["sobol"],
+)
+
 register(
     "moment_bands",
     lambda spark, sf: uq.moment_band(uq.weighted_moments(materialise(collated(spark, sf), "collated"))),
@@ -290,17 +328,193 @@ register(
 )
 
 
+def _second_sql() -> str:
+    runs = QMC_RUNS[: QMC_RUNS.rindex(")")] + """
+  UNION ALL SELECT base, 4, 'BA_discount', u0, u3 FROM points
+  UNION ALL SELECT base, 5, 'BA_tax', u2, u1 FROM points)"""
+    picks = ", ".join(f"max(CASE WHEN block = '{b}' THEN value END) AS {n}" for b, n in (
+        ("A", "a"), ("B", "b"), ("AB_discount", "ad"), ("AB_tax", "ax"), ("BA_discount", "bd"), ("BA_tax", "bx")))
+    return f"""WITH {GRID_SQL}, {runs},
+        valued AS (SELECT qoi, t, base, block, value FROM runs JOIN collated
+                   ON CAST(floor(x * 11) AS BIGINT) = discount AND CAST(floor(y * 9) AS BIGINT) = tax),
+        f AS (SELECT qoi, t, base, {picks} FROM valued GROUP BY ALL),
+        c AS (SELECT qoi, t, count(a + b + ad + ax + bd + bx) AS n_bases,
+                (SELECT count(*) FROM customer) - count(a + b + ad + ax + bd + bx) AS n_incomplete FROM f GROUP BY qoi, t),
+        s AS (SELECT qoi, t, (var_pop(a) + var_pop(b)) / 2 + ((avg(a) - avg(b)) / 2) * ((avg(a) - avg(b)) / 2) AS var,
+                     avg(bd * ax - a * b) - avg(b * (ad - a)) - avg(b * (ax - a)) AS e
+              FROM f WHERE a + b + ad + ax + bd + bx IS NOT NULL GROUP BY qoi, t)
+        SELECT qoi, t, n_bases, n_incomplete, 'discount' AS param, 'tax' AS param2, e / var AS sobol_second
+        FROM c LEFT JOIN s USING (qoi, t)"""
+
+
+def qmc_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair index with one base point per customer, 2 d + 2 runs each, valued by the campaign's outputs."""
+    bases = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("base"))
+    runs = design.quasi_random_design(bases, "base", GRID, second_order=True)
+    runs = runs.withColumns({n: F.col(n).cast("long") for n in NAMES})
+    outputs = runs.select("base", "block", *NAMES).join(
+        collated(spark, sf_dir).select(*NAMES, "qoi", "t", "value"), NAMES)
+    return uq.qmc_second_order(outputs, NAMES, bases.count())
+
+
+register("qmc_sobol_second", qmc_second, _second_sql(), ["sobol_second"], 4)
+
+
+# --- quadrature designs between the grid's nodes: a run takes the outputs of the nearest node ------
+
+SPARSE = sparse.SparseGrid(tuple(GRID), 4)
+
+
+def designed_outputs(spark: SparkSession, sf_dir: str, runs: DataFrame) -> DataFrame:
+    """(runs' columns, qoi, t, value): outputs of the campaign at the integers next to a run's parameters."""
+    near = {n: F.round(n).cast("long") for n in NAMES}
+    values = collated(spark, sf_dir).select(*[F.col(n).alias(f"_{n}") for n in NAMES], "qoi", "t", "value")
+    return runs.withColumns({f"_{n}": c for n, c in near.items()}).join(values, [f"_{n}" for n in NAMES]).drop(
+        *[f"_{n}" for n in NAMES])
+
+
+def weighted_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of a 6 x 6 Gauss design, whose nodes weigh unequally."""
+    runs = design.tensor_design(design.campaign_row(spark, GRID), GRID, 5)
+    return uq.weighted_describe(materialise(designed_outputs(spark, sf_dir, runs), "designed"))
+
+
+def _gauss_sql(m: Marginal, order: int) -> str:
+    z, w = design.gauss_rule(m, order)
+    return ", ".join(f"({round(m.centre + float(a) * m.half)}, {float(b)!r}::DOUBLE)" for a, b in zip(z, w))
+
+
+register(
+    "weighted_statistics",
+    weighted_statistics,
+    f"""WITH {GRID_SQL},
+        gd(discount, wd) AS (VALUES {_gauss_sql(GRID[0], 5)}), gx(tax, wx) AS (VALUES {_gauss_sql(GRID[1], 5)}),
+        runs AS (SELECT qoi, t, value, wd * wx AS w FROM gd CROSS JOIN gx JOIN collated USING (discount, tax)),
+        m AS (SELECT qoi, t, sum(w * value) / sum(w) AS mean, sum(w) AS weight_sum, min(value) AS min, max(value) AS max,
+                     count(*) AS n FROM runs GROUP BY ALL),
+        v AS (SELECT qoi, t, sum(w * (value - mean) * (value - mean)) / sum(w) AS var FROM runs JOIN m USING (qoi, t) GROUP BY ALL),
+        s AS (SELECT qoi, t, value, weight_sum, sum(w) OVER (PARTITION BY qoi, t ORDER BY value) AS upto FROM runs JOIN m USING (qoi, t)),
+        p AS (SELECT qoi, t, min(CASE WHEN upto >= 0.1 * weight_sum - 1e-12 THEN value END) AS p10,
+                     min(CASE WHEN upto >= 0.9 * weight_sum - 1e-12 THEN value END) AS p90 FROM s GROUP BY ALL)
+        SELECT qoi, t, mean, var, sqrt(var) AS std, min, max, n, weight_sum, p10, p90 FROM m JOIN v USING (qoi, t) JOIN p USING (qoi, t)""",
+    ["mean", "var", "std", "min", "max", "weight_sum", "p10", "p90"], 4,
+)
+
+
+def sparse_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = sparse.sparse_runs(design.campaign_row(spark, GRID), SPARSE)
+    return designed_outputs(spark, sf_dir, runs).select("node", "qoi", "t", "value")
+
+
+def sparse_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(sparse.sparse_coefficients(sparse_outputs(spark, sf_dir), SPARSE), "sparse")
+
+
+def _sparse_members_sql() -> str:
+    """(tensor, coef, i, j, l1, l2, x, y, w) of every node of every tensor, written out from the Gauss rules."""
+    rows = []
+    for k, (ls, coef) in enumerate(design.combination(len(GRID), SPARSE.level)):
+        (z1, w1), (z2, w2) = (design.gauss_rule(m, n - 1) for m, n in zip(GRID, ls))
+        rows += [(k, coef, i, j, *ls, GRID[0].centre + float(a) * GRID[0].half, GRID[1].centre + float(b) * GRID[1].half, float(p * q))
+                 for i, (a, p) in enumerate(zip(z1, w1)) for j, (b, q) in enumerate(zip(z2, w2))]
+    values = ", ".join(f"({k}, {c}, {i}, {j}, {a}, {b}, {x!r}::DOUBLE, {y!r}::DOUBLE, {w!r}::DOUBLE)" for k, c, i, j, a, b, x, y, w in rows)
+    return f"members(tensor, coef, i, j, l1, l2, x, y, w) AS (VALUES {values})"
+
+
+def _polynomial_sql(m: Marginal, v: str) -> list[str]:
+    """Orthonormal polynomials over the integers of the range as SQL, by Gram-Schmidt on powers."""
+    x = np.arange(m.lower, m.upper + 1) - m.centre
+    q, r = np.linalg.qr(np.vander(x, SPARSE.level, increasing=True))
+    powers = np.linalg.inv(r) * np.sign(np.diag(r)) * np.sqrt(len(x))
+    return [" + ".join(f"{float(powers[k, n])!r}::DOUBLE * ({v} - {m.centre})**{k}" for k in range(n + 1)) for n in range(SPARSE.level)]
+
+
+SPARSE_SQL = f"""
+{GRID_SQL}, {_sparse_members_sql()},
+degrees AS (
+  SELECT tensor, coef * w AS cw, x, y, a, b,
+    CASE a {" ".join(f"WHEN {n} THEN {e}" for n, e in enumerate(_polynomial_sql(GRID[0], "x")))} END AS pa,
+    CASE b {" ".join(f"WHEN {n} THEN {e}" for n, e in enumerate(_polynomial_sql(GRID[1], "y")))} END AS pb
+  FROM members, range({SPARSE.level}) r(a), range({SPARSE.level}) s(b) WHERE a < l1 AND b < l2),
+met AS (
+  SELECT * FROM members JOIN collated ON discount = CAST(round(x) AS BIGINT) AND tax = CAST(round(y) AS BIGINT)),
+whole AS (SELECT qoi, t FROM met GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM members)),
+coefs AS (
+  SELECT qoi, t, a, b, CASE WHEN (qoi, t) IN (SELECT (qoi, t) FROM whole) THEN sum(cw * pa * pb * value) END AS c FROM degrees
+  JOIN collated ON discount = CAST(round(x) AS BIGINT) AND tax = CAST(round(y) AS BIGINT) GROUP BY ALL),
+moments AS (SELECT qoi, t, sum(CASE WHEN a + b = 0 THEN c END) AS mean, sum(CASE WHEN a + b > 0 THEN c * c END) AS var
+            FROM coefs GROUP BY ALL)"""
+
+register(
+    "sparse_moments",
+    lambda spark, sf: sparse.sparse_moments(sparse_coefficients(spark, sf)),
+    f"WITH {SPARSE_SQL} SELECT qoi, t, mean, var, sqrt(var) AS std FROM moments",
+    ["mean", "var", "std"], 4,
+)
+
+register(
+    "sparse_sobol",
+    lambda spark, sf: sparse.sparse_sobol(sparse_coefficients(spark, sf), NAMES, "first").withColumnRenamed("sobol", "first").join(
+        sparse.sparse_sobol(sparse_coefficients(spark, sf), NAMES, "total").withColumnRenamed("sobol", "total"), ["qoi", "t", "param"]),
+    f"""WITH {SPARSE_SQL}
+        SELECT qoi, t, 'discount' AS param, sum(CASE WHEN a > 0 AND b = 0 THEN c * c END) / max(var) AS first,
+               sum(CASE WHEN a > 0 THEN c * c END) / max(var) AS total FROM coefs JOIN moments USING (qoi, t) GROUP BY qoi, t
+        UNION ALL
+        SELECT qoi, t, 'tax', sum(CASE WHEN a = 0 AND b > 0 THEN c * c END) / max(var), sum(CASE WHEN b > 0 THEN c * c END) / max(var)
+        FROM coefs JOIN moments USING (qoi, t) GROUP BY qoi, t""",
+    ["first", "total"],
+)
+
+register(
+    "sparse_sobol_second",
+    lambda spark, sf: sparse.sparse_sobol(sparse_coefficients(spark, sf), NAMES, "second"),
+    f"""WITH {SPARSE_SQL}
+        SELECT qoi, t, 'discount' AS param, 'tax' AS param2, sum(CASE WHEN a > 0 AND b > 0 THEN c * c END) / max(var) AS sobol
+        FROM coefs JOIN moments USING (qoi, t) GROUP BY qoi, t""",
+    ["sobol"],
+)
+
+
+def sparse_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sparse interpolant at one new point per supplier, QoI and time."""
+    return sparse.evaluate_sparse(supplier_points(spark, sf_dir), sparse_coefficients(spark, sf_dir), SPARSE).select(
+        "sample_id", "qoi", "t", "prediction")
+
+
+# Here by Lagrange polynomials on each tensor, added up with the tensors' signs.
+register(
+    "sparse_predictions",
+    sparse_predictions,
+    f"""WITH {GRID_SQL}, {_sparse_members_sql()},
+        points AS (SELECT s_suppkey AS id, s_suppkey % 40 / 4.0::DOUBLE AS px, s_nationkey % 17 / 2.0::DOUBLE AS py FROM supplier),
+        ax AS (SELECT DISTINCT tensor, i, x FROM members), ay AS (SELECT DISTINCT tensor, j, y FROM members),
+        lx AS (SELECT p.px, a.tensor, a.i, coalesce(product((p.px - o.x) / (a.x - o.x)), 1.0) AS w
+               FROM (SELECT DISTINCT px FROM points) p, ax a LEFT JOIN ax o ON a.tensor = o.tensor AND a.i <> o.i GROUP BY ALL),
+        ly AS (SELECT p.py, a.tensor, a.j, coalesce(product((p.py - o.y) / (a.y - o.y)), 1.0) AS w
+               FROM (SELECT DISTINCT py FROM points) p, ay a LEFT JOIN ay o ON a.tensor = o.tensor AND a.j <> o.j GROUP BY ALL)
+        SELECT id AS sample_id, qoi, t,
+               CASE WHEN count(*) = (SELECT count(*) FROM members) THEN sum(coef * lx.w * ly.w * value) END AS prediction
+        FROM points JOIN lx USING (px) JOIN ly USING (py, tensor) JOIN members USING (tensor, i, j)
+        JOIN collated ON discount = CAST(round(x) AS BIGINT) AND tax = CAST(round(y) AS BIGINT) GROUP BY ALL""",
+    ["prediction"], 3,
+)
+
+
 # --- interpolation on the grid ---------------------------------------------------------
 
 
-def sc_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grid's outputs between its nodes: one new point per supplier."""
+def supplier_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One point between the grid's nodes per supplier, for every QoI and time."""
     supplier = load(spark, sf_dir, "supplier")
-    points = supplier.select(
+    return supplier.select(
         F.col("s_suppkey").alias("sample_id"), (F.col("s_suppkey") % 40 / 4.0).alias("discount"),
         (F.col("s_nationkey") % 17 / 2.0).alias("tax"), F.explode(F.array(F.lit("price"), F.lit("quantity"))).alias("qoi"),
     ).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))))
-    nodes = [list(range(11)), list(range(9))]
+
+
+def sc_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid's outputs between its nodes: one new point per supplier."""
+    points, nodes = supplier_points(spark, sf_dir), [list(range(11)), list(range(9))]
     return uq.evaluate_sc(points, collated(spark, sf_dir), NAMES, nodes).select("sample_id", "qoi", "t", "prediction")
 
 

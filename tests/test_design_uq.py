@@ -208,3 +208,68 @@ def test_collate_split_scale_rank(spark):
     assert [(r.param, r.sensitivity) for r in ranked] == [("a", 1.5), ("b", 1.5)]
     scaled = {r.param: r.sensitivity for r in collate.min_max_scaled(s.filter("qoi = 'q1'"), ["qoi"]).collect()}
     assert scaled == {"a": 0.0, "b": 1.0}
+
+
+def test_sc_total_and_second_order_golden(spark):
+    g = golden(spark)
+    total = {r.param: r.sobol for r in uq.sc_sobol(g, ["x1", "x2"], "total").collect()}
+    assert np.allclose([total["x1"], total["x2"]], [0.271845, 0.737864], atol=1e-6)
+    second = uq.sc_sobol(g, ["x1", "x2"], "second", designed=16).first()
+    assert (second.param, second.param2, second.n_missing) == ("x1", "x2", 0)
+    assert np.isclose(second.sobol, 0.009709, atol=1e-6)
+    first = {r.param: r.sobol for r in uq.sc_sobol(g, ["x1", "x2"], "first").collect()}
+    assert np.allclose([first["x1"], first["x2"]], [0.262136, 0.728155], atol=1e-6)
+    tables = uq.analyse(g, MS, "sc")
+    assert set(tables) == {"moments", "sobol_first", "sobol_total", "sobol_second"}
+    lost = g.filter("run_id <> 5")
+    assert uq.sc_sobol(lost, ["x1", "x2"], "total", designed=16).first().n_missing == 1
+
+
+def test_sc_indices_of_three_parameters_add_up(spark):
+    """f = x1 x2 + x3: total of each parameter from the exact variances."""
+    ms = [Marginal(n, -1.0, 1.0) for n in ("x1", "x2", "x3")]
+    runs = design.tensor_design(design.campaign_row(spark, ms), ms, 2)
+    g = runs.select("x1", "x2", "x3", "weight", F.lit("f").alias("qoi"), F.lit(0).alias("t"),
+                    (F.col("x1") * F.col("x2") + F.col("x3")).alias("value"))
+    names = [m.name for m in ms]
+    v12, v3 = 1 / 9, 1 / 3
+    total = {r.param: r.sobol for r in uq.sc_sobol(g, names, "total").collect()}
+    assert np.allclose([total[n] for n in names], [v12 / (v12 + v3)] * 2 + [v3 / (v12 + v3)])
+    second = {(r.param, r.param2): r.sobol for r in uq.sc_sobol(g, names, "second").collect()}
+    assert np.allclose([second["x1", "x2"], second["x1", "x3"], second["x2", "x3"]], [v12 / (v12 + v3), 0, 0], atol=1e-12)
+    flat = uq.sc_sobol(g.withColumn("value", F.lit(1.0)), names, "total").collect()
+    assert {r.sobol for r in flat} == {0.0}
+
+
+def test_weighted_statistics(spark):
+    rng = np.random.default_rng(4)
+    rows = [("q", t, float(rng.integers(0, 40)), float(w)) for t in range(2) for w in rng.normal(0.6, 1.0, 500)]
+    rows += [("one", 0, 3.0, -2.0), ("zero", 0, 1.0, 0.0), ("zero", 0, 5.0, 2.0)]
+    got = {(r.qoi, r.t): r for r in uq.weighted_describe(
+        spark.createDataFrame(rows, "qoi string, t int, value double, weight double").repartition(7)).collect()}
+    for key, r in got.items():
+        own = sorted((v, w) for q, t, v, w in rows if (q, t) == key)
+        v, w = np.array(own).T
+        mean = (v * w).sum() / w.sum()
+        assert np.allclose([r["mean"], r["var"], r["min"], r["max"]], [mean, (w * (v - mean) ** 2).sum() / w.sum(), v.min(), v.max()])
+        for p, name in ((0.1, "p10"), (0.9, "p90")):
+            sums = [(x, w[v <= x].sum()) for x in np.unique(v[w != 0])]
+            assert r[name] == next((x for x, s in sums if s >= p * w.sum() - 1e-9), None)
+    assert got["one", 0].p10 is None or got["one", 0].p10 == 3.0
+    assert got["zero", 0].p90 == 5.0 and got["zero", 0]["min"] == 1.0
+
+
+def test_second_order_blocks_find_the_interaction(spark):
+    ms = [Marginal(n, -1.0, 1.0) for n in ("x1", "x2", "x3")]
+    bases = spark.range(4096).withColumnRenamed("id", "base")
+    runs = design.quasi_random_design(bases, "base", ms, second_order=True)
+    assert runs.count() == 4096 * 8 and runs.select("run_id").distinct().count() == 4096 * 8
+    one = {r.block: r for r in runs.filter("base = 7").collect()}
+    assert one["BA_x2"].x2 == one["A"].x2 and one["BA_x2"].x1 == one["B"].x1 and one["AB_x2"].x1 == one["A"].x1
+    outputs = runs.select("base", "block", F.lit("f").alias("qoi"), F.lit(0).alias("t"),
+                          (F.col("x1") * F.col("x2") + F.col("x3")).alias("value"))
+    names = [m.name for m in ms]
+    got = {(r.param, r.param2): r.sobol_second for r in uq.qmc_second_order(outputs, names).collect()}
+    assert np.allclose([got["x1", "x2"], got["x1", "x3"], got["x2", "x3"]], [0.25, 0, 0], atol=0.03)
+    short = uq.qmc_second_order(outputs.filter("NOT (base < 96 AND block = 'BA_x1')"), names, 5000).first()
+    assert (short.n_bases, short.n_incomplete) == (4000, 1000)

@@ -16,6 +16,8 @@ CHECKED = [
     "tensor_design", "sparse_design", "random_design", "elastic_moduli", "surrogate_errors", "gradient_sensitivity",
     "thermo_log_scan", "nano_history_scan", "campaign_store", "similar_embeddings", "history_mapping",
     "total_sensitivity", "train_test_split",
+    "sc_sobol_total", "sc_sobol_second", "sc_sobol_with_gaps", "qmc_sobol_second", "weighted_statistics", "sparse_moments",
+    "sparse_sobol", "sparse_sobol_second", "sparse_predictions",
     "qmc_sobol_with_gaps", "sc_interpolation", "surrogate_total_sensitivity", "surrogate_predictions", "run_status",
 ]
 ROWS_ONLY = {

@@ -1,0 +1,101 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from runloom.functions.polynomials import Marginal
+from runloom.operators import design, sparse
+
+MS = (Marginal("x1", 0.0, 1.0), Marginal("x2", 1.0, 3.0), Marginal("x3", 1, 30, "DiscreteUniform"))
+
+
+def outputs(spark, grid, value):
+    runs = sparse.sparse_runs(design.campaign_row(spark, list(grid.marginals)), grid)
+    return runs.select("node", "weight", *[m.name for m in grid.marginals], F.lit("f").alias("qoi"), F.lit(0).alias("t"),
+                       value.alias("value"))
+
+
+def lagrange(grid, table, x):
+    """Signed sum of the tensors' interpolants at x; table: standardised node -> value."""
+    total = 0.0
+    z = [(v - m.centre) / m.half for v, m in zip(x, grid.marginals)]
+    for ls, coef in design.combination(len(grid.marginals), grid.level):
+        axes = [grid.rules(m)[n - 1][0] for m, n in zip(grid.marginals, ls)]
+        for idx in np.ndindex(*[len(a) for a in axes]):
+            w = coef
+            for a, i, at in zip(axes, idx, z):
+                w *= np.prod([(at - a[k]) / (a[i] - a[k]) for k in range(len(a)) if k != i])
+            total += w * table[tuple(round(a[i], 9) + 0.0 for a, i in zip(axes, idx))]
+    return total
+
+
+@pytest.mark.parametrize("dims,level", [(1, 4), (2, 3), (3, 4), (5, 3)])
+def test_combination_equals_the_walk_over_all_levels(dims, level):
+    import itertools
+    import math
+
+    expect = {}
+    for ls in itertools.product(range(1, level + 1), repeat=dims):
+        gap = level + dims - 1 - sum(ls)
+        if 0 <= gap <= dims - 1:
+            expect[ls] = (-1) ** gap * math.comb(dims - 1, gap)
+    assert dict(design.combination(dims, level)) == expect
+    assert len(design.combination(24, 3)) == 1 + 24 + 24 * 25 // 2
+
+
+@pytest.mark.parametrize("growth", [False, True])
+def test_runs_are_the_sparse_design(spark, growth):
+    grid = sparse.SparseGrid(MS, 3, growth)
+    campaigns = design.campaign_row(spark, list(MS))
+    got = sorted((round(r.x1, 9), round(r.x2, 9), round(r.x3, 9), round(r.weight, 9)) for r in sparse.sparse_runs(campaigns, grid).collect())
+    expect = sorted((round(r.x1, 9), round(r.x2, 9), round(r.x3, 9), round(r.weight, 9)) for r in
+                    design.sparse_design(campaigns, list(MS), 3, growth).collect())
+    assert got == expect
+
+
+@pytest.mark.parametrize("growth", [False, True])
+def test_polynomials_of_the_sparse_space_are_reproduced(spark, growth):
+    grid = sparse.SparseGrid(MS, 3, growth)
+    value = 2 + F.col("x1") * F.col("x2") + F.col("x3") * F.col("x3") / 10 - F.col("x1") * F.col("x1")
+    coefs = sparse.sparse_coefficients(
+        outputs(spark, grid, value), grid)
+    points = design.random_design(spark.range(50).withColumnRenamed("id", "run_id"), "run_id", list(MS), 5).select(
+        "*", F.lit("f").alias("qoi"), F.lit(0).alias("t"), value.alias("truth"))
+    far = sparse.evaluate_sparse(points, coefs, grid).agg(F.max(F.abs(F.col("prediction") - F.col("truth")))).first()[0]
+    assert far < 1e-10
+
+
+def test_moments_and_indices(spark):
+    """x1 x2 + x3 on [-1, 1]: variances 1/9 and 1/3."""
+    ms = tuple(Marginal(n, -1.0, 1.0) for n in ("x1", "x2", "x3"))
+    grid = sparse.SparseGrid(ms, 3)
+    coefs = sparse.sparse_coefficients(outputs(spark, grid, F.col("x1") * F.col("x2") + F.col("x3")), grid)
+    m = sparse.sparse_moments(coefs).first()
+    assert np.allclose([m["mean"], m["var"]], [0, 4 / 9])
+    names = [m.name for m in ms]
+    of = {k: {(r.param, *([r.param2] if k == "second" else [])): r.sobol for r in sparse.sparse_sobol(coefs, names, k).collect()}
+          for k in ("first", "total", "second")}
+    assert np.allclose([of["first"][n,] for n in names], [0, 0, 0.75]) and np.allclose([of["total"][n,] for n in names], [0.25, 0.25, 0.75])
+    assert np.isclose(of["second"]["x1", "x2"], 0.25) and np.isclose(of["second"]["x1", "x3"], 0)
+
+
+def test_predictions_are_the_signed_sum_of_lagrange_interpolants(spark):
+    grid = sparse.SparseGrid(MS[:2], 4)
+    value = F.exp(F.col("x1")) / F.col("x2")
+    rows = outputs(spark, grid, value)
+    table = {tuple(round((r[m.name] - m.centre) / m.half, 9) + 0.0 for m in grid.marginals): r.value for r in rows.collect()}
+    points = spark.createDataFrame([("f", 0, 0.3, 1.1), ("f", 0, 0.9, 2.7), ("g", 0, 0.5, 2.0)], "qoi string, t int, x1 double, x2 double")
+    got = sparse.evaluate_sparse(points, sparse.sparse_coefficients(rows, grid), grid).collect()
+    for r in got:
+        if r.qoi == "g":
+            assert r.prediction is None
+        else:
+            assert np.isclose(r.prediction, lagrange(grid, table, (r.x1, r.x2)), atol=1e-10)
+
+
+def test_an_output_without_a_node_has_no_coefficients(spark):
+    grid = sparse.SparseGrid(MS[:2], 2)
+    rows = outputs(spark, grid, F.lit(1.0))
+    first = rows.orderBy("node").first().node
+    got = sparse.sparse_coefficients(rows.filter(F.col("node") != first), grid).collect()
+    assert got and all(r.coef is None for r in got)
+    assert sparse.sparse_moments(sparse.sparse_coefficients(rows.filter("false"), grid)).count() == 0
