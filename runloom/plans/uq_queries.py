@@ -438,10 +438,11 @@ degrees AS (
   FROM members, range({SPARSE.level}) r(a), range({SPARSE.level}) s(b) WHERE a < l1 AND b < l2),
 met AS (
   SELECT * FROM members JOIN collated ON discount = CAST(round(x) AS BIGINT) AND tax = CAST(round(y) AS BIGINT)),
-whole AS (SELECT qoi, t FROM met GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM members)),
+whole AS (SELECT qoi, t, true AS whole FROM met GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM members)),
 coefs AS (
-  SELECT qoi, t, a, b, CASE WHEN (qoi, t) IN (SELECT (qoi, t) FROM whole) THEN sum(cw * pa * pb * value) END AS c FROM degrees
-  JOIN collated ON discount = CAST(round(x) AS BIGINT) AND tax = CAST(round(y) AS BIGINT) GROUP BY ALL),
+  SELECT qoi, t, a, b, CASE WHEN max(whole) THEN sum(cw * pa * pb * value) END AS c FROM degrees
+  JOIN collated ON discount = CAST(round(x) AS BIGINT) AND tax = CAST(round(y) AS BIGINT)
+  LEFT JOIN whole USING (qoi, t) GROUP BY ALL),
 moments AS (SELECT qoi, t, sum(CASE WHEN a + b = 0 THEN c END) AS mean, sum(CASE WHEN a + b > 0 THEN c * c END) AS var
             FROM coefs GROUP BY ALL)"""
 
