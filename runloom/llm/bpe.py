@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -25,7 +26,9 @@ LEAF = 1 << 12
 # Tokens on each side of a join that are encoded again at first.
 WINDOW = 8
 # Distinct words that a task remembers.
-MEMORY = 200_000
+MEMORY = 300_000
+# Words that are encoded at once.
+BLOCK = 1 << 14
 
 
 class Encoder:
@@ -50,8 +53,7 @@ class Encoder:
             raise ValueError("added tokens must match their plain text")
         names = sorted((t.content for t in added.values()), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, names))) if names else None
-        self.place: dict[bytes, int] = {}
-        self.known: list[np.ndarray] = []
+        self.forget()
 
     def ids(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
@@ -136,28 +138,58 @@ class Encoder:
                 out += self.tree([self.symbols(p) for p in self.halves(word, LEAF)])
         return out
 
+    def _keep(self, words: list[bytes], tokens: np.ndarray, counts: np.ndarray) -> None:
+        """Remember the tokens of new words, which lie one after another."""
+        for held, new in (("tokens", tokens.astype(np.int32)), ("counts", counts)):
+            have, used = getattr(self, held), self.used[held]
+            if used + len(new) > len(have):
+                have = np.concatenate([have, np.zeros(len(have) + len(new), have.dtype)])
+                setattr(self, held, have)
+            have[used: used + len(new)] = new
+            if held == "counts":
+                if used + len(new) > len(self.begins):
+                    self.begins = np.concatenate([self.begins, np.zeros(len(self.begins) + len(new), np.int64)])
+                self.begins[used: used + len(new)] = self.used["tokens"] - len(tokens) + np.cumsum(new) - new
+                self.place.update(zip(words, range(used, used + len(new))))
+            self.used[held] += len(new)
+
     def words(self, words: list[bytes]) -> np.ndarray:
-        """Where the tokens of each word are kept; words not seen before are encoded together."""
+        """Where the tokens of each of some distinct words are kept; those not seen before are encoded together."""
         if len(self.place) > MEMORY:
-            self.place, self.known = {}, []
-        fresh = [w for w in dict.fromkeys(words) if w not in self.place]
+            self.forget()
+        place = self.place
+        fresh = [w for w in words if w not in place]
         short = [w for w in fresh if len(w) <= LEAF]
-        for w, e in zip(short, self.whole.encode_batch_fast([w.decode() for w in short], add_special_tokens=False)):
-            self.place[w] = len(self.known)
-            self.known.append(np.array(e.ids, dtype=np.int32))
+        for at in range(0, len(short), BLOCK):
+            block = short[at: at + BLOCK]
+            texts = [w.decode() for w in block]
+            # One text of all words, taken apart again by the places of its tokens.
+            found = self.whole.encode("\n".join(texts), add_special_tokens=False)
+            starts = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+            owner = np.searchsorted(starts, np.array([o[0] for o in found.offsets], dtype=np.int64), side="right") - 1
+            self._keep(block, np.array(found.ids, dtype=np.int32), np.bincount(owner, minlength=len(block)))
         for w in fresh:
             if len(w) > LEAF:
-                self.place[w] = len(self.known)
-                self.known.append(np.array(self.long_word(w), dtype=np.int32))
-        return np.fromiter((self.place[w] for w in words), dtype=np.int64, count=len(words))
+                own = np.array(self.long_word(w), dtype=np.int32)
+                self._keep([w], own, np.array([len(own)]))
+        return np.array([place[w] for w in words], dtype=np.int64)
 
-    def texts(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Tokens of whole texts: those of their words, one after another."""
-        split = [t.split() for t in texts]
-        at = self.words([w for words in split for w in words])
-        bounds = np.cumsum([0, *map(len, split)])
-        none = np.zeros(0, dtype=np.int32)
-        return [np.concatenate([none, *[self.known[k] for k in at[a:b]]]) for a, b in zip(bounds[:-1], bounds[1:])]
+    def forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.tokens, self.counts, self.begins = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = {"tokens": 0, "counts": 0}
+
+    def texts(self, texts: pa.Array) -> pa.Array:
+        """Tokens of whole texts: those of their words, one after another. A null text has none."""
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        at = self.words(distinct)[words.indices.to_numpy()]
+        counts = self.counts[at]
+        ends = np.cumsum(counts)
+        flat = self.tokens[np.repeat(self.begins[at] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])]
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
 
 
 def tokenizer_config(path: str) -> str:
@@ -217,9 +249,8 @@ def encode_texts(docs: DataFrame, config: str, key: str = "doc_id", text: str =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
         encoder = Encoder(config)
         for batch in batches:
-            for part in slices(batch, "text"):
-                found = encoder.texts([t.as_py().encode() for t in part.column("text")])
-                yield part, [_lists(found)]
+            for part in slices(batch, "text", 1 << 20):
+                yield part, [encoder.texts(part.column("text"))]
 
     short = map_columns(rows.filter(F.octet_length("text") <= piece), "text", "ids array<int>", encode, keep=False)
     long = rows.filter(F.octet_length("text") > piece).groupBy("key", "text").agg(F.count(F.lit(1)).alias("times"))
@@ -248,7 +279,7 @@ def encode_texts(docs: DataFrame, config: str, key: str = "doc_id", text: str =
             out = []
             for plain, words, ids in zip(*[batch.column(c).to_pylist() for c in ("plain", "words", "ids")]):
                 if plain is not None:
-                    out.append(encoder.texts([plain])[0])
+                    out.append(encoder.texts(pa.array([plain.decode()])).values.to_numpy())
                 elif words is not None:
                     found = [t for w in words for t in encoder.tree([encoder.symbols(p) for p in encoder.halves(w, LEAF)])]
                     out.append(np.array(found, dtype=np.int32))
@@ -294,7 +325,12 @@ def decode_ids(encoded: DataFrame, config: str, ids: str = "ids", out: str = "de
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                texts = [None if v is None else whole.decode(v, skip_special_tokens=False) for v in part.column("text").to_pylist()]
+                column = part.column("text")
+                sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+                flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+                texts = [
+                    whole.decode(flat[e - n: e].tolist(), skip_special_tokens=False) if ok else None
+                    for e, n, ok in zip(ends.tolist(), sizes.tolist(), column.is_valid().to_pylist())]
                 yield part, [pa.array(texts, pa.string())]
 
     return map_columns(encoded, ids, f"`{out}` string", decode)
