@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.workspace import materialise
+from ..functions.workspace import discard, materialise, release
 from .components import connected_components
 from .shingles import mix, shingle_hashes, slices
 
@@ -29,6 +29,8 @@ BLOCK = 512
 HELD = 20_000
 # What a compared pair costs against writing a signature.
 PAIR_COST = 0.05
+# Rounds in which each set is tested against its closest possible partner, before all pairs that are left.
+CLOSEST_ROUNDS = 2
 # Ids up to this count are sent to all tasks.
 BROADCAST_IDS = 300_000
 
@@ -330,7 +332,7 @@ def _pivot_links(buckets: DataFrame, metas: DataFrame, sets_of, percent: int) ->
     """Links found by comparing each set with one pivot: the bucket leader it shares most buckets with.
 
     A bucket's leader is its member with most buckets, in a group of near copies the one
-    closest to their common origin. A popular pivot's group is cut into parts.
+    closest to their common origin.
     """
     fame = buckets.groupBy("set_id").agg(F.count(F.lit(1)).alias("fame"))
     famed = buckets.join(fame, "set_id")
@@ -345,7 +347,11 @@ def _pivot_links(buckets: DataFrame, metas: DataFrame, sets_of, percent: int) ->
             keep = [_compatible(r["n_shingles"], r["n2"], _folded([r["sketch"], r["sketch2"]]), percent) for r in batch.to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["set_id", "pivot"])
 
-    near = materialise(pairs.mapInArrow(alike, "set_id long, pivot long"), "pivots")
+    return _verified(materialise(pairs.mapInArrow(alike, "set_id long, pivot long"), "pivots"), sets_of, percent)
+
+
+def _verified(near: DataFrame, sets_of, percent: int) -> DataFrame:
+    """Those of the stored (set_id, pivot) pairs that are links; a popular pivot's partners are cut into parts."""
     parts = near.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     members = near.join(parts, "pivot").select("set_id", "pivot", F.pmod(F.xxhash64("set_id"), F.col("parts")).alias("part"))
     copies = parts.select(F.col("pivot").alias("set_id"), "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
@@ -388,45 +394,82 @@ def _block_units(buckets: DataFrame) -> DataFrame:
         "low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks")
 
 
-def _remaining_links(buckets: DataFrame, metas: DataFrame, labels: DataFrame, sets_of, percent: int) -> DataFrame:
-    """Links between sets that share a bucket but not yet a label, each pair of blocks one unit of work."""
-    labelled = buckets.join(labels, buckets["set_id"] == labels["node"], "left").select(
-        "sig", "set_id", F.coalesce("label", "set_id").alias("label"))
-    open_ = labelled.groupBy("sig").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("sig")
-    unresolved = materialise(labelled.join(open_, "sig"), "unresolved")
-    unit = ["sig", "low", "high"]
-    rows = _block_units(unresolved).join(metas, "set_id")
+def _near_members(members: list[dict], percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each member of a unit the later ones with another label that sizes and sketches leave possible, and how
+    many bits differ."""
+    n = np.array([m["n_shingles"] for m in members])
+    label = np.array([m["label"] for m in members])
+    block = np.array([m["block"] for m in members])
+    sketch = _folded([m["sketch"] for m in members])
+    across = members[0]["low"] != members[0]["high"]
+    for i in range(len(members)):
+        total = n[i] + n[i + 1:]
+        fits = (label[i + 1:] != label[i]) & (np.minimum(n[i], n[i + 1:]) * 100 >= percent * np.maximum(n[i], n[i + 1:]))
+        if across:
+            fits &= block[i + 1:] != block[i]
+        at = np.flatnonzero(fits)
+        if len(at):
+            differ = np.bitwise_count(sketch[i + 1 + at] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+            near = differ <= total[at] + 2 * (-percent * total[at] // (100 + percent))
+            if near.any():
+                yield i, i + 1 + at[near], differ[near]
+
+
+UNIT = ["sig", "low", "high"]
+FIELDS = [*UNIT, "block", "set_id", "label"]
+
+
+def _screened(rows: DataFrame, metas: DataFrame, percent: int) -> DataFrame:
+    """Members of units that have a possible partner with another label in their unit."""
+    schema = pa.schema([(f, pa.int64()) for f in FIELDS])
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for members in _units(batches, unit):
-            n = np.array([m["n_shingles"] for m in members])
-            label = np.array([m["label"] for m in members])
-            block = np.array([m["block"] for m in members])
-            sketch = _folded([m["sketch"] for m in members])
+        for members in _units(batches, UNIT):
             keep = np.zeros(len(members), dtype=bool)
-            across = members[0]["low"] != members[0]["high"]
-            for i in range(len(members)):
-                total = n[i] + n[i + 1:]
-                fits = (label[i + 1:] != label[i]) & (np.minimum(n[i], n[i + 1:]) * 100 >= percent * np.maximum(n[i], n[i + 1:]))
-                if across:
-                    fits &= block[i + 1:] != block[i]
-                at = np.flatnonzero(fits)
-                if len(at):
-                    differ = np.bitwise_count(sketch[i + 1 + at] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-                    near = at[differ <= total[at] + 2 * (-percent * total[at] // (100 + percent))]
-                    keep[i] |= len(near) > 0
-                    keep[i + 1 + near] = True
+            for i, near, _ in _near_members(members, percent):
+                keep[i] = True
+                keep[near] = True
             kept = [members[i] for i in np.flatnonzero(keep)]
             if kept:
-                yield pa.RecordBatch.from_pylist([{k: m[k] for k in fields} for m in kept], schema=schema)
+                yield pa.RecordBatch.from_pylist([{k: m[k] for k in FIELDS} for m in kept], schema=schema)
+
+    return _with_sketches(rows, metas).mapInArrow(screen, ", ".join(f"{f} long" for f in FIELDS))
+
+
+def _with_sketches(rows: DataFrame, metas: DataFrame) -> DataFrame:
+    met = rows.join(metas, "set_id").select(*FIELDS, "n_shingles", "sketch")
+    return met.repartition(*UNIT).sortWithinPartitions(*UNIT)
 
-    fields = ["sig", "low", "high", "block", "set_id", "label"]
-    schema = pa.schema([(f, pa.int64()) for f in fields])
-    dealt = rows.select(*fields, "n_shingles", "sketch").repartition(*unit).sortWithinPartitions(*unit)
-    screened = materialise(dealt.mapInArrow(screen, ", ".join(f"{f} long" for f in fields)), "screened")
 
+def _closest(screened: DataFrame, metas: DataFrame, percent: int) -> DataFrame:
+    """(set_id, pivot): for each member of a unit its closest possible partner with another label, each pair once."""
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for members in _units(batches, UNIT):
+            least = np.full(len(members), np.iinfo(np.int64).max)
+            partner = np.full(len(members), -1)
+            for i, near, differ in _near_members(members, percent):
+                closer = differ < least[near]
+                least[near[closer]], partner[near[closer]] = differ[closer], i
+                k = int(differ.argmin())
+                if differ[k] < least[i]:
+                    least[i], partner[i] = differ[k], near[k]
+            pairs = {tuple(sorted((members[x]["set_id"], members[partner[x]]["set_id"]))) for x in np.flatnonzero(partner >= 0)}
+            if pairs:
+                low, high = zip(*sorted(pairs))
+                yield pa.RecordBatch.from_pydict({"set_id": low, "pivot": high})
+
+    return _with_sketches(screened, metas).mapInArrow(pick, "set_id long, pivot long").distinct()
+
+
+def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    own = rows.drop("label").join(labels, F.col("set_id") == F.col("node"), "left")
+    return own.withColumn("label", F.coalesce("label", "set_id")).drop("node")
+
+
+def _block_links(screened: DataFrame, sets_of, percent: int) -> DataFrame:
+    """Links between different labels inside the screened units, tested exactly."""
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for members in _units(batches, unit):
+        for members in _units(batches, UNIT):
             forest = _Forest()
             own = [np.frombuffer(m["elements"], dtype=np.uint64) for m in members]
             across = members[0]["low"] != members[0]["high"]
@@ -447,8 +490,38 @@ def _remaining_links(buckets: DataFrame, metas: DataFrame, labels: DataFrame, se
             if found:
                 yield pa.RecordBatch.from_pydict({"a": [x for x, _ in found], "b": [y for _, y in found]})
 
-    whole = screened.join(sets_of(screened), "set_id").repartition(*unit).sortWithinPartitions(*unit)
-    return whole.select(*fields, "elements").mapInArrow(verify, "a long, b long")
+    whole = screened.join(sets_of(screened), "set_id").repartition(*UNIT).sortWithinPartitions(*UNIT)
+    return whole.select(*FIELDS, "elements").mapInArrow(verify, "a long, b long")
+
+
+def _remaining_links(buckets: DataFrame, metas: DataFrame, found: DataFrame, sets_of, percent: int) -> DataFrame:
+    """(node, label) over all links: those ``found`` and those between sets that share a bucket.
+
+    Sets that share a bucket but no label yet meet in pairs of blocks and are screened by
+    sketches. Then each set that is left is tested against its closest possible partner with
+    another label, each such pair once, which joins most groups for little; what is still
+    apart is screened again and all its pairs are tested. A table goes when the next is written.
+    """
+    spark = buckets.sparkSession
+    labels = connected_components(found)
+    labelled = _relabelled(buckets.withColumn("label", F.col("set_id")), labels)
+    open_ = labelled.groupBy("sig").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("sig")
+    unresolved = materialise(labelled.join(open_, "sig"), "unresolved")
+    discard(buckets)
+    screened = materialise(_screened(_block_units(unresolved), metas, percent), "screened")
+    discard(unresolved)
+    release(spark)
+    for _ in range(CLOSEST_ROUNDS):
+        if screened.isEmpty():
+            return labels
+        closest = materialise(_closest(screened, metas, percent), "closest")
+        found = materialise(found.union(_verified(closest, sets_of, percent)), "found")
+        labels = connected_components(found)
+        before, screened = screened, materialise(_screened(_relabelled(screened, labels), metas, percent), "screened")
+        discard(before, closest)
+        release(spark)
+    rest = materialise(_block_links(screened, sets_of, percent), "block-links")
+    return labels if rest.isEmpty() else connected_components(found.union(rest))
 
 
 def jaccard_components(
@@ -487,11 +560,11 @@ def jaccard_components(
     # Rows with equal keys are one document: its sets are linked, too.
     several = filled.groupBy("_key").agg(F.min("set_id").alias("a"), F.max("set_id").alias("_b")).filter("a <> _b")
     same = filled.join(several, "_key").filter("set_id <> a").select("a", F.col("set_id").alias("b"))
+    release(docs.sparkSession)
     found = materialise(_pivot_links(buckets, metas, sets_of, percent).union(same), "pivot-links")
-    labels = connected_components(found)
-    rest = materialise(_remaining_links(buckets, metas, labels, sets_of, percent), "block-links")
-    if not rest.isEmpty():
-        labels = connected_components(found.union(rest))
+    release(docs.sparkSession)
+    labels = _remaining_links(buckets, metas, found, sets_of, percent)
+    discard(metas)
     named = filled.select("_key", "set_id").join(labels, F.col("set_id") == F.col("node"), "left").select(
         "_key", "set_id", F.coalesce("label", "set_id").alias("label"))
     ids = named.groupBy("label").agg(F.min("_key").alias("component_id"))
