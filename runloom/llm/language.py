@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import map_columns
 from .shingles import slices
 
 DIMS = 1024
@@ -16,7 +17,7 @@ SEED = 7
 # Learned documents per language (on average) and the number of languages a model may have.
 SAMPLE_ROWS = 1000
 MOST_LANGUAGES = 2000
-# Texts longer than this are read in pieces cut at a blank.
+# Texts longer than this are read in pieces that overlap by two symbols.
 PIECE_CHARS = 1 << 20
 # Cells of one counts matrix (rows x distinct n-grams).
 CELLS = 6_000_000
@@ -36,24 +37,33 @@ def letter_vector(code: int) -> np.ndarray:
 
 
 def _pieces(text: str) -> Iterator[str]:
-    at = 0
-    while len(text) - at > PIECE_CHARS:
-        cut = text.rfind(" ", at + 1, at + PIECE_CHARS)
-        cut = at + PIECE_CHARS if cut < 0 else cut
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
+    """Parts of the padded, lower-cased text whose trigrams together are those of the whole.
 
-
-def _ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    A part begins with the last two symbols of what came before it, so each trigram over a
+    cut is in just one part.
+    """
+    text = f" {text.lower()} "
+    before = ""
+    for at in range(0, len(text), PIECE_CHARS):
+        part = before + text[at: at + PIECE_CHARS]
+        yield part
+        last = len(part)
+        if not part[-1].isalpha():
+            while last and not part[last - 1].isalpha():
+                last -= 1
+            before = part[last - 1: last] + " "
+        else:
+            before = part[-2:] if len(part) < 2 or part[-2].isalpha() else " " + part[-1]
+
+
+def _ngrams(padded: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row and code of each letter trigram; the letters; which rows have a letter.
 
     Letters are in lower case, every run of other characters is one blank, also before the
     first and after the last letter.
     """
-    padded = [f" {t.lower()} " for t in texts]
     codes = np.frombuffer("".join(padded).encode("utf-32-le"), dtype=np.uint32)
-    rows = np.repeat(np.arange(len(texts)), [len(t) for t in padded])
+    rows = np.repeat(np.arange(len(padded)), [len(t) for t in padded])
     seen = np.zeros(0x110000, dtype=bool)
     seen[codes] = True
     letters = np.array([c for c in np.flatnonzero(seen) if chr(c).isalpha()], dtype=np.int64)
@@ -65,7 +75,7 @@ def _ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     keep[0] = True
     keep[1:] |= rows[1:] != rows[:-1]
     symbol, rows = symbol[keep], rows[keep]
-    with_letter = np.zeros(len(texts), dtype=bool)
+    with_letter = np.zeros(len(padded), dtype=bool)
     with_letter[rows[symbol > 0]] = True
     base = len(letters) + 1
     if len(symbol) < 3:
@@ -173,14 +183,13 @@ def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text: s
     ``und`` with score 0. Ties go to the language that is first in order. Other columns pass
     through, those named like a result column are replaced.
     """
-    docs = docs.drop("lang_pred", "score")
     names = list(prototypes)
     matrix = np.stack([prototypes[n] for n in names], axis=1) if names else np.zeros((DIMS, 0))
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
         for batch in batches:
-            for part in slices(batch, text):
-                vectors, has = text_vectors(part.column(text).to_pylist())
+            for part in slices(batch, "text"):
+                vectors, has = text_vectors(part.column("text").to_pylist())
                 length = np.linalg.norm(vectors, axis=1)
                 if names:
                     cosine = np.round(vectors @ matrix / np.where(length > 0, length, 1.0)[:, None], 9)
@@ -189,9 +198,6 @@ def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text: s
                     score = np.where(has, np.clip(top, 0.0, 1.0), 0.0)
                 else:
                     guess, score = [UNKNOWN] * len(has), np.zeros(len(has))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(guess, pa.string()), pa.array(score, pa.float64())],
-                    names=[*part.schema.names, "lang_pred", "score"])
+                yield part, [pa.array(guess, pa.string()), pa.array(score, pa.float64())]
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(predict, f"{fields}, lang_pred string, score double")
+    return map_columns(docs, text, "lang_pred string, score double", predict)

@@ -26,10 +26,12 @@ def test_long_texts_are_read_whole(monkeypatch):
     whole = language.text_vectors([text])[0]
     monkeypatch.setattr(language, "CELLS", 3)
     assert np.allclose(language.text_vectors(["x", text])[0][1], whole[0])
-    monkeypatch.setattr(language, "PIECE_CHARS", 100)
-    parts = language.text_vectors([text])[0][0]
-    cosine = parts @ whole[0] / np.linalg.norm(parts) / np.linalg.norm(whole[0])
-    assert cosine > 0.99
+    odd = ["", "a", " b", "!!! " * 90, "ab " * 70 + "…" * 130 + "cd", "ÉΣ" * 150, "x" + " " * 205 + "y z", text + "İstanbul ΑΣ ΑΣ."]
+    expect, has = language.text_vectors([*odd, text])
+    for chars in (1, 2, 3, 7, 100):
+        monkeypatch.setattr(language, "PIECE_CHARS", chars)
+        got, seen = language.text_vectors([*odd, text])
+        assert (got == expect).all() and (seen == has).all()
 
 
 def test_held_out_accuracy(spark):
@@ -53,3 +55,10 @@ def test_odd_rows(odd_docs, no_docs):
     assert language.learn_languages(no_docs, F.lit(True)) == {}
     assert {r.lang_pred for r in language.predict_language(odd_docs, {}).collect()} == {"und"}
     assert language.predict_language(no_docs, prototypes).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.sql("SELECT 'some words' AS text, 1 AS `a.b`, map('k', 2) AS m, 3 AS _text, 4 AS lang_pred, 5 AS c0")
+    got = language.predict_language(docs, {"en": language.text_vectors(["some words"])[0][0]})
+    assert got.columns == ["text", "a.b", "m", "_text", "c0", "lang_pred", "score"]
+    assert tuple(got.first())[:6] == ("some words", 1, {"k": 2}, 3, 5, "en")
