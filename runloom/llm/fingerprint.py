@@ -1,4 +1,9 @@
-"""Threshold-scaled sketches: every shingle hash below a fixed fraction of the hash range."""
+"""Threshold-scaled sketches: every shingle hash below a fixed fraction of the hash range.
+
+The fraction is 1/8. A text with few hashes below it keeps a finer one (1/4, 1/2 or all), the
+coarsest that holds at most KEEP hashes; which one is the sketch's first number. Two sketches
+are compared and merged at the coarser of their fractions, so both hold all hashes below it.
+"""
 
 from __future__ import annotations
 
@@ -14,47 +19,73 @@ from pyspark.sql import functions as F
 from .shingles import shingle_hashes, slices
 
 WORDS = 5
-# One hash of SCALE is kept.
-SCALE = 8
+# One hash of SCALE is kept; of texts with no more than KEEP hashes below a finer fraction, that.
+SCALE, KEEP = 8, 128
 # Rows of one block when documents meet their neighbours.
 BLOCK_ROWS = 5_000
 MOST_BLOCKS, CUTS = 65_536, 64
+KEY_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}
+
+
+def _below(hashes: np.ndarray, scale: int) -> np.ndarray:
+    return hashes[hashes <= np.uint64((1 << 64) // scale - 1)]
+
+
+def _scaled(hashes: np.ndarray, least: int, scale: int) -> np.ndarray:
+    """Sketch of sorted, distinct hashes that are all those below the fraction ``least``."""
+    if not len(hashes):
+        return hashes
+    kept = _below(hashes, least)
+    while least < scale and len(kept) > KEEP:
+        least = min(2 * least, scale)
+        kept = _below(kept, least)
+    return np.concatenate([np.array([least], np.uint64), kept])
 
 
 def sketches(texts: pa.Array, size: int = WORDS, scale: int = SCALE) -> list[np.ndarray]:
-    """The distinct hashes below 2^64 / ``scale`` of each row, sorted, and always the smallest one.
+    """Sketch of each row: its scale, then its distinct hashes below 2^64 / scale, sorted.
 
-    The smallest hash keeps the sketch of a short text from being empty; only a text without
-    words has an empty one. Sketches of parts merge into that of the whole by ``merge``.
+    The scale is the least of 1, 2, 4, ... that leaves at most KEEP hashes, and ``scale``
+    (a power of two) where none does. Only a text without words has an empty sketch.
+    Sketches of parts merge into that of the whole by ``merge``.
     """
     hashes, bounds = shingle_hashes(texts, size)
-    limit = np.uint64((1 << 64) // scale - 1)
-    out = []
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        own = hashes[a:b]
-        kept = np.unique(own[own <= limit])
-        out.append(kept if len(kept) or not len(own) else own.min(keepdims=True))
-    return out
+    return [_scaled(np.unique(hashes[a:b]), 1, scale) for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def _common_scale(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of both sketches below the coarser of their fractions."""
+    if not len(a) or not len(b):
+        return a[1:], b[1:], int(max(*a[:1], *b[:1], 1))
+    scale = int(max(a[0], b[0]))
+    return _below(a[1:], scale), _below(b[1:], scale), scale
 
 
 def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
-    """Sketch of the union of two shingle sets."""
-    both = np.union1d(a, b)
-    below = both[both <= np.uint64((1 << 64) // scale - 1)]
-    return below if len(below) else both[:1]
+    """Sketch of the union of two shingle sets, the same as if it were made from their shingles."""
+    x, y, least = _common_scale(a, b)
+    return _scaled(np.union1d(x, y), least, scale)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated Jaccard similarity; two empty sketches are alike."""
+    """Estimated Jaccard similarity, exact where both keep all hashes; two empty sketches are alike."""
     if not len(a) and not len(b):
         return 1.0
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared / (len(a) + len(b) - shared)
+    x, y, _ = _common_scale(a, b)
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared / max(1, len(x) + len(y) - shared)
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the shingles of ``a`` that ``b`` has; nothing is contained in anything."""
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
+    """Estimated share of the shingles of ``a`` that ``b`` has; nothing is contained in anything.
+
+    NaN where ``a`` has shingles, but none of them below the fraction that ``b`` keeps: then the
+    sketches cannot tell. A sketch of ``b`` with a smaller ``scale`` can (scale 1 is exact).
+    """
+    if not len(a):
+        return 1.0
+    x, y, _ = _common_scale(a, b)
+    return len(np.intersect1d(x, y, assume_unique=True)) / len(x) if len(x) else float("nan")
 
 
 def encode(sketch: np.ndarray) -> str:
@@ -73,7 +104,7 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
             for part in slices(batch, "_text"):
                 made = sketches(part.column("_text"), size, scale)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(key), pa.array(map(encode, made)), pa.array(map(len, made), pa.int64())],
+                    [part.column(key), pa.array(map(encode, made)), pa.array([max(0, len(m) - 1) for m in made], pa.int64())],
                     names=[key, "fingerprint", "n_hashes"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -127,8 +158,11 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
     The next document has the next smaller key (after the smallest: the largest); equal keys
     are ordered by text and null keys come last. Texts move once, into blocks of
     neighbouring keys, and each block is read in order with one row of look-ahead. A null
-    text is empty. Repeated rows are neighbours of each other.
+    text is empty. Repeated rows are neighbours of each other. Keys are of an integer type.
     """
+    key_type = KEY_TYPES.get(docs.schema[key].dataType.simpleString())
+    if key_type is None:
+        raise TypeError(f"the key {key} must be an integer column")
     columns = (
         f"`{key}` {docs.schema[key].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, "
         "edited_fingerprint string, near_edited double, near_next double"
@@ -170,7 +204,6 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     yield finished(group)
                     group, chars = [group[-1]], len(t)
 
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[docs.schema[key].dataType.simpleString()]
     dealt = spread.repartition("_block").sortWithinPartitions(
         "_block", "_donor", F.col("_key").desc_nulls_last(), "_text")
     return dealt.select("_block", "_donor", "_key", "_text").mapInArrow(work, columns)
