@@ -3,11 +3,15 @@
 A classical MinHash signature of a whole document hardly ever meets that of an item a
 hundred times smaller. So items are partitioned by size and each keeps its smallest hashes:
 as many as may be missing at the threshold, plus one. A document that holds enough of
-the item holds at least one of these, so the search loses nothing.
+the item holds at least one of these, so the search loses nothing. An item with fewer
+than five words is one run of its own length, which is looked up among a document's runs
+of that length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,45 +28,57 @@ def _words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _shingle_hashes(words: Column, size: int) -> Column:
-    """Hashes of all runs of ``size`` words; a shorter text is one run."""
-    def run(hashes: Column) -> Column:
+def _run_hashes(words: Column, lengths: list[int]) -> Column:
+    """(length, hash) of all runs of as many words as ``lengths`` says."""
+    def of_length(hashes: Column, size: int) -> Column:
         n = F.size(hashes)
         return F.when(n >= size, F.transform(
             F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))),
-            lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(size)]),
-        )).when(n > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<bigint>"))
+            lambda i: F.struct(F.lit(size).alias("length"), F.xxhash64(*[F.get(hashes, i + k) for k in range(size)]).alias("hash")),
+        )).otherwise(F.array().cast("array<struct<length:int,hash:bigint>>"))
 
     # An array of one, so that the words are hashed once and not once per run.
-    return F.flatten(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), run))
+    return F.flatten(F.flatten(F.transform(
+        F.array(F.transform(words, lambda w: F.xxhash64(w))), lambda h: F.array(*[of_length(h, n) for n in lengths]))))
 
 
-def _shingles(words: Column, size: int) -> Column:
-    """The distinct runs themselves."""
-    def run(w: Column) -> Column:
+def _runs(words: Column, lengths: list[int]) -> Column:
+    """The distinct runs themselves, as texts."""
+    def of_length(w: Column, size: int) -> Column:
         n = F.size(w)
         return F.when(n >= size, F.transform(
             F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, size), " "),
-        )).when(n > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+        )).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.flatten(F.transform(
+        F.array(words), lambda w: F.array(*[of_length(w, n) for n in lengths])))))
+
 
-    return F.array_distinct(F.flatten(F.transform(F.array(words), run)))
+def _own_runs(make: Callable[[Column, list[int]], Column], words: Column, size: int) -> Column:
+    """Runs of ``size`` words of an item, or the one run that a shorter item is."""
+    shorter = F.when(F.size(words) >= size, make(words, [size]))
+    for n in range(1, size):
+        shorter = shorter.when(F.size(words) == n, make(words, [n]))
+    return shorter
 
 
 def index_items(items: DataFrame, item: str, text: str, size: int = WORDS, contained: tuple[int, int] = CONTAINED) -> DataFrame:
-    """(hash, item, size, band): the smallest hashes of each item, as many as its size asks for.
+    """(item, size, hash, length, band): the smallest hashes of each item, as many as its size asks for.
 
     An item of n distinct shingles may miss ``n - ceil(n * contained)``; it keeps that many
-    smallest hashes and one more. ``band`` is the power of two below n, the size partition.
+    smallest hashes and one more. ``length`` is the number of words of a shingle. ``band`` is
+    the size partition: the power of two below n, or ``length - size`` for items below ``size`` words.
     """
-    hashes = items.filter(F.col(item).isNotNull()).select(
-        F.col(item).alias("item"), F.explode(_shingle_hashes(_words(F.col(text)), size)).alias("hash")).distinct()
+    words = items.filter(F.col(item).isNotNull()).select(F.col(item).alias("item"), _words(F.col(text)).alias("words"))
+    hashes = words.select("item", F.explode(_own_runs(_run_hashes, F.col("words"), size)).alias("run")).select(
+        "item", "run.*").distinct()
     top, below = contained
-    packed = hashes.groupBy("item").agg(F.array_sort(F.collect_list("hash")).alias("all"))
+    packed = hashes.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("hash", "length"))).alias("all"))
     n = F.size("all")
     may_miss = n - F.ceil(n * top / F.lit(below)).cast("int")
-    return packed.select(
-        "item", n.alias("size"), F.floor(F.log2(n)).cast("int").alias("band"),
-        F.explode(F.slice("all", 1, may_miss + 1)).alias("hash"))
+    kept = packed.select("item", n.alias("size"), F.explode(F.slice("all", 1, may_miss + 1)).alias("run"))
+    return kept.select("item", "size", "run.*").withColumn(
+        "band", F.when(F.col("length") < size, F.col("length") - size).otherwise(F.floor(F.log2("size")).cast("int")))
 
 
 def contaminated(
@@ -72,35 +88,44 @@ def contaminated(
 ) -> DataFrame:
     """(doc, text_hash, item, n_shared, n_item): documents that hold an item's shingles to the given share.
 
-    A shingle is five words in lower case; an item or document with fewer words is one
-    shingle as a whole, so a short item matches only documents equal to it. Rows are known
-    by id and text hash: repeated rows count once, equal ids with other texts separately.
-    Null and empty texts hold nothing, null item ids are not searched. Candidates come from
-    the index, the result from counting the shingles themselves.
+    A shingle is a run of five words in lower case. An item with fewer words is one run of
+    its own length, found wherever a document has that run; an item without words is not
+    searched. Rows are known by id and text hash: repeated rows count once, equal ids with
+    other texts separately; rows with equal item ids are one item with the shingles of all. Null and empty texts hold nothing, null
+    item ids are not searched. Candidates come from the index, one size band with its own
+    reach and least document size at a time; the result from counting the shingles themselves.
     """
     top, below = contained
     index = materialise(index_items(items, item, item_text, size, contained), "minhash")
-    facts = index.agg(F.count(F.lit(1)), F.max("hash")).first()
+    # At most one row per power of two and per length below ``size``.
+    bands = index.groupBy("band").agg(
+        F.min("length").alias("length"), F.max("hash").alias("reach"), F.min("size").alias("least"),
+        F.count(F.lit(1)).alias("rows")).collect()
     small = lambda df, n: F.broadcast(df) if n <= broadcast_rows else df
-    bands = small(index.groupBy("hash", "band").agg(
-        F.collect_set(F.struct("item", "size")).alias("items")), facts[0])
+    lookup = small(index.select("hash", "length", "item", "size"), sum(r["rows"] for r in bands))
+    lengths = sorted({size, *(r["length"] for r in bands)})
     keyed = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("body"))
-    # Hashes above all of the index cannot meet it.
-    signature = F.filter(_shingle_hashes(F.col("words"), size), lambda h: h <= F.lit(facts[1] if facts[0] else 0))
-    sketched = keyed.select("doc", "text_hash", _words(F.col("body")).alias("words")).select(
-        "doc", "text_hash", F.size("words").alias("n_words"), F.explode(signature).alias("hash"))
-    fetched = sketched.join(bands, "hash").select("doc", "text_hash", "n_words", F.explode("items").alias("found"))
     # A document with fewer shingles than the share of the item asks for cannot hold it.
-    fits = F.greatest(F.col("n_words") - (size - 1), F.lit(1)) * below >= F.col("found.size") * top
+    n_runs = sum(F.greatest(F.col("n_words") - (n - 1), F.lit(0)) for n in lengths)
+    wanted = F.lit(False)
+    for r in bands:
+        wanted |= (F.col("run.length") == r["length"]) & (F.col("run.hash") <= r["reach"]) & (
+            n_runs * below >= r["least"] * top)
+    sketched = keyed.select("doc", "text_hash", _words(F.col("body")).alias("words")).select(
+        "doc", "text_hash", F.size("words").alias("n_words"), F.explode(_run_hashes(F.col("words"), lengths)).alias("run"),
+    ).filter(wanted).select("doc", "text_hash", "n_words", "run.*")
+    fetched = sketched.join(lookup, ["hash", "length"])
+    fits = n_runs * below >= F.col("size") * top
     pairs = materialise(
-        fetched.filter(fits).select("doc", "text_hash", F.col("found.item").alias("item")).distinct(), "candidates")
+        fetched.filter(fits).select("doc", "text_hash", "item").distinct(), "candidates")
     keys = pairs.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
     searched = keyed.join(
         small(keys, pairs.count()), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left_semi")
     held = searched.select(
-        "doc", "text_hash", F.explode(_shingles(_words(F.col("body")), size)).alias("shingle")).distinct()
+        "doc", "text_hash", F.explode(_runs(_words(F.col("body")), lengths)).alias("shingle")).distinct()
     parts = items.filter(F.col(item).isNotNull()).select(
-        F.col(item).alias("item"), F.explode(_shingles(_words(F.col(item_text)), size)).alias("shingle")).distinct()
+        F.col(item).alias("item"), _words(F.col(item_text)).alias("words")).select(
+        "item", F.explode(_own_runs(_runs, F.col("words"), size)).alias("shingle")).distinct()
     sizes = parts.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
     shared = held.join(parts, "shingle").groupBy("doc", "text_hash", "item").agg(F.count(F.lit(1)).alias("n_shared"))
     named = pairs.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("item").alias("_item"))
@@ -113,9 +138,11 @@ def contaminated(
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that hold no item; all columns and repeated rows are kept."""
+    """The documents that hold no item; all columns, whatever their names, and repeated rows are kept."""
     found = materialise(contaminated(docs, items, doc, text, **options), "contaminated")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    id_, body = (F.col(f"c{docs.columns.index(c)}") for c in (doc, text))
     keys = found.select(F.col(doc).alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
     keys = F.broadcast(keys) if keys.count() <= options.get("broadcast_rows", BROADCAST_ROWS) else keys
-    return docs.join(
-        keys, F.col(doc).eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_hash")), "left_anti")
+    return plain.join(
+        keys, id_.eqNullSafe(F.col("_doc")) & (F.xxhash64(body) == F.col("_hash")), "left_anti").toDF(*docs.columns)

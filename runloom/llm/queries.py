@@ -40,10 +40,11 @@ WITH words AS (
   SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS n, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w
   FROM (SELECT DISTINCT doc_id, text FROM documents)
   UNION ALL SELECT 'i', item_id, 0, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM benchmark),
+lengths AS (SELECT DISTINCT least(len(w), 5) AS l FROM words WHERE side = 'i' AND len(w) > 0),
 shingles AS (
-  SELECT DISTINCT side, id, n, unnest(CASE WHEN len(w) >= 5
-    THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+  SELECT DISTINCT side, id, n, unnest(CASE WHEN len(w) >= l
+    THEN list_transform(range(1, len(w) - l + 2), lambda i: array_to_string(w[i:i + l - 1], ' ')) ELSE [] END) AS s
+  FROM words JOIN lengths ON side = 'd' OR l = least(len(w), 5)),
 sizes AS (SELECT id, count(*) AS n_item FROM shingles WHERE side = 'i' GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, any_value(n_item) AS n_item
 FROM shingles d JOIN shingles i ON d.s = i.s AND d.side = 'd' AND i.side = 'i' JOIN sizes ON sizes.id = i.id
