@@ -91,8 +91,8 @@ def contaminated(
     A shingle is a run of five words in lower case. An item with fewer words is one run of
     its own length, found wherever a document has that run; an item without words is not
     searched. Rows are known by id and text hash: repeated rows count once, equal ids with
-    other texts separately; rows with equal item ids are one item with the shingles of all. Null and empty texts hold nothing, null
-    item ids are not searched. Candidates come from the index, one size band with its own
+    other texts separately; rows with equal item ids are one item with the shingles of all.
+    Null and empty texts hold nothing, null item ids are not searched. Candidates come from the index, one size band with its own
     reach and least document size at a time; the result from counting the shingles themselves.
     """
     top, below = contained
@@ -106,16 +106,20 @@ def contaminated(
     lengths = sorted({size, *(r["length"] for r in bands)})
     keyed = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("body"))
     # A document with fewer shingles than the share of the item asks for cannot hold it.
-    n_runs = sum(F.greatest(F.col("n_words") - (n - 1), F.lit(0)) for n in lengths)
-    wanted = F.lit(False)
-    for r in bands:
-        wanted |= (F.col("run.length") == r["length"]) & (F.col("run.hash") <= r["reach"]) & (
-            n_runs * below >= r["least"] * top)
-    sketched = keyed.select("doc", "text_hash", _words(F.col("body")).alias("words")).select(
-        "doc", "text_hash", F.size("words").alias("n_words"), F.explode(_run_hashes(F.col("words"), lengths)).alias("run"),
-    ).filter(wanted).select("doc", "text_hash", "n_words", "run.*")
+    n_runs = sum(F.greatest(F.size("words") - (n - 1), F.lit(0)) for n in lengths)
+
+    def wanted(run: Column) -> Column:
+        """Whether a band that the document is long enough for has hashes up to this one."""
+        fits = F.lit(False)
+        for r in bands:
+            fits |= (run["length"] == r["length"]) & (run["hash"] <= r["reach"]) & (F.col("n_runs") * below >= r["least"] * top)
+        return fits
+
+    sketched = keyed.select("doc", "text_hash", _words(F.col("body")).alias("words")).withColumn("n_runs", n_runs).select(
+        "doc", "text_hash", "n_runs", F.explode(F.filter(_run_hashes(F.col("words"), lengths), wanted)).alias("run"),
+    ).select("doc", "text_hash", "n_runs", "run.*")
     fetched = sketched.join(lookup, ["hash", "length"])
-    fits = n_runs * below >= F.col("size") * top
+    fits = F.col("n_runs") * below >= F.col("size") * top
     pairs = materialise(
         fetched.filter(fits).select("doc", "text_hash", "item").distinct(), "candidates")
     keys = pairs.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
