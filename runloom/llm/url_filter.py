@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.workspace import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Rules up to this count are sent to all tasks; more are joined by shuffling tokens.
 BROADCAST_RULES = 50_000
+# Pages of a URL with more than this many meet its verdict in several parts.
+PART_PAGES = 10_000
 
 
 def url_host(url: Column) -> Column:
@@ -60,7 +64,7 @@ def index_rules(rules: DataFrame) -> DataFrame:
 
 def judge_urls(
     pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow",
-    broadcast_rules: int = BROADCAST_RULES,
+    broadcast_rules: int = BROADCAST_RULES, part_pages: int = PART_PAGES,
 ) -> DataFrame:
     """``pages`` with host, path, rule and verdict of each URL.
 
@@ -68,24 +72,41 @@ def judge_urls(
     the rules so fetched run their patterns. The longest fitting rule wins (of equal
     length, the one that is first in order); no fitting rule gives a null rule and
     ``default``. Null URLs and URLs without ``://`` have an empty host and path and fit no
-    rule. Columns of ``pages`` named like a result column are replaced.
+    rule; they are judged where they lie. A URL of very many pages is met in parts of about
+    ``part_pages``. Columns of ``pages`` named like a result column are replaced, others
+    pass through whatever their names.
     """
     index = index_rules(rules)
     if index.count() <= broadcast_rules:
         index = F.broadcast(index)
-    pages = pages.drop("host", "path", "rule", "verdict")
-    located = pages.select(F.col(url).alias("_url")).filter(F.col("_url").contains("://")).distinct().select(
-        "_url", F.concat(url_host(F.col("_url")), url_path(F.col("_url"))).alias("_place"))
+    results = ["host", "path", "rule", "verdict"]
+    kept = [i for i, c in enumerate(pages.columns) if c not in results]
+    plain = pages.toDF(*[f"c{i}" for i in range(len(pages.columns))]).withColumn("url", F.col(f"c{pages.columns.index(url)}"))
+    plain = plain.select(*[f"c{i}" for i in kept], "url")
+    with_host = F.coalesce(F.col("url").contains("://"), F.lit(False))
+    located = plain.filter(with_host).groupBy("url").agg(F.count(F.lit(1)).alias("pages")).select(
+        "url", F.ceil(F.col("pages") / F.lit(float(part_pages))).cast("int").alias("parts"),
+        F.concat(url_host(F.col("url")), url_path(F.col("url"))).alias("place"))
     fetched = located.select(
-        "_url", "_place",
-        F.explode(F.array_distinct(F.concat(_tokens(F.col("_place")), F.array(F.lit(""))))).alias("token"),
-    ).join(index, "token").filter(F.expr("regexp_like(_place, pattern)"))
-    best = fetched.groupBy("_url").agg(
-        F.min(F.struct((-F.length("rule")).alias("size"), "rule", "verdict")).alias("_best"))
-    return (
-        pages.join(best, pages[url] == best["_url"], "left")
-        .withColumns({
-            "host": F.coalesce(url_host(F.col(url)), F.lit("")), "path": F.coalesce(url_path(F.col(url)), F.lit("")),
-            "rule": F.col("_best.rule"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default)),
-        }).drop("_url", "_best")
-    )
+        "url", "parts", "place",
+        F.explode(F.array_distinct(F.concat(_tokens(F.col("place")), F.array(F.lit(""))))).alias("token"),
+    ).join(index, "token").filter(F.expr("regexp_like(place, pattern)"))
+    best = materialise(fetched.groupBy("url").agg(
+        F.first("parts").alias("parts"),
+        F.min(F.struct((-F.length("rule")).alias("size"), "rule", "verdict")).alias("best")), "verdicts")
+    # By the row's values, so that a task that runs again deals rows out the same way.
+    spread = [F.col(f.name) for f in plain.schema.fields if "map" not in f.dataType.simpleString()]
+    # One row for each ``part_pages`` pages of a frequent URL, so at most that share of all pages.
+    often = best.filter("parts > 1").select("url", "parts")
+    met = plain.filter(with_host).join(
+        F.broadcast(often) if often.count() <= broadcast_rules else often, "url", "left").withColumn(
+        "part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64(*spread), F.col("parts")).cast("int")).otherwise(F.lit(0))).drop("parts")
+    parted = best.select("url", "best", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    host, path = F.coalesce(url_host(F.col("url")), F.lit("")), url_path(F.col("url"))
+    judged = met.join(parted, ["url", "part"], "left").select(
+        *[f"c{i}" for i in kept], host.alias("host"), path.alias("path"), F.col("best.rule").alias("rule"),
+        F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
+    nowhere = plain.filter(~with_host).select(
+        *[f"c{i}" for i in kept], F.lit("").alias("host"), F.lit("").alias("path"), F.lit(None).cast("string").alias("rule"),
+        F.lit(default).alias("verdict"))
+    return judged.unionByName(nowhere).toDF(*[pages.columns[i] for i in kept], *results)
