@@ -84,14 +84,14 @@ register(
 )
 
 
-def supplier_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("run_id"))
-    return design.fresh_sample(runs, GRID, 21)
+def design_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fresh sample that belongs to the fitted design, on the ids of its runs."""
+    return design.fresh_sample(observed(spark, sf_dir).select("run_id").distinct(), GRID, 21)
 
 
 def gradient_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogate.gradient_covariance(
-        linear_coefficients(spark, sf_dir), supplier_sample(spark, sf_dir), GRID, 1
+        linear_coefficients(spark, sf_dir), design_sample(spark, sf_dir), GRID, 1
     )
 
 
@@ -108,13 +108,13 @@ register(
 
 def gradient_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogate.squared_gradient_sensitivity(
-        linear_coefficients(spark, sf_dir), supplier_sample(spark, sf_dir), GRID, 1
+        linear_coefficients(spark, sf_dir), design_sample(spark, sf_dir), GRID, 1
     ).withColumn("sensitivity", F.log10("sensitivity"))
 
 
 GRADIENT_SQL = f"""{REGRESSION_SQL},
         sample AS (SELECT id, floor({u_sql(21, "discount", "id")} * 11) AS x1, floor({u_sql(21, "tax", "id")} * 9) AS x2
-                   FROM (SELECT s_suppkey * 100 + c AS id FROM supplier, range(100) AS r(c))),
+                   FROM (SELECT CAST(run_id AS BIGINT) * 100 + c AS id FROM runs, range(100) AS r(c))),
         g AS (SELECT qoi, id, sum(2 * (a + b1 * x1 + b2 * x2) * b1) AS g1, sum(2 * (a + b1 * x1 + b2 * x2) * b2) AS g2
               FROM sample, linear GROUP BY qoi, id),
         sens AS (SELECT qoi, 'discount' AS param, log10(avg(g1 * g1)) AS sensitivity FROM g GROUP BY qoi
