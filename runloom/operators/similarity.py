@@ -1,18 +1,26 @@
 """Pairwise L2 similarity of histories below a threshold, exact and without all pairs.
 
-Three facts keep the work down, and none of them loses a pair:
+Four facts keep the work down, and none of them loses a pair:
 
 * equal vectors are one class, so copies (a third of all points may be at rest) cost one
   vector and never a pair per two members;
 * two vectors closer than the threshold differ by less than it in every coordinate, so
   only vectors in the same or a neighbouring grid cell over the widest coordinates meet;
+* if every vector lives with its nearest pivot, a partner in the cell of another pivot is
+  at least as far away as the plane halfway between the two pivots, and distances to one
+  pivot differ by less than the threshold, so a vector visits few cells and few rings there;
 * a crowded cell is cut into blocks, and every pair of blocks is one task of bounded size.
+
+Grid, pivots or plain blocks: ``similar_pairs`` counts on a bounded sample how many pairs
+each would compare and takes the least. The choice changes the work, never the result.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,6 +32,12 @@ from ..functions.workspace import materialise
 from ..schemas import STRAIN
 
 PAIR_SCHEMA = "cell1 long, cell2 long, dist double"
+PLACE_SCHEMA = "side int, cell long, vec array<double>, home array<long>"
+# Pivots are at most so many, and at most so many bytes; every task holds them.
+MAX_PIVOTS = 4096
+PIVOT_BYTES = 8 << 20
+# Vectors on which the number of compared pairs is estimated.
+SAMPLE_VECTORS = 1024
 
 
 def history_vectors(resampled: DataFrame, key: str = "cell", point: str = "point", values: list[str] = STRAIN) -> DataFrame:
@@ -80,7 +94,9 @@ def _compare_blocks(threshold: float):
         ids_a, ids_b = left.cell.to_numpy(), right.cell.to_numpy()
         # The product form finds candidates fast; its rounding is covered by the slack,
         # and the kept candidates are then measured directly.
-        centre = a.mean(axis=0)
+        # A vector that is not finite is near nothing and must not move the centre of the others.
+        finite = np.isfinite(a).all(axis=1)
+        centre = a[finite].mean(axis=0) if finite.any() else np.zeros(a.shape[1])
         ca, cb = a - centre, b - centre
         na, nb = (ca * ca).sum(axis=1), (cb * cb).sum(axis=1)
         out = [empty]
@@ -109,21 +125,199 @@ def _task(i: Column, j: Column) -> Column:
     return F.struct("home", "other", i.alias("i"), j.alias("j")).alias("task")
 
 
-def similar_pairs(classes: DataFrame, threshold: float, axes: int = 2, block_rows: int = 1024) -> DataFrame:
+@dataclass(frozen=True)
+class Pivots:
+    """Vectors that own a cell each. ``width``: of a ring of distances around a pivot; ``slack``: most
+    that rounding can change a squared distance between a vector and a pivot."""
+
+    points: np.ndarray
+    threshold: float
+    width: float
+    slack: float
+
+    def squared(self, vecs: np.ndarray) -> np.ndarray:
+        """Squared distances of vectors and pivots, within the slack."""
+        centre = self.points.mean(axis=0)
+        p, v = self.points - centre, vecs - centre
+        return (v * v).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2.0 * v @ p.T
+
+    def visited(self, vecs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(home, visits): the nearest pivot of each vector, and which other cells it has to visit.
+
+        ``d(x,q)^2 - d(x,p)^2`` changes by at most ``2 d(p,q)`` per unit of distance and is not above 0 for
+        a vector of pivot q, so x of pivot p has partners there only if it is at most
+        ``2 * threshold * d(p,q)``. Only the cell of the smaller pivot is visited: a pair meets once.
+        """
+        squared = self.squared(vecs)
+        home = squared.argmin(axis=1)
+        least = np.take_along_axis(squared, home[:, None], axis=1)
+        apart = np.sqrt(np.maximum(self.squared(self.points[home]) + self.slack, 0.0))
+        visits = squared - least <= 2.0 * self.threshold * apart + 4.0 * self.slack
+        return home, visits & (np.arange(len(self.points))[None, :] < home[:, None])
+
+    def places(self, vecs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, pivot, ring, is home) of every cell a vector lives in or visits, homes first."""
+        home, visits = self.visited(vecs)
+        row, cell = np.nonzero(visits)
+        row = np.concatenate([np.arange(len(vecs)), row])
+        cell = np.concatenate([home, cell])
+        ring = np.empty(len(row), dtype=np.int64)
+        for s in range(0, len(row), 4096):
+            apart = vecs[row[s : s + 4096]] - self.points[cell[s : s + 4096]]
+            ring[s : s + 4096] = np.sqrt((apart * apart).sum(axis=1)) // self.width
+        return row, cell, ring, np.arange(len(row)) < len(vecs)
+
+
+def _sampled(classes: DataFrame, rows: int, seed: int) -> np.ndarray:
+    """Vectors of the least hashes of their ids: the same for any partitioning."""
+    found = classes.select("vec").orderBy(F.xxhash64("cell", F.lit(seed)), "cell").limit(rows).collect()
+    return np.array([r["vec"] for r in found], dtype=float)
+
+
+def choose_pivots(classes: DataFrame, threshold: float, block_rows: int = 1024, pivots: int | None = None) -> Pivots | None:
+    """Pivots drawn from the vectors by hash: about the root of their number, bounded in rows and bytes.
+
+    Rings are never narrower than the threshold, and wider where a cell holds few vectors. None
+    without vectors, or where a vector has no coordinate or no finite length.
+    """
+    rows, dims = classes.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    if not rows or not dims:
+        return None
+    wanted = pivots or math.ceil(math.sqrt(rows))
+    points = _sampled(classes, max(1, min(wanted, MAX_PIVOTS, PIVOT_BYTES // (8 * dims))), 1)
+    centre = F.array(*[F.lit(float(c)) for c in points.mean(axis=0)])
+    shifted = F.zip_with("vec", centre, lambda x, c: x - c)
+    length = F.aggregate(shifted, F.lit(0.0), lambda total, x: total + x * x)
+    most = math.sqrt(classes.agg(F.max(length)).first()[0]) * (1 + 1e-9)
+    if not math.isfinite(4 * most * most):
+        return None
+    slack = 1e-14 * dims * 4.0 * most * most
+    trial = Pivots(points, threshold, 1.0, slack)
+    nearest = trial.squared(_sampled(classes, SAMPLE_VECTORS, 2)).min(axis=1)
+    rings = math.ceil(rows / len(points) / block_rows)
+    reach = math.sqrt(max(float(nearest.max()), 0.0) + slack)
+    # A ring is a little wider than the threshold so that rounding cannot part a pair by two rings.
+    return Pivots(points, threshold, max(1.001 * threshold + 1e-14 * dims * most, reach / rings), slack)
+
+
+def pivot_share(found: Pivots, sample: np.ndarray) -> tuple[float, float]:
+    """(share of all ordered pairs that are compared, cells each vector is sent to) on a sample."""
+    row, cell, ring, home = found.places(sample)
+    lives: dict[tuple[int, int], int] = {}
+    for c, r in zip(cell[home], ring[home]):
+        lives[c, r] = lives.get((c, r), 0) + 1
+    met = 0.0
+    for c, r, h in zip(cell, ring, home):
+        own = lives.get((c, r), 0)
+        met += (own / 2 if h else own + lives.get((c, r - 1), 0)) + lives.get((c, r + 1), 0)
+    return met / len(sample) ** 2, len(row) / len(sample)
+
+
+def grid_share(positions: list[int], threshold: float, sample: np.ndarray) -> float:
+    """Share of all pairs that lie in the same or a neighbouring cell of the grid, on a sample."""
+    cells = np.floor(sample[:, positions] / (1.001 * threshold))
+    near = sum(int((np.abs(cells - c) <= 1).all(axis=1).sum()) for c in cells)
+    return near / len(sample) ** 2 / 2
+
+
+def pair_tasks(classes: DataFrame, threshold: float, axes: int = 2, block_rows: int = 1024, method: str | None = None,
+               pivots: int | None = None) -> DataFrame:
+    """(side, cell, vec, task): the vectors that each unit of work compares.
+
+    ``method``: ``grid``, ``pivots`` or ``blocks``; None takes the one with the fewest pairs on a sample
+    (blocks where all vectors fill two at most). A grid without a wide coordinate, and pivots among
+    vectors that are empty or not finite, become blocks.
+    """
+    if threshold <= 0:
+        raise ValueError("the threshold must be positive")
+    if method is None and classes.count() <= 2 * block_rows:
+        method = "blocks"
+    positions = widest_coordinates(classes, threshold, axes) if method in (None, "grid") else []
+    found = choose_pivots(classes, threshold, block_rows, pivots) if method in (None, "pivots") else None
+    if method is None:
+        sample = _sampled(classes, SAMPLE_VECTORS, 3)
+        shares = {"blocks": 0.5}
+        if len(sample) and positions:
+            shares["grid"] = grid_share(positions, threshold, sample)
+        if len(sample) and found:
+            share, copies = pivot_share(found, sample)
+            # Vectors are moved as well as compared: more copies than blocks give nothing.
+            if copies <= max(4.0, classes.count() / block_rows):
+                shares["pivots"] = share
+        method = min(shares, key=lambda m: (shares[m], m))
+    if method == "grid" and positions:
+        return _cell_tasks(classes, positions, threshold, block_rows)
+    if method == "pivots" and found:
+        return _pivot_tasks(classes, found, block_rows)
+    return _block_tasks(classes, block_rows)
+
+
+def compared_pairs(tasks: DataFrame) -> int:
+    """Number of pairs of vectors that the tasks compare."""
+    left, right = F.count_if(F.col("side") == 0), F.count_if(F.col("side") == 1)
+    own = (F.col("task.home") == F.col("task.other")) & (F.col("task.i") == F.col("task.j"))
+    sizes = tasks.groupBy("task").agg(left.alias("l"), right.alias("r"))
+    pairs = F.when(own, F.floor(F.col("l") * (F.col("l") - 1) / 2)).otherwise(F.col("l") * F.col("r"))
+    return sizes.agg(F.coalesce(F.sum(pairs), F.lit(0))).first()[0]
+
+
+def similar_pairs(classes: DataFrame, threshold: float, axes: int = 2, block_rows: int = 1024, method: str | None = None,
+                  pivots: int | None = None) -> DataFrame:
     """All pairs of distinct vectors with L2 distance below ``threshold``.
 
     ``classes``: (cell, vec), vectors distinct. Output (cell1 < cell2, dist).
     """
-    if threshold <= 0:
-        raise ValueError("the threshold must be positive")
-    positions = widest_coordinates(classes, threshold, axes)
-    if positions:
-        tasks = _cell_tasks(classes, positions, threshold, block_rows)
-    else:
-        tasks = _block_tasks(classes, block_rows)
+    tasks = pair_tasks(classes, threshold, axes, block_rows, method, pivots)
     return tasks.groupBy("task").applyInPandas(_compare_blocks(threshold), PAIR_SCHEMA)
 
 
+def _place(found: Pivots):
+    """Rows of the cells that the vectors of a batch live in or visit."""
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 1024):
+                part = batch.iloc[start : start + 1024]
+                row, cell, ring, home = found.places(np.stack(part.vec.to_numpy()))
+                for s in range(0, len(row), 8192):
+                    r, c, g = row[s : s + 8192], cell[s : s + 8192], ring[s : s + 8192]
+                    yield pd.DataFrame({
+                        "side": np.where(home[s : s + 8192], 0, 1).astype(np.int32), "cell": part.cell.to_numpy()[r],
+                        "vec": part.vec.to_numpy()[r], "home": list(np.stack([c, g], axis=1)),
+                    })
+
+    return place
+
+
+def _pivot_tasks(classes: DataFrame, found: Pivots, block_rows: int) -> DataFrame:
+    """Vectors of a ring meet those of the same and the next ring, and the visitors of three rings.
+
+    A ring's rows are cut into blocks before they meet anything, so no key holds a whole ring.
+    """
+    placed = classes.select("cell", "vec").mapInPandas(_place(found), PLACE_SCHEMA)
+    placed = materialise(placed, "placed")
+    counts = placed.groupBy("home", "side").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block_rows))).cast("int").alias("nb"))
+    lives = counts.filter("side = 0").select(F.col("home"), F.col("nb"))
+
+    # Which rings meet: homes with homes of the same and the next ring, visitors with three rings.
+    reach = F.when(F.col("side") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    meetings = (
+        counts.select("side", F.col("home").alias("other"), F.col("nb").alias("nb_other"), F.explode(reach).alias("_s"))
+        .withColumn("home", F.array(F.get("other", F.lit(0)), F.get("other", F.lit(1)) - F.col("_s")))
+        .drop("_s").join(lives, "home")
+    )
+    # A visitor's ring is told from the ring that lives there by a third number.
+    mark = F.concat("other", F.array(F.col("side").cast("long")))
+    meetings = meetings.withColumns({"home": F.concat("home", F.array(F.lit(0).cast("long"))), "other": mark})
+    where = F.concat("home", F.array(F.col("side").cast("long")))
+    crowded = counts.filter("nb > 1").select(where.alias("home"), F.col("nb").alias("_nb"))
+    own = F.pmod(F.xxhash64("cell"), F.coalesce("_nb", F.lit(1))).cast("int")
+    tagged = join_group_stats(placed.select("cell", "vec", where.alias("home")), crowded, ["home"], "left").select(
+        "cell", "vec", "home", own.alias("own")
+    )
+    return _meet(tagged, meetings.select("home", "nb", "other", "nb_other"))
+
+
 def _block_tasks(classes: DataFrame, block_rows: int) -> DataFrame:
     """No coordinate can part the vectors: every block goes to one task with every other."""
     blocks = max(1, math.ceil(classes.count() / block_rows))
@@ -161,6 +355,11 @@ def _cell_tasks(classes: DataFrame, positions: list[int], threshold: float, bloc
     crowded = blocks.filter("nb > 1").withColumnRenamed("nb", "_nb")
     own = F.pmod(F.xxhash64("cell"), F.coalesce("_nb", F.lit(1))).cast("int")
     tagged = join_group_stats(placed, crowded, ["home"], "left").select("cell", "vec", "home", own.alias("own"))
+    return _meet(tagged, cell_pairs)
+
+
+def _meet(tagged: DataFrame, cell_pairs: DataFrame) -> DataFrame:
+    """Tasks of every pair of blocks of the given pairs of cells (home, nb, other, nb_other)."""
     same = F.col("home") == F.col("other")
 
     def each(count: str) -> Column:
@@ -185,14 +384,14 @@ def _cell_tasks(classes: DataFrame, positions: list[int], threshold: float, bloc
 
 
 def similar_histories(vectors: DataFrame, threshold: float, key: str = "cell", axes: int = 2,
-                      block_rows: int = 1024) -> tuple[DataFrame, DataFrame, DataFrame]:
+                      block_rows: int = 1024, method: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges, classes, members) of a table of vectors.
 
     Edges join distinct vectors. Points with equal vectors are found in ``members``: they
     are at distance 0 of each other and share all edges of their class.
     """
     classes = materialise(vector_classes(vectors, key), "classes")
-    edges = similar_pairs(classes, threshold, axes, block_rows)
+    edges = similar_pairs(classes, threshold, axes, block_rows, method)
     return edges, classes.select("cell", "copies"), class_members(vectors, classes, key)
 
 

@@ -15,6 +15,8 @@ from .tables import HISTORY_SQL, load, register, supplier_histories
 THRESHOLD = 1.19
 POINTS = 10
 HISTORY_THRESHOLD = 90.0
+# About one partner per history: what a threshold for copying a simulation leaves.
+NEAR_THRESHOLD = 65.0
 
 
 def embedding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,6 +215,12 @@ register(
     f"WITH RECURSIVE {HISTORY_PAIRS} SELECT * FROM pairs",
     ["dist"],
 )
+register(
+    "near_histories",
+    lambda spark, sf: similarity.similar_histories(history_vectors(spark, sf), NEAR_THRESHOLD)[0],
+    f"WITH RECURSIVE {HISTORY_PAIRS} SELECT * FROM pairs WHERE dist < {NEAR_THRESHOLD}::DOUBLE",
+    ["dist"],
+)
 register(
     "history_mapping",
     lambda spark, sf: mapping_of(history_vectors(spark, sf), HISTORY_THRESHOLD),

@@ -97,6 +97,65 @@ def test_similar_pairs_equal_brute_force(spark, axes, block):
     assert np.allclose([got[k] for k in expect], list(expect.values()), rtol=1e-12)
 
 
+def _unit_clusters(seed, groups, members, dims, noise):
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(size=(groups, dims))
+    middles /= np.linalg.norm(middles, axis=1)[:, None]
+    vecs = np.repeat(middles, members, axis=0) + noise * rng.normal(size=(groups * members, dims))
+    return vecs / np.linalg.norm(vecs, axis=1)[:, None]
+
+
+def _table(spark, vecs):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "cell long, vec array<double>")
+
+
+@pytest.mark.parametrize("method, block", [("pivots", 16), ("pivots", 1024), ("grid", 16), ("blocks", 16), (None, 16)])
+def test_every_method_finds_all_pairs(spark, method, block):
+    """Clusters, a crowded spot, far outliers and vectors on the border between two pivots."""
+    rng = np.random.default_rng(8)
+    vecs = np.concatenate([
+        rng.normal(size=(120, 5)), 0.2 * rng.normal(size=(150, 5)) + 3, 40 * rng.normal(size=(20, 5)),
+        np.outer(np.linspace(-4, 4, 60), np.ones(5)),
+    ])
+    for threshold in (0.3, 1.0, 8.0):
+        got = similarity.similar_pairs(_table(spark, vecs), threshold, 2, block, method).collect()
+        expect = brute(vecs, threshold)
+        assert {(r.cell1, r.cell2) for r in got} == expect.keys() and len(got) == len(expect)
+
+
+def test_pivots_compare_few_pairs_of_unit_vectors(spark):
+    """No coordinate parts the clusters; cells of pivots do, and the choice falls on them."""
+    vecs = _unit_clusters(1, 60, 50, 16, 0.03)
+    df = _table(spark, vecs).cache()
+    assert similarity.compared_pairs(similarity.pair_tasks(df, 0.1, method="blocks")) == len(vecs) * (len(vecs) - 1) // 2
+    chosen = similarity.compared_pairs(similarity.pair_tasks(df, 0.1))
+    assert chosen == similarity.compared_pairs(similarity.pair_tasks(df, 0.1, method="pivots")) < 0.05 * len(vecs) ** 2
+    got = similarity.similar_pairs(df, 0.1).collect()
+    assert {(r.cell1, r.cell2) for r in got} == brute(vecs, 0.1).keys()
+
+
+def test_rings_part_a_cell(spark):
+    """One pivot alone: only rings of distances to it keep vectors apart."""
+    vecs = np.random.default_rng(3).normal(size=(600, 2)) * 20
+    df = _table(spark, vecs).cache()
+    tasks = similarity.pair_tasks(df, 0.5, 2, 8, "pivots", 1)
+    assert similarity.compared_pairs(tasks) < 0.1 * 600**2
+    got = similarity.similar_pairs(df, 0.5, 2, 8, "pivots", 1).collect()
+    assert {(r.cell1, r.cell2) for r in got} == brute(vecs, 0.5).keys()
+
+
+def test_pivots_far_from_origin_empty_and_not_finite(spark):
+    base = np.full(60, 1000.0)
+    vecs = np.array([base + i * 1e-7 for i in range(8)] + [base + 1e-3 * i for i in range(1, 5)])
+    got = similarity.similar_pairs(_table(spark, vecs), 1e-6, method="pivots").collect()
+    assert {(r.cell1, r.cell2) for r in got} == brute(vecs, 1e-6).keys()
+    empty = spark.createDataFrame([], "cell long, vec array<double>")
+    assert similarity.similar_pairs(empty, 1.0, method="pivots").count() == 0
+    odd = np.array([[0.0, 0.0], [0.1, 0.0], [np.nan, 0.0], [np.inf, 0.0]])
+    got = similarity.similar_pairs(_table(spark, odd), 1.0, method="pivots").collect()
+    assert [(r.cell1, r.cell2) for r in got] == [(0, 1)]
+
+
 def test_tiny_threshold_far_from_origin(spark):
     base = np.full(60, 1000.0)
     vecs = [base + i * 1e-7 for i in range(8)] + [base + 1e-3 * i for i in range(1, 5)]
