@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.workspace import materialise
+from .columns import by_place
 from .shingles import _column_bytes, mix, slices
 
 # Chunks of 16 to 256 bytes, 32 on average; the rolling hash looks at 16 bytes.
@@ -145,12 +146,16 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def remove_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the copies among ``passages``; the kept place of each passage stays.
 
-    All columns and rows stay; a document that is nothing but copies gets an empty text.
+    All columns and rows stay, whatever the names and types of other columns; a document
+    that is nothing but copies gets an empty text.
     """
+    plain = by_place(docs)
+    names, (at, place) = plain.columns, (docs.columns.index(c) for c in (key, text))
+    id_, whole = F.col(names[at]), F.col(names[place])
     copies = passages.filter(~F.col("kept")).groupBy(F.col(key).alias("_key"), F.col("text_hash").alias("_hash")).agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
-    met = docs.join(copies, (F.col(key) == F.col("_key")) & (F.xxhash64(text) == F.col("_hash")), "left").drop("_key", "_hash")
-    body = F.col(text).cast("binary")
+    met = plain.join(copies, (id_ == F.col("_key")) & (F.xxhash64(whole) == F.col("_hash")), "left")
+    body = whole.cast("binary")
     n = F.size("_cuts")
     # What lies between two cuts, before the first and after the last.
     kept = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(
@@ -158,4 +163,5 @@ def remove_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id", t
         F.greatest(F.lit(0), F.when(i == n, F.octet_length(body)).otherwise(F.get("_cuts", i)["start"])
                    - F.when(i == 0, F.lit(0)).otherwise(F.get("_cuts", i - 1)["end"])).cast("int")))
     joined = F.aggregate(kept, F.lit("").cast("binary"), lambda a, x: F.concat(a, x)).cast("string")
-    return met.withColumn(text, F.when(n > 0, joined).otherwise(F.col(text))).drop("_cuts")
+    left = F.when(n > 0, joined).otherwise(whole)
+    return met.select(*[left.alias(c) if i == place else c for i, c in enumerate(names)]).toDF(*docs.columns)

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def by_place(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named c0, c1, ...: dots, repeats and names that operators use inside do no harm."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
 def map_columns(
     docs: DataFrame, read: str, made: str, function: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list]]],
     keep: bool = True,
@@ -23,7 +28,7 @@ def map_columns(
     new = StructType.fromDDL(made)
     at = docs.columns.index(read)
     kept = [i for i, c in enumerate(docs.columns) if c not in new.names and (keep or i != at)]
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    plain = by_place(docs)
     plain = plain.select(*[f"c{i}" for i in kept], plain[f"c{at}"].alias("text"))
     schema = StructType([*plain.schema.fields[:-1], *new.fields])
 

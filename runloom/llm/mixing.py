@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.workspace import materialise
+from .columns import by_place
 
 # Poisson means above this are drawn as a sum of independent parts.
 PART_MEAN = 8.0
@@ -77,19 +78,21 @@ def mix_sources(
     gives the same mix. Rows of a source that ``rates`` does not name are left out, since
     their target is 0; a null source meets the null source. Copies of one document are
     numbered from 0 and lie anywhere: the result is range-partitioned and sorted by a hash
-    of seed, copy and key. Other columns pass through; those named like a result column
-    are replaced.
+    of seed, copy and key. Other columns pass through whatever their names and types; those
+    named like a result column are replaced.
     """
     rates = rates.select(
         F.col("source").alias("_source"), poisson_parts(F.col("rate")).alias("_parts"),
         poisson_distribution(F.col("rate")).alias("_below"))
     if rates.count() <= broadcast_sources:
         rates = F.broadcast(rates)
-    docs = docs.drop(copy, order)
-    text_key = F.col(key).cast("string")
-    counted = docs.join(rates, F.col(source).eqNullSafe(F.col("_source")))
+    kept = [i for i, c in enumerate(docs.columns) if c not in (copy, order)]
+    id_, from_ = (F.col(f"c{docs.columns.index(c)}") for c in (key, source))
+    text_key = id_.cast("string")
+    counted = by_place(docs).select(*[f"c{i}" for i in kept]).join(rates, from_.eqNullSafe(F.col("_source")))
     times = F.array_repeat(F.lit(0), poisson_count(F.col("_parts"), F.col("_below"), seed, text_key))
-    copies = counted.select(*[F.col(f"`{c}`") for c in docs.columns], F.posexplode(times).alias(copy, "_unused")).drop("_unused")
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col(copy).cast("string"), text_key))
-    keyed = copies.withColumn(order, F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
-    return keyed.repartitionByRange(order).sortWithinPartitions(order, key, copy)
+    copies = counted.select(*[f"c{i}" for i in kept], F.posexplode(times).alias("_copy", "_unused")).drop("_unused")
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col("_copy").cast("string"), text_key))
+    keyed = copies.withColumn("_order", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
+    ordered = keyed.repartitionByRange("_order").sortWithinPartitions("_order", id_, "_copy")
+    return ordered.toDF(*[docs.columns[i] for i in kept], copy, order)

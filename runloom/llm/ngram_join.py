@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.workspace import discard, materialise, release
+from .columns import by_place
 from .components import connected_components
 from .shingles import mix, shingle_hashes, slices
 
@@ -581,16 +582,22 @@ def keep_one(
     """``docs`` with one row for each component of linked documents: that of the smallest key.
 
     Of rows with equal keys the one whose text is first in order stays. Rows with a null
-    key, which cannot be told apart, all stay. Columns are unchanged.
+    key, which cannot be told apart, all stay. Columns are unchanged, whatever the names and
+    types of the others are.
     """
-    placed = materialise(jaccard_components(docs, key, text, words, percent, broadcast_ids), "components")
-    gone = placed.filter(F.col("component_id") != F.col(key)).select(F.col(key).alias("_gone")).distinct()
-    again = placed.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_again")).count().filter("count > 1").select("_again")
+    plain = by_place(docs)
+    id_, body = (f"c{docs.columns.index(c)}" for c in (key, text))
+    placed = materialise(jaccard_components(plain.select(id_, body), id_, body, words, percent, broadcast_ids), "components")
+    gone = placed.filter(F.col("component_id") != F.col(id_)).select(F.col(id_).alias("_gone")).distinct()
+    again = placed.filter(F.col(id_).isNotNull()).groupBy(F.col(id_).alias("_again")).count().filter("count > 1").select("_again")
     small = lambda df: F.broadcast(df) if df.count() <= broadcast_ids else df
     gone, again = small(materialise(gone, "gone")), small(materialise(again, "again"))
-    left = docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
-    once = left.join(again, F.col(key) == F.col("_again"), "left_anti")
-    first = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last(), *[F.col(f"`{c}`") for c in docs.columns if c not in (key, text)])
-    several = left.join(again, F.col(key) == F.col("_again"), "left_semi").withColumn(
+    left = plain.join(gone, F.col(id_) == F.col("_gone"), "left_anti")
+    once = left.join(again, F.col(id_) == F.col("_again"), "left_anti")
+    # Maps have no order of their own.
+    others = [F.to_json(f.name) if "map<" in f.dataType.simpleString() else F.col(f.name)
+              for f in plain.schema.fields if f.name not in (id_, body)]
+    first = Window.partitionBy(id_).orderBy(F.col(body).asc_nulls_last(), *others)
+    several = left.join(again, F.col(id_) == F.col("_again"), "left_semi").withColumn(
         "_place", F.row_number().over(first)).filter("_place = 1").drop("_place")
-    return once.unionByName(several)
+    return once.unionByName(several).toDF(*docs.columns)

@@ -11,6 +11,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import map_columns
+
 # Labelled rows per class that a model is fitted on, and the longest of them in bytes.
 SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 32 << 10
@@ -121,16 +123,15 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", out:
     """``docs`` with the probability of good quality of each whole text.
 
     Null and empty texts have no size difference and get the score of 0. Repeated rows get
-    equal scores; other columns pass through, one named like the result is replaced.
+    equal scores; other columns pass through whatever their names and types, one named like
+    the result is replaced.
     """
-    docs = docs.drop(out)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
         measure = _Measure(model.good, model.bad)
         for batch in batches:
-            x = np.array([measure.difference(t.as_py()) for t in batch.column(text)], dtype=float)
+            x = np.array([measure.difference(t.as_py()) for t in batch.column("text")], dtype=float)
             made = 1 / (1 + np.exp(-np.clip(model.slope * x + model.intercept, -50, 50)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], names=[*batch.schema.names, out])
+            yield batch, [pa.array(made, pa.float64())]
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(score, f"{fields}, `{out}` double")
+    return map_columns(docs, text, f"`{out}` double", score)
