@@ -244,3 +244,41 @@ def test_raw_rows_of_a_series_are_numbered_without_one_task(spark, sf_dir, many_
         plan = query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         numbered = [x for x in plan.split("\n") if "row_number()" in x and "Window [" in x]
         assert numbered and all("_part#" in x for x in numbered)
+
+
+def _dense(n=120, seed=5):
+    draw = np.random.default_rng(seed)
+    return [(int(i), int(j), 1.0) for i in range(n) for j in range(i) if draw.random() < 0.12]
+
+
+@pytest.mark.parametrize("budget", [10, 200, 100_000])
+def test_a_dense_graph_is_walked_in_few_rounds(spark, monkeypatch, budget):
+    """Nearly all nodes lie within two steps: a round of leaders alone would take about one each time."""
+    made, write = [], coarsen.materialise
+
+    def counted(df, label):
+        made.append(label)
+        return write(df, label)
+
+    monkeypatch.setattr(coarsen, "materialise", counted)
+    monkeypatch.setattr(coarsen, "WALK_EDGES", budget, raising=False)
+    edges = _dense(20 if budget == 10 else 60)
+    df = spark.createDataFrame(edges, "cell1 long, cell2 long, dist double")
+    got = {r.gp: r.rep for r in coarsen.coarsen(coarsen.build_graph(df)).collect()}
+    assert got == greedy([e[:2] for e in edges])
+    if budget == 100_000:
+        assert made == ["edges", "walk"]
+
+
+@pytest.mark.parametrize("budget,most,tie", [(40, 50_000, "id"), (60, 3, "hash")])
+def test_walks_and_rounds_agree_on_copies_and_ties(spark, monkeypatch, budget, most, tie):
+    df = spark.createDataFrame(_dense(24, 6), "cell1 long, cell2 long, dist double")
+    classes = spark.createDataFrame([(i, 1 + i % 4) for i in range(24)], "cell long, copies long")
+    graph = coarsen.build_graph(df)
+    monkeypatch.setattr(coarsen, "WALK_EDGES", 0)
+    monkeypatch.setattr(coarsen, "KEPT", 1.0)
+    want = {r.gp: r.rep for r in coarsen.coarsen(graph, classes, tie).collect()}
+    monkeypatch.setattr(coarsen, "WALK_EDGES", budget)
+    monkeypatch.setattr(coarsen, "WALK_NODES", most)
+    monkeypatch.setattr(coarsen, "KEPT", 0.0)
+    assert {r.gp: r.rep for r in coarsen.coarsen(graph, classes, tie).collect()} == want
