@@ -260,13 +260,25 @@ register(
 # --- quasi Monte Carlo on the grid: outputs are looked up at the sampled node --------
 
 
+# Base points whose outputs one task gathers: the table of customers is a small file for its rows.
+TASK_BASES = 50_000
+
+
+def base_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """(one base point per customer, their number), spread over tasks of bounded size."""
+    bases = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("base"))
+    n = bases.count()
+    return bases.repartition(max(spark.sparkContext.defaultParallelism, -(-n // TASK_BASES))), n
+
+
 def qmc_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks A, B, AB_i with one base point per customer, valued by the campaign's outputs."""
-    bases = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("base"))
+    bases = base_points(spark, sf_dir)[0]
     runs = design.quasi_random_design(bases, "base", GRID)
     values = collated(spark, sf_dir).select("discount", "tax", "qoi", "t", "value")
     runs = runs.withColumns({n: F.col(n).cast("long") for n in NAMES})
-    return runs.select("base", "block", *NAMES).join(values, NAMES)
+    # Sent to all tasks, as the grid has few nodes: by node, a few partitions would hold all runs.
+    return runs.select("base", "block", *NAMES).join(F.broadcast(values), NAMES)
 
 
 def _sobol_sql(dim: int) -> str:
@@ -349,12 +361,12 @@ def _second_sql() -> str:
 
 def qmc_second(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pair index with one base point per customer, 2 d + 2 runs each, valued by the campaign's outputs."""
-    bases = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("base"))
+    bases, designed = base_points(spark, sf_dir)
     runs = design.quasi_random_design(bases, "base", GRID, second_order=True)
     runs = runs.withColumns({n: F.col(n).cast("long") for n in NAMES})
     outputs = runs.select("base", "block", *NAMES).join(
-        collated(spark, sf_dir).select(*NAMES, "qoi", "t", "value"), NAMES)
-    return uq.qmc_second_order(outputs, NAMES, bases.count())
+        F.broadcast(collated(spark, sf_dir).select(*NAMES, "qoi", "t", "value")), NAMES)
+    return uq.qmc_second_order(outputs, NAMES, designed)
 
 
 register("qmc_sobol_second", qmc_second, _second_sql(), ["sobol_second"], 4)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions.polynomials import Marginal
 from runloom.operators import collate, design, uq
+from runloom.plans import uq_queries
 
 X1, X2 = Marginal("x1", 0.0, 1.0), Marginal("x2", 1.0, 3.0)
 MS = [X1, X2]
@@ -273,3 +274,16 @@ def test_second_order_blocks_find_the_interaction(spark):
     assert np.allclose([got["x1", "x2"], got["x1", "x3"], got["x2", "x3"]], [0.25, 0, 0], atol=0.03)
     short = uq.qmc_second_order(outputs.filter("NOT (base < 96 AND block = 'BA_x1')"), names, 5000).first()
     assert (short.n_bases, short.n_incomplete) == (4000, 1000)
+
+
+def test_qmc_outputs_are_spread_over_tasks(spark, tmp_path, monkeypatch):
+    """The customers are one small file, and the values of all their runs must not be gathered by one task."""
+    monkeypatch.setattr(uq_queries, "TASK_BASES", 10, raising=False)
+    spark.range(200).coalesce(1).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    rows = [(0.01 * i, 0.01 * j, 1, 5.0 + i, 2.0 + j) for i in range(11) for j in range(9)]
+    line = "l_discount double, l_tax double, l_linenumber long, l_extendedprice double, l_quantity double"
+    spark.createDataFrame(rows, line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = uq_queries.qmc_outputs(spark, str(tmp_path))
+    sizes = found.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in sizes) == 200 * 4 * 2 and len(sizes) >= 18
+    assert {r.n_bases for r in uq_queries.qmc_second(spark, str(tmp_path)).collect()} == {200}
