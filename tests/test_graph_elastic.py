@@ -282,3 +282,14 @@ def test_walks_and_rounds_agree_on_copies_and_ties(spark, monkeypatch, budget, m
     monkeypatch.setattr(coarsen, "WALK_NODES", most)
     monkeypatch.setattr(coarsen, "KEPT", 0.0)
     assert {r.gp: r.rep for r in coarsen.coarsen(graph, classes, tie).collect()} == want
+
+
+def test_vectors_are_sent_to_a_bounded_number_of_blocks(spark):
+    """Where every block meets every other, blocks grow before their number does; no pair is lost."""
+    draw = np.random.default_rng(8).normal(size=(400, 3))
+    classes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(draw)], "cell long, vec array<double>")
+    tasks = similarity.pair_tasks(classes, 0.5, block_rows=4, method="blocks")
+    assert tasks.count() <= 400 * similarity.MOST_BLOCKS and similarity.compared_pairs(tasks) == 400 * 399 // 2
+    got = {(r.cell1, r.cell2) for r in similarity.similar_pairs(classes, 0.5, block_rows=4, method="blocks").collect()}
+    near = np.sqrt(((draw[:, None] - draw[None]) ** 2).sum(axis=2)) < 0.5
+    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(near)) if i < j}
