@@ -13,6 +13,7 @@ after the other, until the next in order might be a node that is not among them.
 from __future__ import annotations
 
 import heapq
+import math
 from functools import reduce
 
 import numpy as np
@@ -29,16 +30,24 @@ HUB_EDGES = 100_000
 WALK_EDGES, WALK_NODES = 4_000_000, 50_000
 # The other kind of round is taken after one that leaves a larger share of the edges.
 KEPT = 0.75
+# Edges of a graph that one task makes distinct, where their number is known.
+TASK_EDGES = 1_000_000
 
 
-def build_graph(edges: DataFrame) -> DataFrame:
+def build_graph(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """Simple undirected graph: (a < b, dist, weight = 1 / dist), the least distance kept.
 
-    Self loops are dropped; distance 0 has no weight.
+    Self loops are dropped; distance 0 has no weight. ``rows``: the number of edges, if it is known
+    cheaply; they are dealt to more tasks then, so that a task holds a bounded number of pairs.
     """
+    pairs = edges.filter(F.col("cell1") != F.col("cell2")).select(
+        F.least("cell1", "cell2").alias("a"), F.greatest("cell1", "cell2").alias("b"), "dist"
+    )
+    if rows is not None:
+        least = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pairs = pairs.repartition(max(least, math.ceil(rows / TASK_EDGES)), "a", "b")
     return (
-        edges.filter(F.col("cell1") != F.col("cell2"))
-        .groupBy(F.least("cell1", "cell2").alias("a"), F.greatest("cell1", "cell2").alias("b"))
+        pairs.groupBy("a", "b")
         .agg(F.min("dist").alias("dist"))
         .withColumn("weight", F.try_divide(F.lit(1.0), F.col("dist")))
     )
@@ -49,7 +58,8 @@ def two_way(graph: DataFrame) -> DataFrame:
 
 
 def degrees(graph: DataFrame) -> DataFrame:
-    return two_way(graph).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    ends = graph.select(F.explode(F.array("a", "b")).alias("node"))
+    return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
 def max_degree_node(graph: DataFrame) -> DataFrame:

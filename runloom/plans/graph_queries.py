@@ -52,27 +52,32 @@ sym AS (SELECT a, b FROM graph UNION ALL SELECT b, a FROM graph),
 degrees AS (SELECT a AS node, count(*) AS degree FROM sym GROUP BY a),
 hub AS (SELECT node, degree FROM degrees ORDER BY degree DESC, node DESC LIMIT 1)"""
 
+
+def lineitem_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coarsen.build_graph(lineitem_edges(spark, sf_dir), load(spark, sf_dir, "lineitem").count())
+
+
 register(
     "similarity_graph",
-    lambda spark, sf: coarsen.build_graph(similarity_edge_scan(spark, sf)),
+    lambda spark, sf: coarsen.build_graph(similarity_edge_scan(spark, sf), load(spark, sf, "lineitem").count()),
     f"WITH {GRAPH_SQL} SELECT a, b, dist, 1 / dist AS weight FROM graph",
     ["dist", "weight"],
 )
 register(
     "node_degrees",
-    lambda spark, sf: coarsen.degrees(coarsen.build_graph(lineitem_edges(spark, sf))),
+    lambda spark, sf: coarsen.degrees(lineitem_graph(spark, sf)),
     f"WITH {GRAPH_SQL} SELECT * FROM degrees",
 )
 register(
     "hub_node",
-    lambda spark, sf: coarsen.max_degree_node(coarsen.build_graph(lineitem_edges(spark, sf))),
+    lambda spark, sf: coarsen.max_degree_node(lineitem_graph(spark, sf)),
     f"WITH {GRAPH_SQL} SELECT * FROM hub",
 )
 
 
 def graph_without_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Read four times below: written once.
-    graph = materialise(coarsen.build_graph(lineitem_edges(spark, sf_dir)), "graph")
+    graph = materialise(lineitem_graph(spark, sf_dir), "graph")
     gone = coarsen.neighbours_of(graph, coarsen.max_degree_node(graph))
     return coarsen.remove_nodes(graph, gone).select("a", "b", "dist")
 

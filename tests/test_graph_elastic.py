@@ -193,6 +193,17 @@ def test_apply_mapping(spark):
     assert got == [(0, 0, 5.0), (0, 1, 6.0), (1, 0, 5.0), (1, 1, 6.0), (2, 0, 7.0)]
 
 
+def test_many_edges_are_dealt_to_more_tasks(spark, many_partitions):
+    rows = [(i % 90, (i * 7) % 50, float(i % 5 + 1)) for i in range(400)]
+    df = spark.createDataFrame(rows, "cell1 long, cell2 long, dist double")
+    pairs = {(min(a, b), max(a, b)) for a, b, _ in rows if a != b}
+    graph = coarsen.build_graph(df, rows=20_000_000)
+    assert graph.rdd.getNumPartitions() == 20 and graph.count() == len(pairs)
+    assert {(r.a, r.b): r.dist for r in graph.collect()} == {(r.a, r.b): r.dist for r in coarsen.build_graph(df).collect()}
+    ends = [x for pair in pairs for x in pair]
+    assert {r.node: r.degree for r in coarsen.degrees(graph).collect()} == {x: ends.count(x) for x in set(ends)}
+
+
 def test_running_block_means(spark):
     df = spark.range(45).select(F.lit(1).alias("s"), F.col("id").alias("p"), F.col("id").cast("double").alias("v"))
     out = elastic.running_block_means(df, ["s"], "p", ["v"]).orderBy("block").collect()
