@@ -4,7 +4,8 @@ On equally spaced knots a natural spline through values that vanish at both ends
 cardinal spline of the data reflected (with changed sign) about the ends.  The cardinal
 spline falls by 2 + sqrt(3) per knot, so beyond REACH knots a weight is below the
 rounding of a double.  Each point therefore needs a bounded number of knots, however
-long the history is, and the whole job is one join and one sum.
+long the history is. Their weights depend on the length of a history alone, so histories
+of one length share them, and the whole job is one join and one sum.
 """
 
 from __future__ import annotations
@@ -14,11 +15,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .workspace import materialise
+
 # Fixed values of the cardinal cubic spline.
 DECAY = math.sqrt(3.0) - 2.0
 CURVATURE = -6.0 * math.sqrt(3.0)
 CURVATURE_AT_KNOT = 6.0 - 6.0 * math.sqrt(3.0)
 REACH = 32
+# Steps of a history that are read by one task.
+PIECE = 4096
 
 
 def _curvature(k: Column) -> Column:
@@ -61,32 +66,34 @@ def resample_histories(
     checked = F.when(
         (F.col("_s0") == 0) & (F.col("_s1") == last), last
     ).otherwise(F.raise_error(F.lit("history steps must be 0..n-1 without gaps")).cast("long"))
-    points = (
-        bounds.withColumn("_last", checked)
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(num_points - 1))))
-        .withColumn("_pos", F.col("point") * F.col("_last") / F.lit(float(num_points - 1)))
-    )
-    # Knots of the reflected line within reach, folded back to real steps.
+    bounds = bounds.withColumn("_last", checked).drop("_n", "_s0", "_s1")
+    # Knots of the reflected line within reach, folded back to real steps: the same for all histories of a length.
+    place = F.col("point") * F.col("_last") / F.lit(float(num_points - 1))
     centre = F.floor("_pos")
     period = 2 * F.col("_last")
     folded = F.pmod(F.col("_image"), period)
     knots = (
-        points.withColumn("_image", F.explode(F.sequence(centre - REACH, centre + REACH + 1)))
+        bounds.select("_last").distinct().repartition("_last")
+        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(num_points - 1))))
+        .withColumn("_pos", place)
+        .withColumn("_image", F.explode(F.sequence(centre - REACH, centre + REACH + 1)))
         .withColumn("_w", cardinal(F.col("_pos") - F.col("_image")))
         .withColumn("_f", folded)
         .withColumn("_sign", F.when(F.col("_f") <= F.col("_last"), F.lit(1.0)).otherwise(F.lit(-1.0)))
         .withColumn("_step", F.when(F.col("_f") <= F.col("_last"), F.col("_f")).otherwise(period - F.col("_f")))
-        .groupBy(*keys, "point", "_step")
-        .agg(
-            F.sum(F.col("_w") * F.col("_sign")).alias("_w"),
-            F.first("_pos").alias("_pos"),
-            F.first("_last").alias("_last"),
-            F.first("_y0").alias("_y0"),
-            F.first("_y1").alias("_y1"),
-        )
+        .groupBy("_last", "point", "_step").agg(F.sum(F.col("_w") * F.col("_sign")).alias("_w"))
+        .groupBy("_last", "_step").agg(F.collect_list(F.struct("point", "_w")).alias("_at"))
+    )
+    # Written because its size is known then: few lengths are sent to all tasks.
+    knots = materialise(knots, "knots")
+    # A piece of a history meets its length and ends in one task, a long history in several.
+    piece = F.floor(F.col("_step") / F.lit(float(PIECE)))
+    pieces = F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / F.lit(float(PIECE))))
+    rows = df.select(*keys, step_col.alias("_step"), *values).withColumn("_piece", piece)
+    met = rows.join(bounds.withColumn("_piece", F.explode(pieces)), [*keys, "_piece"])
+    joined = (
+        met.join(knots, ["_last", "_step"]).select("*", F.inline("_at")).withColumn("_pos", place)
     )
-    rows = df.select(*keys, step_col.alias("_step"), *values)
-    joined = knots.join(rows, [*keys, "_step"])
 
     def line(v: str, at: Column) -> Column:
         y0, y1 = F.col(f"_y0.{v}"), F.col(f"_y1.{v}")

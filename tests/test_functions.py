@@ -156,6 +156,21 @@ def test_spline_equals_dense_solution(spark):
     assert {r.cell for r in resample_histories(df, ["cell"], "step", ["u"], 10, min_steps=50).collect()} == {3, 4}
 
 
+def test_histories_of_one_length_share_their_knots(spark, monkeypatch):
+    from runloom.functions import spline
+
+    kept, write = [], spline.materialise
+    monkeypatch.setattr(spline, "materialise", lambda df, label: kept.append(write(df, label)) or kept[-1])
+    monkeypatch.setattr(spline, "PIECE", 4)
+    rng = np.random.default_rng(5)
+    ys = {c: rng.normal(size=9 if c % 2 else 30) for c in range(40)}
+    df = spark.createDataFrame([(c, s, float(v)) for c, y in ys.items() for s, v in enumerate(y)], "cell long, step int, u double")
+    got = resample_histories(df, ["cell"], "step", ["u"], 7).orderBy("cell", "point").collect()
+    assert kept[0].count() == 9 + 30
+    for c, y in ys.items():
+        assert np.allclose([r.u for r in got if r.cell == c], natural_spline(y, 7), atol=1e-10)
+
+
 def test_spline_rejects_gaps(spark):
     df = spark.createDataFrame([(0, 0, 1.0), (0, 2, 2.0)], "cell long, step int, u double")
     with pytest.raises(Exception, match="without gaps"):
