@@ -22,26 +22,38 @@ def averaging_width(total: Column) -> Column:
     return F.greatest(F.lit(1), F.when(total > 10000, wide).otherwise(narrow)).cast("long")
 
 
+def _block_means(
+    df: DataFrame, keys: list[str], position: str, columns: list[str], width: Column | None, rows: DataFrame | None,
+    size: str | None,
+) -> DataFrame:
+    """Mean of each full block of samples: keys, block and a column ``<name>_block`` each."""
+    if size is None:
+        sizes = (df if rows is None else rows).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        sized = join_group_stats(df, sizes, keys)
+    else:
+        # A series without a full key is no series, as in the join.
+        sized = df.na.drop(subset=keys).withColumn("_n", F.col(size))
+    return (
+        sized.withColumn("_nav", averaging_width(F.col("_n")) if width is None else width)
+        .groupBy(*keys, F.floor(F.col(position) / F.col("_nav").cast("double")).cast("long").alias("block"))
+        .agg(F.count(F.lit(1)).alias("_rows"), F.first("_nav").alias("_nav"), *[F.avg(c).alias(f"{c}_block") for c in columns])
+        .filter(F.col("_rows") == F.col("_nav"))
+        .select(*keys, "block", *[f"{c}_block" for c in columns])
+    )
+
+
 def running_block_means(
     df: DataFrame, keys: list[str], position: str, columns: list[str], width: Column | None = None,
-    rows: DataFrame | None = None,
+    rows: DataFrame | None = None, size: str | None = None,
 ) -> DataFrame:
     """Mean of each full block of samples, then the mean of all blocks so far.
 
     ``position`` is the 0-based sample number of a series. The blocks of a series are at
     most about a thousand, so the ordered part is small however long the series is.
-    ``width`` may use ``_n``, the number of samples of the series. ``rows`` may name the
-    table to count samples from, where that is cheaper to read than ``df``.
+    ``width`` may use ``_n``, the number of samples of the series. ``size`` names a column of ``df`` that
+    holds that number; else ``rows`` may name the table to count samples from, where that is cheaper to read.
     """
-    sizes = (df if rows is None else rows).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_nav", averaging_width(F.col("_n")) if width is None else width
-    )
-    blocks = (
-        join_group_stats(df, sizes, keys)
-        .groupBy(*keys, F.floor(F.col(position) / F.col("_nav").cast("double")).cast("long").alias("block"))
-        .agg(F.count(F.lit(1)).alias("_rows"), F.first("_nav").alias("_nav"), *[F.avg(c).alias(f"{c}_block") for c in columns])
-        .filter(F.col("_rows") == F.col("_nav"))
-    )
+    blocks = _block_means(df, keys, position, columns, width, rows, size)
     so_far = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     return blocks.select(
         *keys, "block", *[f"{c}_block" for c in columns],
@@ -49,22 +61,26 @@ def running_block_means(
     )
 
 
+def _mean_of_blocks(blocks: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The running mean at the last block of a series."""
+    return blocks.groupBy(*keys).agg(*[F.avg(f"{c}_block").alias(c) for c in columns])
+
+
 def average_lengths(
-    df: DataFrame, keys: list[str], position: str, columns: list[str], rows: DataFrame | None = None
+    df: DataFrame, keys: list[str], position: str, columns: list[str], rows: DataFrame | None = None,
+    size: str | None = None,
 ) -> DataFrame:
     """Cell lengths averaged in blocks of half the run, then over the blocks."""
     half = F.greatest(F.lit(1), F.floor(F.col("_n") / F.lit(2.0))).cast("long")
-    return _final(running_block_means(df, keys, position, columns, half, rows), keys, columns)
-
+    return _mean_of_blocks(_block_means(df, keys, position, columns, half, rows, size), keys, columns)
 
-def _final(running: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    return running.groupBy(*keys).agg(*[F.max_by(f"{c}_running", "block").alias(c) for c in columns])
 
-
-def averaged_stress(samples: DataFrame, position: str = "position", rows: DataFrame | None = None) -> DataFrame:
+def averaged_stress(
+    samples: DataFrame, position: str = "position", rows: DataFrame | None = None, size: str | None = None
+) -> DataFrame:
     """Final running mean per (material, dir, ori); dir 0 is the undeformed state."""
     keys = ["material", "dir", "ori"]
-    return _final(running_block_means(samples, keys, position, PRESSURES, rows=rows), keys, PRESSURES)
+    return _mean_of_blocks(_block_means(samples, keys, position, PRESSURES, None, rows, size), keys, PRESSURES)
 
 
 def strain_sign(e: Column) -> Column:

@@ -29,16 +29,18 @@ ORI_SQL = "CASE WHEN l_linenumber = 1 THEN 'org' WHEN l_linestatus = 'O' THEN 'p
 ORDER = ["l_shipdate", "l_orderkey", *PRESSURES]
 
 
-def stress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("material"), (F.col("l_linenumber") - 1).cast("long").alias("dir"),
-        F.expr(ORI_SQL).alias("ori"), "l_shipdate", "l_orderkey", *[F.expr(e).alias(n) for n, e in PRESSURE_SQL.items()],
-    )
+# The same order by the columns they are made of: a root keeps the order.
+MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def averaged_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = stress_lines(spark, sf_dir)
-    return elastic.averaged_stress(with_spread_ordinal(line, KEYS, ORDER, "position"), rows=line)
+    line = load(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("material"), (F.col("l_linenumber") - 1).cast("long").alias("dir"),
+        F.expr(ORI_SQL).alias("ori"), "l_shipdate", "l_orderkey", *MEASURES,
+    )
+    placed = with_spread_ordinal(line, KEYS, ["l_shipdate", "l_orderkey", *MEASURES], "position", "samples")
+    samples = placed.select(*KEYS, "position", "samples", *[F.expr(e).alias(n) for n, e in PRESSURE_SQL.items()])
+    return elastic.averaged_stress(samples, size="samples")
 
 
 NAV = "greatest(1, CASE WHEN n > 10000 THEN n // 1000 ELSE n // 10 END)"
@@ -75,8 +77,8 @@ def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("run_id"), "o_orderkey", F.sqrt("o_totalprice").alias("lx"),
         F.sqrt(F.col("o_totalprice") + F.month("o_orderdate")).alias("ly"), F.sqrt(F.col("o_totalprice") * 2).alias("lz"),
     )
-    placed = with_spread_ordinal(orders, ["run_id"], ["o_orderkey"], "position")
-    return elastic.average_lengths(placed, ["run_id"], "position", ["lx", "ly", "lz"], orders)
+    placed = with_spread_ordinal(orders, ["run_id"], ["o_orderkey"], "position", "samples")
+    return elastic.average_lengths(placed, ["run_id"], "position", ["lx", "ly", "lz"], size="samples")
 
 
 register(

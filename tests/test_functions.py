@@ -103,6 +103,18 @@ def test_spread_ordinal_splits_one_repeated_value(spark, many_partitions):
     assert placed.groupBy("p").count().agg(F.max("count")).first()[0] < 2000
 
 
+def test_spread_ordinal_counts_the_rows_of_groups_of_any_size(spark, many_partitions):
+    """Groups inside a partition and over several ones, a null key; equal rows need no hash to be told apart."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 1).when(F.col("id") < 2990, 2).alias("k"), "id")
+    placed = with_spread_ordinal(df.repartition(6), ["k"], ["id"], "at", "n")
+    assert placed.columns == ["k", "id", "at", "n"]
+    rows = placed.collect()
+    for k in (1, 2, None):
+        mine = sorted((r.id, r["at"], r.n) for r in rows if r.k == k)
+        assert [(at, n) for _, at, n in mine] == [(i, len(mine)) for i in range(len(mine))]
+    assert len(rows) == 3000
+
+
 def test_salt_spreads_a_group_that_lies_in_one_partition(spark, many_partitions):
     from runloom.functions.joins import join_group_stats
 

@@ -204,6 +204,18 @@ def test_many_edges_are_dealt_to_more_tasks(spark, many_partitions):
     assert {r.node: r.degree for r in coarsen.degrees(graph).collect()} == {x: ends.count(x) for x in set(ends)}
 
 
+def test_sized_samples_average_as_counted_ones(spark):
+    """The number of samples of a series may come with the rows; a series without a full key is left out."""
+    rows = [(m, 0, "org", p) for m in (1, 2, None) for p in range(25 if m == 1 else 7)]
+    df = spark.createDataFrame(rows, "material long, dir long, ori string, position long").withColumns(
+        {p: (F.col("position") * (i + 1.0) + 1.0) for i, p in enumerate(elastic.PRESSURES)})
+    sizes = df.groupBy("material").agg(F.count(F.lit(1)).alias("n"))
+    sized = df.join(sizes.withColumnRenamed("material", "_m"), F.col("material").eqNullSafe(F.col("_m"))).drop("_m")
+    got = sorted(tuple(r) for r in elastic.averaged_stress(sized, size="n").collect())
+    assert np.allclose([g[3:] for g in got], [r[3:] for r in sorted(tuple(r) for r in elastic.averaged_stress(df).collect())])
+    assert [g[0] for g in got] == [1, 2] and np.isclose(got[0][3], np.arange(24).mean() + 1.0)
+
+
 def test_running_block_means(spark):
     df = spark.range(45).select(F.lit(1).alias("s"), F.col("id").alias("p"), F.col("id").cast("double").alias("v"))
     out = elastic.running_block_means(df, ["s"], "p", ["v"]).orderBy("block").collect()
