@@ -10,6 +10,10 @@ from .. import schemas
 
 # Fixed value: the column Spark offers for the file of a row.
 PATH = "_metadata.file_path"
+# Lines that meet in one group of a long file.
+PIECE_LINES = 100_000
+# Tables with a few rows a file are sent to all tasks where there are at most so many files.
+FEW_FILES = 10_000
 
 
 def from_path(pattern: str, group: int = 1) -> Column:
@@ -82,11 +86,16 @@ def similarity_edges(spark: SparkSession, path, name_filter: str = "last.*.simil
     )
 
 
+def _sent(table: DataFrame, lines: DataFrame) -> DataFrame:
+    return F.broadcast(table) if len(lines.inputFiles()) <= FEW_FILES else table
+
+
 def numbered_lines(spark: SparkSession, path, path_filter: str | None = None) -> DataFrame:
-    """Text lines with their 0-based number in the file.
+    """Text lines with their 0-based number in the file: (file, file_no, split, line_no, line).
 
     A big file is read in splits. Lines are numbered inside a split and shifted by the
-    line counts of earlier splits, so no task ever needs the whole file. Where the number of
+    line counts of earlier splits, so no task ever needs the whole file. ``file_no`` is a number
+    that no other file of the table has. Where the number of
     executors changes while a query runs, set ``spark.sql.files.minPartitionNum``, so that
     every scan of a file is cut alike.
     """
@@ -99,14 +108,15 @@ def numbered_lines(spark: SparkSession, path, path_filter: str | None = None) ->
     )
     # Rows of a split are consecutive in one task, so the id minus the least id of the
     # split is the line number in the split.
-    offset = F.col("_m") - F.min("_m").over(Window.partitionBy("file", "split"))
-    lines = lines.withColumn("_line", offset)
-    counts = lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    return (
-        lines.join(shifts, ["file", "split"])
-        .select("file", "split", (F.col("_before") + F.col("_line")).alias("line_no"), "line")
+    counts = lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
+    whole = Window.partitionBy("file")
+    earlier = whole.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(
+        "file", "split", F.min("_first").over(whole).alias("file_no"),
+        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
+    )
+    return lines.join(_sent(shifts, lines), ["file", "split"]).select(
+        "file", "file_no", "split", (F.col("_m") + F.col("_shift")).alias("line_no"), "line"
     )
 
 
@@ -114,42 +124,53 @@ def block_rows(lines: DataFrame, start: str = "Step", stop: str = "Loop") -> Dat
     """Lines between a ``start`` header line and the next ``stop``, for every such block.
 
     Input: ``numbered_lines``. Output: (file, block, row, tokens); empty lines are
-    dropped, and so is a last block that no ``stop`` closes. The state at a line is the last marker before it: found inside the split
-    first, then carried from the nearest earlier split that has a marker.
+    dropped, and so is a last block that no ``stop`` closes. The state at a line is the last marker before it: found
+    inside a piece of so many lines first, then carried from the nearest earlier piece that has a marker. Lines move
+    once, by their piece and with the number of their file, since its name may be longer than they are.
     """
+    names = _sent(lines.select("file", "file_no").distinct(), lines)
     is_stop, is_start = F.col("line").contains(stop), F.col("line").contains(start)
     mark = F.when(is_start, F.lit("in")).when(is_stop, F.lit("out"))
-    marked = lines.withColumn("_mark", mark)
-    by_line = Window.partitionBy("file", "split").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    splits = marked.groupBy("file", "split").agg(
+    piece = F.floor(F.col("line_no") / F.lit(float(PIECE_LINES))).alias("piece")
+    at = ["file_no", "piece"]
+    marked = lines.select("file_no", piece, "line_no", "line").withColumn("_mark", mark)
+    by_line = Window.partitionBy(*at).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = marked.groupBy(*at).agg(
         F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col("line_no"))).alias("_last")
     )
-    by_split = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    entering = splits.withColumn("_carry", F.last("_last", ignorenulls=True).over(by_split)).drop("_last")
+    by_piece = Window.partitionBy("file_no").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    entering = pieces.withColumn("_carry", F.last("_last", ignorenulls=True).over(by_piece)).drop("_last")
     stated = (
-        marked.join(entering, ["file", "split"])
-        .withColumn("_state", F.coalesce(F.last("_mark", ignorenulls=True).over(by_line), "_carry", F.lit("out")))
+        marked.withColumn("_before", F.last("_mark", ignorenulls=True).over(by_line))
+        .join(_sent(entering, lines), at)
+        .withColumn("_state", F.coalesce("_before", "_carry", F.lit("out")))
         .withColumn("_header", (F.col("_state") == "out") & is_start)
         .withColumn("_inside", F.col("_state") == "in")
     )
     body = F.when(is_stop, F.substring_index("line", stop, 1)).otherwise(F.col("line"))
     stated = stated.withColumn("_data", F.col("_inside") & (F.trim(body) != "")).withColumn("_body", F.trim(body))
-    heads = stated.groupBy("file", "split").agg(F.count_if("_header").alias("_h"))
-    head_shift = heads.withColumn("_hb", F.coalesce(F.sum("_h").over(by_split), F.lit(0))).drop("_h")
-    upto = Window.partitionBy("file", "split").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = stated.join(head_shift, ["file", "split"]).withColumn(
-        "block", F.col("_hb") + F.count_if("_header").over(upto) - 1)
-    closed = numbered.filter(is_stop & F.col("_inside")).select("file", "block").distinct()
-    data = numbered.filter("_data").join(closed, ["file", "block"], "left_semi")
-    # A row number inside a block: lines are numbered, so count data rows per (block, split).
-    part = data.groupBy("file", "block", "split").agg(F.count(F.lit(1)).alias("_n"))
-    in_block = Window.partitionBy("file", "block").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.withColumn("_rb", F.coalesce(F.sum("_n").over(in_block), F.lit(0))).drop("_n")
-    in_part = Window.partitionBy("file", "block", "split").orderBy("line_no")
-    return data.join(part, ["file", "block", "split"]).select(
+    heads = stated.groupBy(*at).agg(F.count_if("_header").alias("_h"))
+    head_shift = heads.withColumn("_hb", F.coalesce(F.sum("_h").over(by_piece), F.lit(0))).drop("_h")
+    upto = Window.partitionBy(*at).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = (
+        stated.withColumn("_heads", F.count_if("_header").over(upto)).join(_sent(head_shift, lines), at)
+        .withColumn("block", F.col("_hb") + F.col("_heads") - 1)
+    )
+    # A block begins only after a stop, so all blocks up to the last closed one are closed.
+    closed = numbered.filter(is_stop & F.col("_inside")).groupBy("file_no").agg(F.max("block").alias("_closed"))
+    data = numbered.filter("_data").join(_sent(closed, lines), "file_no").filter(F.col("block") <= F.col("_closed"))
+    # A row number inside a block: lines are numbered, so count data rows per (block, piece). Only the
+    # first block of a piece may have rows before it.
+    part = data.groupBy("file_no", "block", "piece").agg(F.count(F.lit(1)).alias("_n"))
+    in_block = Window.partitionBy("file_no", "block").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn("_rb", F.sum("_n").over(in_block)).drop("_n").filter("_rb > 0")
+    in_part = Window.partitionBy("file_no", "block", "piece").orderBy("line_no")
+    placed = data.withColumn("_row", F.row_number().over(in_part) - 1).join(
+        _sent(part, lines), ["file_no", "block", "piece"], "left")
+    return placed.join(names, "file_no").select(
         "file",
         F.col("block").cast("long").alias("block"),
-        (F.col("_rb") + F.row_number().over(in_part) - 1).cast("long").alias("row"),
+        (F.coalesce("_rb", F.lit(0)) + F.col("_row")).cast("long").alias("row"),
         F.split("_body", r"\s+").alias("tokens"),
     )
 

@@ -2,6 +2,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from runloom import schemas
 from runloom.functions import workspace
@@ -43,6 +44,22 @@ def test_thermo_log_read_in_small_splits(spark, tmp_path):
     assert got == [(b, i, b, i) for b in range(60) for i in range(b % 5 + 1)]
 
 
+def test_long_log_in_pieces(spark, tmp_path, monkeypatch):
+    """Blocks and their rows go on from piece to piece; a line moves without the name of its file."""
+    text = "".join("Step a b\n" + "".join(f"{b} {i}\n" for i in range(b % 23)) + "Loop\n\n" for b in range(40))
+    (tmp_path / "a-log-with-a-long-name").write_text(text)
+    (tmp_path / "log2").write_text("Step\n7 0\n7 1\nLoop\nStep\n" + "8 8\n" * 30)
+    monkeypatch.setattr(files, "PIECE_LINES", 7)
+    lines = files.numbered_lines(spark, str(tmp_path))
+    numbers = [(r.n, r.last) for r in lines.groupBy("file_no").agg(F.count("line").alias("n"), F.max("line_no").alias("last")).collect()]
+    assert sorted(numbers) == sorted((n, n - 1) for n in (len(text.splitlines()), 35))
+    rows = files.block_rows(lines)
+    got = sorted((r.file[-4:], r.block, r.row, *map(int, r.tokens)) for r in rows.collect())
+    assert got == [("log2", 0, i, 7, i) for i in (0, 1)] + [("name", b, i, b, i) for b in range(40) for i in range(b % 23)]
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    assert all("file#" not in x.split("[", 1)[1] for x in plan.split("\n") if "Window [" in x and "line#" in x)
+
+
 def test_nano_and_macro_scans(spark, tmp_path):
     header = ",".join(schemas.NANO_HISTORY.fieldNames())
     for run in (3, 4):
