@@ -18,6 +18,8 @@ from .shingles import _column_bytes, mix, slices
 LEAST, MOST, BITS, WINDOW = 16, 256, 4, 16
 # Repeated chunks in a row are reported if they have this many bytes together.
 PASSAGE_BYTES = 100
+# A digest with more places is cut into so many parts.
+CROWD, PARTS = 4096, 256
 
 CHUNKS = "key {key}, text_hash long, start long, length int, high long, low long"
 
@@ -109,25 +111,52 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return rows.mapInArrow(work, CHUNKS.format(key=kind))
 
 
-def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", passage_bytes: int = PASSAGE_BYTES) -> DataFrame:
+def _shared_places(spans: DataFrame) -> DataFrame:
+    """(key, text_hash, start, end, kept): each place of the digests that have several.
+
+    Input: places with ``deal``, which cuts those of one digest into parts, and with the digest's ``least`` and ``last``
+    place where it has more than one part.
+    """
+    part = Window.partitionBy("high", "low", "deal")
+    met = spans.withColumn("_n", F.count(F.lit(1)).over(part)).filter("_n > 1 OR least IS NOT NULL")
+    place = F.struct("key", "text_hash", "start")
+    upto = part.orderBy("key", "text_hash", "start")
+    whole = upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known = met.withColumns({
+        "least": F.coalesce("least", F.first(place).over(whole)), "last": F.coalesce("last", F.last(place).over(whole)),
+        "_before": F.lag(place).over(upto)})
+    # Rows with equal key and text have equal places, of which one stays.
+    once = known.filter("least <> last").filter(F.col("_before").isNull() | (F.col("_before") != place))
+    return once.select("key", "text_hash", "start", "end", (place == F.col("least")).alias("kept"))
+
+
+def repeated_passages(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", passage_bytes: int = PASSAGE_BYTES, crowd: int = CROWD,
+) -> DataFrame:
     """(key, start, end, n_chunks, kept, text_hash): passages that stand in several places, in bytes.
 
     A place is (key, hash of the text, start); a chunk counts if its digest has several,
     be it in different documents or in one. The least place is ``kept``; all others are
     copies, also those in the same document. A run of repeated chunks in a row is reported
-    if it has ``passage_bytes`` bytes, cut where kept chunks and copies meet. Digests are
-    counted and written before places meet them, so a chunk that very many documents have
-    can be split between tasks. Rows with a null key are left out; rows with equal key and
+    if it has ``passage_bytes`` bytes, cut where kept chunks and copies meet. Places move once
+    to those of equal digest. Digests with more than ``crowd`` places are found first, by
+    one half of them, and their least place before places move, so a chunk that very many
+    documents have is split between tasks. Rows with a null key are left out; rows with equal key and
     text are one document.
     """
     chunks = chunk_documents(docs, key, text)
-    digest, place = ["high", "low"], F.struct("key", "text_hash", "start")
-    # Least and greatest place differ if there are two; both are found on the map side first.
-    owners = chunks.groupBy(*digest).agg(F.min(place).alias("owner"), F.max(place).alias("last"))
-    shared = materialise(owners.filter("owner <> last").select(*digest, "owner"), "shared")
-    places = chunks.join(shared, digest).select(
-        "key", "text_hash", "start", (F.col("start") + F.col("length")).alias("end"),
-        (place == F.col("owner")).alias("kept")).distinct()
+    crowded = materialise(chunks.groupBy("high").count().filter(F.col("count") > crowd).select("high"), "crowded")
+    spans, place = chunks.withColumn("end", F.col("start") + F.col("length")).drop("length"), F.struct("key", "text_hash", "start")
+    if crowded.isEmpty():
+        none = F.lit(None).cast(spans.select(place.alias("p")).schema["p"].dataType)
+        dealt = spans.withColumns({"deal": F.lit(0), "least": none, "last": none})
+    else:
+        # Least and greatest place differ if there are two; both are found on the map side first.
+        ends = materialise(spans.join(crowded, "high", "left_semi").groupBy("high", "low").agg(
+            F.min(place).alias("least"), F.max(place).alias("last")), "ends")
+        deal = F.when(F.col("least").isNull(), 0).otherwise(F.pmod(F.xxhash64("key", "text_hash", "start"), F.lit(PARTS))).cast("int")
+        dealt = spans.join(ends, ["high", "low"], "left").withColumn("deal", deal)
+    places = _shared_places(dealt)
     w = Window.partitionBy("key", "text_hash").orderBy("start", "end")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     goes_on = F.coalesce(F.lag("end").over(w) == F.col("start"), F.lit(False))

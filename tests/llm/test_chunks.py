@@ -141,3 +141,21 @@ def test_query_equals_brute_force(spark, sf_dir, docs_frame):
     texts = [(t or "").encode() for t in docs_frame.text]
     # Copies whose passage stands in no other document.
     assert any(not r.kept and sum(texts[r.doc_id][r.start: r.end] in t for t in texts) == 1 for r in got)
+
+
+def test_chunks_of_very_many_places_are_split_and_others_move_once(spark):
+    rng = random.Random(12)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+    common, rare = prose(60), prose(60)
+    rows = [(i, " ".join([prose(20), common, prose(20), *([rare] if i % 9 == 0 else []), prose(10)])) for i in range(30)]
+    rows += [rows[3], (4, prose(30) + " " + common), (None, common)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = expected_passages(docs.filter("doc_id IS NOT NULL"))
+    together = chunks.repeated_passages(docs)
+    # Once to the places of equal digest, once to their text.
+    assert together._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    for found in (together, chunks.repeated_passages(docs, crowd=5), chunks.repeated_passages(docs, crowd=0)):
+        assert sorted(tuple(r) for r in found.collect()) == expected
