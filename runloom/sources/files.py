@@ -87,7 +87,8 @@ def similarity_edges(spark: SparkSession, path, name_filter: str = "last.*.simil
 
 
 def _sent(table: DataFrame, lines: DataFrame) -> DataFrame:
-    return F.broadcast(table) if len(lines.inputFiles()) <= FEW_FILES else table
+    # Counted without moving the names to Python.
+    return F.broadcast(table) if len(lines._jdf.inputFiles()) <= FEW_FILES else table
 
 
 def numbered_lines(spark: SparkSession, path, path_filter: str | None = None) -> DataFrame:

@@ -1,5 +1,8 @@
 import json
+import re
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +10,9 @@ from pyspark.sql import functions as F
 from runloom import schemas
 from runloom.functions import workspace
 from runloom.operators import prep
+from runloom.plans import registry
 from runloom.sources import files, params, sinks
+from tests.oracle import differences
 
 LOG = "preamble\nStep Temp PotEng\n0 1.0 -5\n10 2.0 -6\nLoop time 1\nother\nStep Temp PotEng\n20 3.0 -7\nLoop time 2\n\n"
 
@@ -89,6 +94,42 @@ def test_strain_histories_ignore_other_files(spark, tmp_path):
     assert np.isclose(rows[0].strain_22, 7.5)
 
 
+def test_write_files_one_for_each_name(spark, tmp_path):
+    rows = [(f"f{i % 7}.txt", j, f"é {i} {j}" if (i, j) != (3, 4) else None) for i in range(7) for j in range(50)]
+    df = spark.createDataFrame(rows, "file string, n int, line string").repartition(5)
+    folder = tmp_path / "new" / "files"
+    for header, first in ((None, []), ("a,b", ["a,b"])):
+        sinks.write_files(df, str(folder), "file", "line", ["n"], header)
+        assert sorted(p.name for p in folder.iterdir()) == [f"f{i}.txt" for i in range(7)]
+        for i in range(7):
+            expect = first + [f"é {i} {j}" if (i, j) != (3, 4) else "" for j in range(50)]
+            assert (folder / f"f{i}.txt").read_text() == "\n".join(expect) + "\n"
+    with pytest.raises(Exception, match="no file name"):
+        sinks.write_files(df.withColumn("file", F.lit(None).cast("string")), str(folder), "file", "line", [])
+
+
+@pytest.mark.parametrize("query,label,name", [
+    ("strain_history_scan", "strain", r"strain_\d+"), ("macro_history_scan", "macro", r"run_\d+\.csv")])
+def test_a_file_of_a_supplier_costs_no_folder(spark, tmp_path, query, label, name):
+    """Null values pass, and the files of all suppliers lie in one folder, which is listed at once."""
+    line = spark.createDataFrame(
+        [(k, s, k % 3 + 1, 1.0 + k, 10.0 * k + s, 0.01 * (k % 5), 0.02, "R" if k % 2 else None, "O", f"1995-0{k % 3 + 1}-02 00:00:00")
+         for s in range(40) for k in range(12)],
+        "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double,"
+        "l_tax double, l_returnflag string, l_linestatus string, day string",
+    ).withColumn("l_shipdate", F.to_timestamp("day")).withColumn("l_partkey", F.col("l_orderkey")).drop("day")
+    line.write.parquet(str(tmp_path / "lineitem.parquet"))
+    before = set(Path(workspace.work_root(spark)).glob(f"{label}-*"))
+    got = registry.QUERIES[query](spark, str(tmp_path)).toPandas()
+    (folder,) = set(Path(workspace.work_root(spark)).glob(f"{label}-*")) - before
+    paths = list(folder.iterdir())
+    assert len(paths) == 40 and all(p.is_file() and re.fullmatch(name, p.name) for p in paths)
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert len(got) == 120 and differences(got, con.execute(registry.SQL[query]).df()) == []
+
+
 def test_similarity_edges_default_names(spark, tmp_path):
     (tmp_path / "last.1.similar_hist").write_text("1 2 0.5\n1 3 0.25\n")
     (tmp_path / "last.2.similar_hist").write_text("2 1 0.5\n\n")
