@@ -50,14 +50,15 @@ def macro_history_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = dict(zip(S, stress_columns()))
     strain = [(F.col("l_tax") + i).alias(n) for i, n in enumerate([*schemas.STRAIN, *schemas.UPDATED_STRAIN])]
     rows = load(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("run_"), "l_suppkey").alias("dir"), step.alias("timestep"), (step * 5.0e-7).alias("time"),
+        F.concat(F.lit("run_"), "l_suppkey", F.lit(".csv")).alias("file"), step.alias("timestep"), (step * 5.0e-7).alias("time"),
         F.col("l_linenumber").alias("qpid"), F.floor(F.col("l_linenumber") / 2).cast("int").alias("cell"),
         (F.col("l_linenumber") % 2).alias("qpoint"), F.col("l_returnflag").alias("material"),
         *strain, *values.values(),
     )
     path = new_folder(spark, "macro")
-    rows.repartition("dir").write.partitionBy("dir").option("header", True).csv(path)
-    scanned = files.macro_history(spark, path + "/dir=*", r"run_(\d+)")
+    columns = rows.columns[1:]
+    sinks.write_files(rows.select("file", F.to_csv(F.struct(*columns)).alias("line")), path, "file", "line", [], ",".join(columns))
+    scanned = files.macro_history(spark, path, r"run_(\d+)")
     kept = prep.drop_columns(scanned, [c for c in schemas.MACRO_NON_STRESS if c != "timestep"])
     return prep.block_mean(kept, ["run_id"], "timestep", S)
 
@@ -190,12 +191,9 @@ def strain_history_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_suppkey", "m"
     ).agg(*[F.avg(c).alias(c) for c in S])
     path = new_folder(spark, "strain")
-    (
-        means.select(F.concat(F.lit("strain_"), "l_suppkey").alias("name"), "m", F.concat_ws(" ", *S).alias("value"))
-        .repartition("name").sortWithinPartitions("name", "m").select("name", "value")
-        .write.partitionBy("name").text(path)
-    )
-    return files.strain_histories(spark, path + "/name=*", None, r"strain_(\d+)/")
+    named = means.select(F.concat(F.lit("strain_"), "l_suppkey").alias("name"), "m", F.concat_ws(" ", *S).alias("value"))
+    sinks.write_files(named, path, "name", "value", ["m"])
+    return files.strain_histories(spark, path)
 
 
 register(
