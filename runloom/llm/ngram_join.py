@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ HELD = 20_000
 # What a compared pair costs against writing a signature.
 PAIR_COST = 0.05
 # Rounds in which each set is tested against its closest possible partner, before all pairs that are left.
-CLOSEST_ROUNDS = 2
+CLOSEST_ROUNDS = 4
+# Parts of the buckets that are screened one after the other.
+WAVES = 4
 # Ids up to this count are sent to all tasks.
 BROADCAST_IDS = 300_000
 
@@ -387,12 +390,25 @@ def _compatible(n1: int, n2: int, folded: np.ndarray, percent: int) -> bool:
 
 
 def _block_units(buckets: DataFrame) -> DataFrame:
-    """Bucket members with the pair of blocks in which they meet others; a block has about BLOCK members."""
-    counts = buckets.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    placed = buckets.join(counts, "sig").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")))
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    return placed.select("*", others).withColumns({
-        "low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks")
+    """Bucket members with the pair of blocks in which they meet others; a block has about BLOCK members.
+
+    Members of one label need not meet. So in a bucket of more than one block those with its most frequent label
+    have blocks of their own, after the others', and go only where others are.
+    """
+    counts = buckets.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("sig").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"))
+    whole = F.col("n") <= BLOCK
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1).cast("long"))
+    counts = counts.select(
+        "sig", F.when(~whole, F.col("top.label")).alias("top_label"), blocks(F.col("top.n")).alias("tops"),
+        blocks(F.when(whole, F.lit(1)).otherwise(F.col("n") - F.col("top.n"))).alias("rest"))
+    placed = buckets.join(counts, "sig").withColumn("_top", F.col("label").eqNullSafe(F.col("top_label")))
+    hashed = F.xxhash64("set_id")
+    block = F.when(F.col("_top"), F.col("rest") + F.pmod(hashed, F.col("tops"))).otherwise(F.pmod(hashed, F.col("rest")))
+    last = F.col("rest") - 1 + F.when(F.col("_top") | F.col("top_label").isNull(), 0).otherwise(F.col("tops"))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other")
+    return placed.withColumn("block", block).select("sig", "set_id", "label", "block", others).withColumns({
+        "low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
 
 
 def _near_members(members: list[dict], percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -421,30 +437,12 @@ FIELDS = [*UNIT, "block", "set_id", "label"]
 
 
 def _screened(rows: DataFrame, metas: DataFrame, percent: int) -> DataFrame:
-    """Members of units that have a possible partner with another label in their unit."""
-    schema = pa.schema([(f, pa.int64()) for f in FIELDS])
+    """Members of units that have a possible partner with another label in their unit, with the closest of these and
+    how many bits differ."""
+    names = [*FIELDS, "least", "partner"]
+    schema = pa.schema([(f, pa.int64()) for f in names])
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for members in _units(batches, UNIT):
-            keep = np.zeros(len(members), dtype=bool)
-            for i, near, _ in _near_members(members, percent):
-                keep[i] = True
-                keep[near] = True
-            kept = [members[i] for i in np.flatnonzero(keep)]
-            if kept:
-                yield pa.RecordBatch.from_pylist([{k: m[k] for k in FIELDS} for m in kept], schema=schema)
-
-    return _with_sketches(rows, metas).mapInArrow(screen, ", ".join(f"{f} long" for f in FIELDS))
-
-
-def _with_sketches(rows: DataFrame, metas: DataFrame) -> DataFrame:
-    met = rows.join(metas, "set_id").select(*FIELDS, "n_shingles", "sketch")
-    return met.repartition(*UNIT).sortWithinPartitions(*UNIT)
-
-
-def _closest(screened: DataFrame, metas: DataFrame, percent: int) -> DataFrame:
-    """(set_id, pivot): for each member of a unit its closest possible partner with another label, each pair once."""
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for members in _units(batches, UNIT):
             least = np.full(len(members), np.iinfo(np.int64).max)
             partner = np.full(len(members), -1)
@@ -454,12 +452,24 @@ def _closest(screened: DataFrame, metas: DataFrame, percent: int) -> DataFrame:
                 k = int(differ.argmin())
                 if differ[k] < least[i]:
                     least[i], partner[i] = differ[k], near[k]
-            pairs = {tuple(sorted((members[x]["set_id"], members[partner[x]]["set_id"]))) for x in np.flatnonzero(partner >= 0)}
-            if pairs:
-                low, high = zip(*sorted(pairs))
-                yield pa.RecordBatch.from_pydict({"set_id": low, "pivot": high})
+            kept = [
+                {k: members[i][k] for k in FIELDS} | {"least": int(least[i]), "partner": members[partner[i]]["set_id"]}
+                for i in np.flatnonzero(partner >= 0)]
+            if kept:
+                yield pa.RecordBatch.from_pylist(kept, schema=schema)
+
+    return _with_sketches(rows, metas).mapInArrow(screen, ", ".join(f"{f} long" for f in names))
+
 
-    return _with_sketches(screened, metas).mapInArrow(pick, "set_id long, pivot long").distinct()
+def _with_sketches(rows: DataFrame, metas: DataFrame) -> DataFrame:
+    met = rows.join(metas, "set_id").select(*FIELDS, "n_shingles", "sketch")
+    return met.repartition(*UNIT).sortWithinPartitions(*UNIT)
+
+
+def _closest(screened: DataFrame) -> DataFrame:
+    """(set_id, pivot): for each set its closest possible partner with another label over all units, each pair once."""
+    best = screened.groupBy("set_id").agg(F.min(F.struct("least", "partner"))["partner"].alias("other"))
+    return best.select(F.least("set_id", "other").alias("set_id"), F.greatest("set_id", "other").alias("pivot")).distinct()
 
 
 def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -499,8 +509,9 @@ def _remaining_links(buckets: DataFrame, metas: DataFrame, found: DataFrame, set
     """(node, label) over all links: those ``found`` and those between sets that share a bucket.
 
     Sets that share a bucket but no label yet meet in pairs of blocks and are screened by
-    sketches. Then each set that is left is tested against its closest possible partner with
-    another label, each such pair once, which joins most groups for little; what is still
+    sketches, some of the buckets after the others, so that not all their sketches are shuffled
+    at once. Then each set that is left is tested against its closest possible partner with
+    another label, which joins most groups for little; what is still
     apart is screened again and all its pairs are tested. A table goes when the next is written.
     """
     spark = buckets.sparkSession
@@ -509,17 +520,27 @@ def _remaining_links(buckets: DataFrame, metas: DataFrame, found: DataFrame, set
     open_ = labelled.groupBy("sig").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("sig")
     unresolved = materialise(labelled.join(open_, "sig"), "unresolved")
     discard(buckets)
-    screened = materialise(_screened(_block_units(unresolved), metas, percent), "screened")
-    discard(unresolved)
     release(spark)
+    tables = []
+    for wave in range(WAVES):
+        part = unresolved.filter(F.pmod(F.xxhash64("sig"), F.lit(WAVES)) == wave)
+        tables.append(materialise(_screened(_block_units(part), metas, percent), "screened"))
+        release(spark)
+    discard(unresolved)
+    screened = reduce(DataFrame.union, tables)
     for _ in range(CLOSEST_ROUNDS):
         if screened.isEmpty():
             return labels
-        closest = materialise(_closest(screened, metas, percent), "closest")
-        found = materialise(found.union(_verified(closest, sets_of, percent)), "found")
+        closest = materialise(_closest(screened), "closest")
+        links = materialise(_verified(closest, sets_of, percent), "links")
+        discard(closest)
+        if links.isEmpty():
+            break
+        found = found.union(links)
         labels = connected_components(found)
-        before, screened = screened, materialise(_screened(_relabelled(screened, labels), metas, percent), "screened")
-        discard(before, closest)
+        before, screened = tables, materialise(_screened(_relabelled(screened, labels), metas, percent), "screened")
+        discard(*before)
+        tables = [screened]
         release(spark)
     rest = materialise(_block_links(screened, sets_of, percent), "block-links")
     return labels if rest.isEmpty() else connected_components(found.union(rest))

@@ -1,5 +1,8 @@
+import itertools
 import random
+from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from runloom.llm import ngram_join
@@ -74,3 +77,37 @@ def test_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "10", "3", "4", "5", "6", "8", "9", "None"]
     assert ngram_join.jaccard_components(no_docs).count() == 0 and ngram_join.keep_one(no_docs).count() == 0
+
+
+def test_rows_of_a_bucket_with_many_blocks(spark, monkeypatch):
+    """Sets of one label do not meet, others meet once, and each set seeks one partner over all blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rng = np.random.default_rng(3)
+    n, own, base = 120, 8, rng.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: 300 - k], rng.integers(0, 2**63, k).astype(np.uint64)]))
+            for k in rng.integers(0, 25, n)]
+    label = [i if i < own else own for i in range(n)]
+    buckets = spark.createDataFrame(
+        [(7, i, label[i]) for i in range(n)] + [(9, i, label[i]) for i in range(3)], "sig long, set_id long, label long")
+    metas = spark.createDataFrame(
+        [(i, len(x), bytearray(ngram_join.parity_sketch(x))) for i, x in enumerate(sets)], "set_id long, n_shingles long, sketch binary")
+    units = ngram_join._block_units(buckets)
+    met, by_unit = defaultdict(int), defaultdict(list)
+    rows = units.collect()
+    for r in rows:
+        by_unit[r.sig, r.low, r.high].append(r)
+    for (sig, low, high), members in by_unit.items():
+        for a, b in itertools.combinations(members, 2):
+            if a.label != b.label and (low == high or a.block != b.block):
+                met[sig, *sorted((a.set_id, b.set_id))] += 1
+    wanted = {(7, *p) for p in itertools.combinations(range(n), 2)} | {(9, *p) for p in itertools.combinations(range(3), 2)}
+    assert dict(met) == {(s, a, b): 1 for s, a, b in wanted if label[a] != label[b]}
+    # Two blocks of others and 28 of the frequent label, where all with all would be 30 units for each of the sets.
+    assert len(rows) == own * (2 + 28) + (n - own) * 2 + 3
+    differ = [[int(np.bitwise_count(np.bitwise_xor(*ngram_join._folded([ngram_join.parity_sketch(x), ngram_join.parity_sketch(y)]))).sum())
+               for y in sets] for x in sets]
+    pairs = [tuple(r) for r in ngram_join._closest(ngram_join._screened(units, metas, 80)).collect()]
+    assert len(pairs) <= n and all(a < b and label[a] != label[b] for a, b in pairs)
+    for i in range(n):
+        least = min(differ[i][j] for j in range(n) if label[j] != label[i])
+        assert any(i in p and differ[p[0]][p[1]] == least for p in pairs)
