@@ -24,7 +24,7 @@ def embedding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.similar_histories(embedding_vectors(spark, sf_dir), THRESHOLD)[0]
+    return similarity.similar_points(embedding_vectors(spark, sf_dir), THRESHOLD)
 
 
 EMBEDDING_PAIRS = f"""
@@ -216,13 +216,13 @@ pairs AS (SELECT a.cell AS cell1, b.cell AS cell2, list_distance(a.vec, b.vec) A
 
 register(
     "similar_histories",
-    lambda spark, sf: similarity.similar_histories(history_vectors(spark, sf), HISTORY_THRESHOLD)[0],
+    lambda spark, sf: similarity.similar_points(history_vectors(spark, sf), HISTORY_THRESHOLD),
     f"WITH RECURSIVE {HISTORY_PAIRS} SELECT * FROM pairs",
     ["dist"],
 )
 register(
     "near_histories",
-    lambda spark, sf: similarity.similar_histories(history_vectors(spark, sf), NEAR_THRESHOLD)[0],
+    lambda spark, sf: similarity.similar_points(history_vectors(spark, sf), NEAR_THRESHOLD),
     f"WITH RECURSIVE {HISTORY_PAIRS} SELECT * FROM pairs WHERE dist < {NEAR_THRESHOLD}::DOUBLE",
     ["dist"],
 )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from runloom import schemas
 from runloom.operators import coarsen, elastic, similarity
-from runloom.plans import elastic_queries
+from runloom.plans import elastic_queries, graph_queries, registry
 
 
 def greedy(edges, copies=None):
@@ -316,3 +316,54 @@ def test_vectors_are_sent_to_a_bounded_number_of_blocks(spark):
     got = {(r.cell1, r.cell2) for r in similarity.similar_pairs(classes, 0.5, block_rows=4, method="blocks").collect()}
     near = np.sqrt(((draw[:, None] - draw[None]) ** 2).sum(axis=2)) < 0.5
     assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(near)) if i < j}
+
+
+def _point_pairs(rows, threshold):
+    """All pairs of rows with different keys below the threshold, as SQL joins them."""
+    out = []
+    for a, v in rows:
+        for b, w in rows:
+            if a is not None and b is not None and a < b and v is not None and w is not None:
+                with np.errstate(invalid="ignore"):
+                    d = float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum()))
+                if d < threshold:
+                    out.append((a, b, round(d, 9)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("again, method, block", [(False, "blocks", 1024), (True, "blocks", 8), (False, "pivots", 8)])
+def test_pairs_of_points_hold_copies(spark, again, method, block):
+    """Copies are pairs at distance 0 and share all pairs of their vector; keys and vectors may be null or repeat."""
+    rng = np.random.default_rng(11)
+    vecs = rng.uniform(0, 6, size=(70, 2))
+    vecs[::3], vecs[1::7] = vecs[0], vecs[1]
+    rows = [(i, v.tolist()) for i, v in enumerate(vecs)]
+    if method == "blocks":
+        rows += [(200 + i, [float("nan"), 0.0]) for i in range(2)] + [(300 + i, [float("inf"), 0.0]) for i in range(2)]
+    rows += [(None, rows[3][1]), (None, [9.0, 9.0]), (400, None), (401, None), (90, [-0.0, 0.5]), (91, [0.0, 0.5])]
+    if again:
+        rows += rows[:5] + [(3, [5.0, 5.0]), (69, [2.0, 3.0]), (5, rows[3][1])]
+    df = spark.createDataFrame(rows, "cell long, vec array<double>").repartition(3)
+    want = _point_pairs(rows, 0.7)
+    assert any(d == 0 for _, _, d in want)
+    got = similarity.similar_points(df, 0.7, block_rows=block, method=method).collect()
+    assert sorted((r.cell1, r.cell2, round(r.dist, 9)) for r in got) == want
+
+
+@pytest.mark.parametrize("name", ["similar_embeddings", "most_similar_embeddings"])
+def test_queries_on_embeddings_list_copies(spark, tmp_path, name):
+    rows = [(i, [float(i % 3), 0.0]) for i in range(7)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.QUERIES[name](spark, str(tmp_path)).collect()
+    want = _point_pairs(rows, graph_queries.THRESHOLD)
+    if name == "similar_embeddings":
+        assert sorted((r.cell1, r.cell2, round(r.dist, 9)) for r in got) == want
+    else:
+        assert {r.cell: r.n_similar for r in got} == {i: sum(i in p[:2] for p in want) for i in range(7)}
+
+
+def test_a_huge_vector_hides_no_pair(spark):
+    """Its square overflows, so the quick form of the distances tells nothing there."""
+    vecs = np.array([[0.0, 0.0], [0.1, 0.0], [1e200, 0.0], [5.0, 0.0], [5.2, 0.0]])
+    got = similarity.similar_pairs(_table(spark, vecs), 1.0).collect()
+    assert sorted((r.cell1, r.cell2) for r in got) == [(0, 1), (3, 4)]
