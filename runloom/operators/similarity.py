@@ -458,6 +458,36 @@ def similar_points(vectors: DataFrame, threshold: float, key: str = "cell", axes
         F.least("member1", "member2").alias("cell1"), F.greatest("member1", "member2").alias("cell2"), "dist")
 
 
+def most_similar_points(vectors: DataFrame, threshold: float, key: str = "cell", axes: int = 2,
+                        block_rows: int = 1024, method: str | None = None) -> DataFrame:
+    """``most_similar`` of the pairs of all points; with copies it is told from the classes, without pairs of members."""
+    classes, members = _point_classes(vectors, key)
+    if members is None:
+        return most_similar(similar_pairs(classes, threshold, axes, block_rows, method).filter("cell1 < cell2"))
+    if not members.groupBy("member").count().filter("count > 1").isEmpty():
+        # A key with several vectors is no partner of itself, whatever the class.
+        return most_similar(similar_points(vectors, threshold, key, axes, block_rows, method))
+    edges = similar_pairs(classes, threshold, axes, block_rows, method)
+    least = members.groupBy("class").agg(F.min("member").alias("low"), F.sum("n").alias("rows"))
+    others = join_group_stats(members, least.select("class", "low"), ["class"]).filter("member > low")
+    second = others.groupBy("class").agg(F.min("member").alias("second"))
+    least = materialise(least.join(second, "class", "left"), "least")
+    links = edges.select(F.col("cell1").alias("class"), F.col("cell2").alias("other"), "dist").unionByName(
+        edges.select(F.col("cell2").alias("class"), F.col("cell1").alias("other"), "dist"))
+    near = links.join(least.select(F.col("class").alias("other"), "low", "rows"), "other").groupBy("class").agg(
+        F.sum("rows").alias("near_rows"), F.min(F.struct("dist", F.col("low").alias("other"))).alias("_near"))
+    copied = _copied(classes).select(F.col("cell").alias("class"), F.lit(True).alias("_copied"))
+    of_class = least.join(near, "class", "left").join(copied, "class", "left")
+    met = join_group_stats(members, of_class, ["class"])
+    partner = F.when(F.col("member") == F.col("low"), F.col("second")).otherwise(F.col("low"))
+    own = F.when(F.col("_copied") & partner.isNotNull(), F.struct(F.lit(0.0).alias("dist"), partner.alias("other")))
+    own_rows = F.when(F.col("_copied"), F.col("rows") - F.col("n")).otherwise(F.lit(0))
+    return met.select(
+        F.col("member").alias("cell"), (F.col("n") * (F.coalesce("near_rows", F.lit(0)) + own_rows)).alias("n_similar"),
+        F.coalesce(own, "_near").alias("_m"),
+    ).filter("n_similar > 0").select("cell", "n_similar", F.col("_m.other").alias("nearest"), F.col("_m.dist").alias("dist"))
+
+
 def most_similar(edges: DataFrame) -> DataFrame:
     """Per point: number of similar histories and the closest one (ties to the smaller id)."""
     both = edges.select(F.col("cell1").alias("cell"), F.col("cell2").alias("other"), "dist").unionByName(

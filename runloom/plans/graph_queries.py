@@ -36,7 +36,7 @@ register("similar_embeddings", embedding_edges, f"WITH {EMBEDDING_PAIRS} SELECT
 
 register(
     "most_similar_embeddings",
-    lambda spark, sf: similarity.most_similar(embedding_edges(spark, sf)),
+    lambda spark, sf: similarity.most_similar_points(embedding_vectors(spark, sf), THRESHOLD),
     f"""WITH {EMBEDDING_PAIRS},
         both_ AS (SELECT cell1 AS cell, cell2 AS other, dist FROM pairs UNION ALL SELECT cell2, cell1, dist FROM pairs)
         SELECT cell, count(*) AS n_similar, arg_min(other, dist) AS nearest, min(dist) AS dist FROM both_ GROUP BY cell""",

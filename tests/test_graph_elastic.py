@@ -348,6 +348,13 @@ def test_pairs_of_points_hold_copies(spark, again, method, block):
     assert any(d == 0 for _, _, d in want)
     got = similarity.similar_points(df, 0.7, block_rows=block, method=method).collect()
     assert sorted((r.cell1, r.cell2, round(r.dist, 9)) for r in got) == want
+    near = {}
+    for a, b, d in want:
+        near.setdefault(a, []).append((d, b))
+        near.setdefault(b, []).append((d, a))
+    got = similarity.most_similar_points(df, 0.7, block_rows=block, method=method).collect()
+    assert len(got) == len(near)
+    assert {r.cell: (r.n_similar, round(r.dist, 9), r.nearest) for r in got} == {c: (len(x), *min(x)) for c, x in near.items()}
 
 
 @pytest.mark.parametrize("name", ["similar_embeddings", "most_similar_embeddings"])
