@@ -307,6 +307,27 @@ def test_walks_and_rounds_agree_on_copies_and_ties(spark, monkeypatch, budget, m
     assert {r.gp: r.rep for r in coarsen.coarsen(graph, classes, tie).collect()} == want
 
 
+def test_a_dense_graph_is_walked_before_any_round(spark, monkeypatch):
+    """A round takes one or two nodes there, and rewrites all edges; the walk needs several turns here."""
+    made, write = [], coarsen.materialise
+    monkeypatch.setattr(coarsen, "materialise", lambda df, label: made.append(label) or write(df, label))
+    monkeypatch.setattr(coarsen, "WALK_EDGES", 150)
+    monkeypatch.setattr(coarsen, "DENSE", 4)
+    edges = _dense(60)
+    df = spark.createDataFrame(edges, "cell1 long, cell2 long, dist double")
+    graph = coarsen.build_graph(df, once=True)
+    assert "Exchange" not in graph._jdf.queryExecution().executedPlan().toString()
+    got = {r.gp: r.rep for r in coarsen.coarsen(graph).collect()}
+    assert got == greedy([e[:2] for e in edges])
+    assert made[:3] == ["edges", "walk", "edges"]
+
+
+def test_order_of_places_is_stable():
+    for top in (50, 70_000, 1 << 30):
+        values = np.random.default_rng(1).integers(0, top, 5000).astype(np.int32)
+        assert (coarsen._order(values) == np.argsort(values, kind="stable")).all()
+
+
 def test_vectors_are_sent_to_a_bounded_number_of_blocks(spark):
     """Where every block meets every other, blocks grow before their number does; no pair is lost."""
     draw = np.random.default_rng(8).normal(size=(400, 3))
