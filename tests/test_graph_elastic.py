@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -5,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from runloom import schemas
+from runloom.functions import workspace
 from runloom.operators import coarsen, elastic, similarity
 from runloom.plans import elastic_queries, graph_queries, registry
 
@@ -322,6 +325,23 @@ def test_a_dense_graph_is_walked_before_any_round(spark, monkeypatch):
     assert made[:3] == ["edges", "walk", "edges"]
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_a_mapping_keeps_no_edges(spark, repeated):
+    """The graph and the edges of all turns are deleted once the mapping is written; a key may have two vectors."""
+    rng = np.random.default_rng(12)
+    vecs = rng.uniform(0, 3, size=(40, 2))
+    rows = [(i, v.tolist()) for i, v in enumerate(vecs)] + ([(3, vecs[7].tolist()), (9, [8.0, 8.0]), (9, [8.1, 8.0])] if repeated else [])
+    root = Path(workspace.work_root(spark).removeprefix("file:"))
+    before = set(root.iterdir()) if root.exists() else set()
+    out = graph_queries.mapping_of(spark.createDataFrame(rows, "cell long, vec array<double>"), 0.7)
+    left = {p.name.split("-")[0] for p in set(root.iterdir()) - before}
+    assert "classes" in left and not left & {"graph", "edges"}
+    got = sorted((r.gp, r.rep) for r in out.collect())
+    assert len(got) == len(rows)
+    if not repeated:
+        assert dict(got) == {i: i for i in range(40)} | greedy(list(brute(vecs, 0.7)))
+
+
 def test_order_of_places_is_stable():
     for top in (50, 70_000, 1 << 30):
         values = np.random.default_rng(1).integers(0, top, 5000).astype(np.int32)
