@@ -311,7 +311,7 @@ def test_walks_and_rounds_agree_on_copies_and_ties(spark, monkeypatch, budget, m
 
 
 def test_a_dense_graph_is_walked_before_any_round(spark, monkeypatch):
-    """A round takes one or two nodes there, and rewrites all edges; the walk needs several turns here."""
+    """A round would rewrite all edges; the walk needs several turns here."""
     made, write = [], coarsen.materialise
     monkeypatch.setattr(coarsen, "materialise", lambda df, label: made.append(label) or write(df, label))
     monkeypatch.setattr(coarsen, "WALK_EDGES", 150)
